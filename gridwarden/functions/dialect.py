@@ -55,6 +55,10 @@ class Dialect:
         """The factors whose conditions hold, multiplied from left to right."""
         return "(" + " * ".join([self.num(1.0), *(f"CASE WHEN {c} THEN {self.num(f)} ELSE {self.num(1.0)} END" for c, f in factors)]) + ")"
 
+    def strip(self, x: str) -> str:
+        """Without white space of any kind at both ends."""
+        return self.replace(x, r"^\s+|\s+\z", "")
+
     def half_up(self, x: str) -> str:
         """Rounded to a whole number, halves upwards."""
         return f"CAST(FLOOR({x} + {self.num(0.5)}) AS BIGINT)"
@@ -82,7 +86,7 @@ class Spark(Dialect):
 
     def text(self, value):
         body = value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
-        return f"'{body}'"
+        return "'" + body.replace("${", "\\u0024{") + "'"  # else Spark takes it for a variable
 
     def match(self, x, pattern, flags=""):
         return f"{x} RLIKE {self.text(self.pattern(pattern, flags))}"
@@ -144,6 +148,18 @@ class Spark(Dialect):
     def left(self, x, n):
         return f"substr({x}, 1, {n})"
 
+    def last_known(self, x, partition, order):
+        """The last value up to the row that is not null."""
+        return f"LAST({x}, TRUE) OVER (PARTITION BY {partition} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+    def next_known(self, x, partition, order):
+        """The first value after the row that is not null."""
+        return f"FIRST({x}, TRUE) OVER (PARTITION BY {partition} ORDER BY {order} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
+
+    def near(self, x, partition, order, before, after):
+        """Texts of the rows around, from so many before to so many after, one per line."""
+        return f"array_join(collect_list({x}) OVER (PARTITION BY {partition} ORDER BY {order} ROWS BETWEEN {before} PRECEDING AND {after} FOLLOWING), '\\n')"
+
 
 class Duck(Dialect):
     name = "duck"
@@ -207,6 +223,15 @@ class Duck(Dialect):
     def left(self, x, n):
         return f"left({x}, {n})"
 
+    def last_known(self, x, partition, order):
+        return f"LAST_VALUE({x} IGNORE NULLS) OVER (PARTITION BY {partition} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+    def next_known(self, x, partition, order):
+        return f"FIRST_VALUE({x} IGNORE NULLS) OVER (PARTITION BY {partition} ORDER BY {order} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
+
+    def near(self, x, partition, order, before, after):
+        return f"string_agg({x}, chr(10)) OVER (PARTITION BY {partition} ORDER BY {order} ROWS BETWEEN {before} PRECEDING AND {after} FOLLOWING)"
+
 
 SPARK, DUCK = Spark(), Duck()
 

@@ -51,7 +51,7 @@ def firewall(d: Dialect, cases: str) -> str:
     """Claims checked against the code: each miss lowers confidence; a severe claim without evidence at its line goes."""
     n = d.num
     ls = d.lines("code")
-    fam = f"(SELECT *, {C.firewall_family(d)} AS family, {d.size(ls)} AS n_lines, trim({d.window('code', 'line', 'line')}) AS target, {d.window('code', 'line - 3', 'line + 3')} AS near FROM {cases} c)"
+    fam = f"(SELECT *, {C.firewall_family(d)} AS family, {d.size(ls)} AS n_lines, {d.strip(d.window('code', 'line', 'line'))} AS target, {d.window('code', 'line - 3', 'line + 3')} AS near FROM {cases} c)"
     schema = d.count_of(["length(title) < 5", "length(explanation) < 20", "type NOT IN ('bug', 'risk', 'suggestion')", "severity NOT IN ('high', 'medium', 'low')", "COALESCE(confidence < 0 OR confidence > 1, FALSE)"])
     at_line = f"""CASE WHEN line IS NULL THEN TRUE WHEN line < 1 OR line > n_lines THEN FALSE WHEN target = '' OR {d.left('target', 2)} = '//' OR {d.left('target', 1)} = '*' THEN FALSE
       WHEN family IS NULL THEN TRUE ELSE {_by_class(d, 'family', 'near', V.FIREWALL_SINKS)} END"""
@@ -149,7 +149,7 @@ def dominance(d: Dialect, cases: str) -> str:
     """Verdict of the code on each finding. Protected classes with any evidence are locked; the rest goes by a score of evidence."""
     n = d.num
     text = "concat(title, ' ', explanation, ' ', category)"
-    rows = f"(SELECT *, {C.dominance_class(d)} AS cls, {d.any(text, [(p, 'i') for p in V.PROTECTED])} AS protected, {d.size(d.lines('code'))} AS n_lines, trim({d.window('code', 'line', 'line')}) AS target FROM {cases} c)"
+    rows = f"(SELECT *, {C.dominance_class(d)} AS cls, {d.any(text, [(p, 'i') for p in V.PROTECTED])} AS protected, {d.size(d.lines('code'))} AS n_lines, {d.strip(d.window('code', 'line', 'line'))} AS target FROM {cases} c)"
     line_ok = "COALESCE(line > 0 AND line <= n_lines AND length(target) > 2, line IS NULL)"
     path = "(COALESCE(exploit_chain, '') <> '' OR sink_reachable IS NOT NULL OR length(explanation) > 50)"
     ev = f"(SELECT *, {_by_class(d, 'cls', 'code', V.DOMINANCE_SOURCES, 'sqli')} AS has_source, {_by_class(d, 'cls', 'code', V.DOMINANCE_SINKS, 'sqli')} AS has_sink, {line_ok} AS has_line, {path} AS has_path FROM {rows} r)"

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from ..functions.dialect import DUCK, Dialect
 from ..functions.run import over_tables
-from ..operators import classify, cluster, compare, history, score, suppress
+from ..operators import classify, cluster, compare, history, lines, score, suppress, system
 from ..sources import fixtures as T
 
 QUERIES: dict[str, Callable] = {}
@@ -82,3 +82,27 @@ register("running_stats", lambda d: history.running_stats(d, f"(SELECT run_id, S
 register("cache_state", lambda d: history.cache_state(d, T.events(d), 864_000, 20))
 register("cache_hits", lambda d: history.cache_hits(d, T.events(d)))
 register("rate_limit_tumbling", lambda d: history.rate_limit(d, T.events(d), 2, 3600))
+
+# source text as lines
+
+
+def _lines(d: Dialect) -> str:
+    return f"({lines.parse(d, T.files(d))})"
+
+
+register("lines_explode", lambda d: lines.parse(d, T.files(d)))
+register("lines_of_documents", lambda d: lines.parse(d, T.document_lines(d)))
+register("line_stats", lambda d: lines.stats(d, f"({lines.parse(d, T.document_lines(d))})"))
+for _name, _op in {
+    "call_nodes": lines.nodes, "call_edges": lines.calls, "cfg_nodes": lines.flow_nodes, "cfg_edges": lines.flow_edges, "ssa_versions": lines.versions, "ssa_traces": lines.traces, "constants": lines.constants,
+    "dead_lines": lines.dead, "path_facts": lines.path_facts, "functions": lines.functions, "imports": lines.imports, "symbols": lines.symbols, "decorated_routes": lines.routes, "http_routes": lines.http_routes,
+    "auth_boundaries": lines.guards, "reachability": lines.reachability, "line_scores": lines.line_scores, "security_density": lines.density, "change_surface": lines.surface,
+    "middleware_order": system.middleware, "auth_checks": system.auth_checks, "orm_queries": system.queries, "event_edges": system.events, "sink_wrappers": system.wrappers, "service_calls": system.services,
+    "cross_module_findings": system.findings, "whole_system_summary": system.summary, "graph_nodes": system.graph_nodes, "attack_paths": system.attack_paths,
+}.items():
+    register(_name, lambda d, op=_op: op(d, _lines(d)))
+register("enclosing_function", lambda d: f"SELECT doc_id, line_no, fn FROM ({lines.enclosing(d, _lines(d))}) e")
+register("changed_nodes", lambda d: system.changed_nodes(d, _lines(d), T.known_nodes(d)))
+register("attack_chains", lambda d: system.chains(d, T.issues(d)))
+register("change_priority", lambda d: lines.prioritize(d, T.issues(d), _lines(d)))
+register("route_tier", lambda d: score.route(d, T.files(d), f"(SELECT doc_id, COUNT(*) AS rule_hits, COUNT(CASE WHEN sink_reachable THEN 1 END) AS taint_flows FROM {T.issues(d)} i GROUP BY doc_id)"))

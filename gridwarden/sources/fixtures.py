@@ -179,3 +179,15 @@ def suppressions(d: Dialect) -> str:
 def baseline_lines(d: Dialect) -> str:
     """Findings that a later stage left, with their lines."""
     return f"(SELECT * FROM {issues(d)} b WHERE (doc_id + seq) % 3 <> 1)"
+
+
+def document_lines(d: Dialect) -> str:
+    """The documents themselves as files."""
+    return f"(SELECT doc_id, COALESCE(text, '') AS code FROM {d.table('documents')})"
+
+
+def known_nodes(d: Dialect) -> str:
+    """Graph nodes of an earlier build: those of two documents in three, one line in five changed since."""
+    from ..operators import lines, system
+
+    return f"(SELECT doc_id, line_no, kind, CASE WHEN line_no % 5 = 0 THEN 'changed' ELSE hash END AS hash FROM ({system.graph_nodes(d, f'({lines.parse(d, files(d))})')}) k WHERE doc_id % 3 < 2)"
