@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from ..functions.dialect import DUCK, Dialect
-from ..functions.run import over_tables
-from ..operators import classify, cluster, compare, history, lines, score, suppress, system
+from ..functions.run import apply, over_tables
+from ..operators import classify, cluster, compare, history, lines, rules, score, suppress, system, taint
 from ..sources import fixtures as T
 
 QUERIES: dict[str, Callable] = {}
@@ -106,3 +106,38 @@ register("changed_nodes", lambda d: system.changed_nodes(d, _lines(d), T.known_n
 register("attack_chains", lambda d: system.chains(d, T.issues(d)))
 register("change_priority", lambda d: lines.prioritize(d, T.issues(d), _lines(d)))
 register("route_tier", lambda d: score.route(d, T.files(d), f"(SELECT doc_id, COUNT(*) AS rule_hits, COUNT(CASE WHEN sink_reachable THEN 1 END) AS taint_flows FROM {T.issues(d)} i GROUP BY doc_id)"))
+
+# rules
+
+
+def _rule_issues(d: Dialect) -> str:
+    return f"(SELECT doc_id, rule_id AS title, category, severity FROM ({rules.collapsed(d, T.files(d))}) c)"
+
+
+register("rule_hits_multiline", lambda d: rules.hits(d, T.files(d)))
+register("rule_findings", lambda d: rules.findings(d, T.files(d)))
+register("rule_findings_collapsed", lambda d: rules.collapsed(d, T.files(d)))
+register("content_rule_hits", lambda d: rules.content_hits(d, f"({lines.parse(d, T.document_lines(d))})"))
+register("scan_documents", lambda d: rules.content_scores(d, f"(SELECT doc_id, raw FROM ({lines.parse(d, T.document_lines(d))}) p)"))
+register("benchmark_of_rules", lambda d: compare.confusion(d, f"({compare.outcomes(d, T.files(d), _rule_issues(d), True)})"))
+
+
+# taint
+register("taint_seeds", lambda d: taint.seeds(d, _lines(d)))
+register("taint_edges", lambda d: taint.edges(d, _lines(d)))
+register("guarded_lines", lambda d: taint.guarded(d, _lines(d)))
+
+
+def _tainted(spark, sf_dir):
+    return taint.tainted(QUERIES["lines_explode"](spark, sf_dir))
+
+
+def _sinks(spark, sf_dir):
+    source = QUERIES["lines_explode"](spark, sf_dir)
+    return apply(taint.sinks, lines=source, tainted=taint.tainted(source))
+
+
+QUERIES["taint_closure"] = _tainted
+ORACLES["taint_closure"] = taint.closure_sql(DUCK, _lines(DUCK))
+QUERIES["taint_sinks"] = _sinks
+ORACLES["taint_sinks"] = taint.sinks(DUCK, _lines(DUCK), f"({taint.closure_sql(DUCK, _lines(DUCK))})")

@@ -35,6 +35,7 @@ CODE = [
     ("PY-PICKLE-1", "deserialize", True, "high", "python", "import pickle\nfrom fastapi import FastAPI, Request\napp = FastAPI()\n\n@app.post('/admin/load')\nasync def load(data, session):\n    body = await request.json()\n    obj = pickle.loads(data)\n    return {'value': obj}\n"),
     ("PY-UP-1", "path", True, "high", "python", "class Store:\n    def __init__(self, root, limit=3):\n        self.root = root\n        self.limit = limit\n\n    def save(self, name):\n        path = os.path.join(self.root, name)\n        with open(path) as f:\n            return f.read()\n"),
     ("JS-EVENTS", "logic", False, "low", "javascript", "// file: bus.js\nbus.on('paid', handle);\nfunction pay(order) {\n  bus.emit('paid', order);\n  bus.emit('left', order);\n}\n// file: mail.js\nbus.on('left', mail);\nfunction handle(order) { pay(order); mail(order); }\nconst mail = async (order) => fetch('https://mail.example.com');"),
+    ("JS-GUARD", "sqli", False, "medium", "javascript", "function find(req) {\n  const id = req.query.id;\n  if (!id) return null;\n  if (typeof id !== 'string') throw new Error('id');\n  const text = id + '!';\n  return db.query('SELECT name FROM t WHERE id = ' + id);\n}"),
     ("JS-TEST", "xss", False, "medium", "javascript", "describe('box', () => {\n  it('shows', () => {\n    box.innerHTML = '<b>x</b>';\n    expect(box).toBeTruthy();\n  });\n});"),
 ]
 
