@@ -4,7 +4,7 @@ Each sentence has a logistic score over the words in it; a document's score is t
 weights are trained through it from document labels alone. The sentence scores then say where the offence is.
 
 Training takes at most SAMPLE_ROWS labelled documents, those with the smallest id hashes; everything else sees all rows. The
-model is a table of at most VOCABULARY word weights, sent to the tasks; scoring is one narrow pass.
+model is a table of at most VOCABULARY weights of words and stems, sent to the tasks; scoring is one narrow pass.
 
 Defined cases: a text without words has the score of an empty document, 0; with no labels of either kind every score is the share
 of toxic labels, or 0 without labels; labels that are null or other than 0 and 1 are left out; a document labelled twice
@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+import zlib
+from array import array
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark.sql import types as T
 from .common import append_columns
 
 #: Labelled documents that a model is fitted on, at most.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 8_000
 #: Words with a weight, at most; and the training documents that a word must be in.
 VOCABULARY, MIN_DOCS = 4_096, 4
 
@@ -49,70 +51,97 @@ def _softplus(z):
     return np.logaddexp(0.0, z)
 
 
+#: Longer words also count by their first letters, so that inflected and compound forms share what is learnt.
+STEMS = (4, 5)
+
+
+def traits(words: set[str]) -> set[str]:
+    """The features of a sentence: its distinct words, and their stems, marked."""
+    return words.union(*({f"{w[:n]}-" for w in words if len(w) > n} for n in STEMS))
+
+
 class Model:
-    """Word weights and a bias; z of a sentence is the bias and the weights of its distinct words."""
+    """Weights of words and stems, and a bias; z of a sentence is the bias and the weights of its features."""
 
     def __init__(self, weights: dict[str, float], bias: float, constant: float | None = None):
         self.weights, self.bias, self.constant = weights, bias, constant
+        self.words = {k: v for k, v in weights.items() if k[-1] != "-"}
+        #: (letters, weights by stem without its mark)
+        self.stems = [(n, {k[:-1]: v for k, v in weights.items() if k[-1] == "-" and len(k) == n + 1}) for n in STEMS]
+
+    def z(self, words: set[str]) -> float:
+        """Summed in an order of its own, so that equal sentences score equal."""
+        total = self.bias
+        if met := self.words.keys() & words:
+            total += sum(self.words[w] for w in sorted(met))
+        for n, known in self.stems:
+            if met := known.keys() & {w[:n] for w in words if len(w) > n}:
+                total += sum(known[w] for w in sorted(met))
+        return total
 
     def sentence_scores(self, text: str) -> list[tuple[int, int, float]]:
-        low, get = text.lower(), self.weights.get
+        low = text.lower()
         if len(low) != len(text):  # a few letters change length
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         out = []
         for s, e in sentences(low):
             words = set(_WORD.findall(low[s:e]))
             if words:
-                out.append((s, e, self.bias + sum(get(w, 0.0) for w in words)))
+                out.append((s, e, self.z(words)))
         return out
 
     def score(self, text: str) -> float:
         if self.constant is not None:
             return self.constant
-        get, bias, total = self.weights.get, self.bias, 0.0
-        quiet = math.log1p(math.exp(bias))
-        known = self.weights.keys()
+        total = 0.0
         for part in _END.split(text.lower()):
-            words = _WORD.findall(part)
-            if words:
-                met = known & set(words)
-                total += math.log1p(math.exp(min(60.0, bias + sum(map(get, sorted(met)))))) if met else quiet
+            if words := _WORD.findall(part):
+                total += math.log1p(math.exp(min(60.0, self.z(set(words)))))
         return 1.0 - math.exp(-total)
 
 
-def bags(text: str) -> list[list[str]]:
-    """The distinct words of each sentence that has some."""
-    return [sorted(set(w)) for part in _END.split(text.lower()) if (w := _WORD.findall(part))]
+def bags(text: str) -> list[set[str]]:
+    """The features of each sentence that has words."""
+    return [traits(set(w)) for part in _END.split(text.lower()) if (w := _WORD.findall(part))]
+
+
+#: Cells that documents are counted in, by hash of the word, to choose a vocabulary.
+CELLS = 1 << 20
 
 
-def train(texts: list[str], labels: list[int], vocabulary: int = VOCABULARY, min_docs: int = MIN_DOCS, rounds: int = 300, decay: float = 3e-4) -> Model:
-    """Full-batch Adam on the noisy-or likelihood."""
+def _cells(words: set[str]) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w.encode()) for w in words), dtype=np.int64, count=len(words)) % CELLS
+
+
+def train(texts: Iterable[str], labels: list[int], vocabulary: int = VOCABULARY, min_docs: int = MIN_DOCS, rounds: int = 200, decay: float = 3e-4) -> Model:
+    """Full-batch Adam on the noisy-or likelihood. texts is gone through twice; only the vocabulary's words are kept of it."""
     y = np.asarray(labels, dtype=float)
     if len(y) == 0 or y.min() == y.max():
         return Model({}, 0.0, float(y.mean()) if len(y) else 0.0)
-    docs = [bags(t) for t in texts]
-    seen, toxic = Counter(), Counter()
-    for d, label in zip(docs, labels, strict=True):
-        words = {w for s in d for w in s}
-        seen.update(words)
+    seen, toxic = np.zeros(CELLS), np.zeros(CELLS)
+    for t, label in zip(texts, labels, strict=True):
+        at = np.unique(_cells(set().union(*bags(t))))
+        seen[at] += 1
         if label:
-            toxic.update(words)
+            toxic[at] += 1
     share = y.mean()
     # standard score of the toxic documents among those with the word
-    surprise = {w: abs(toxic[w] - n * share) / math.sqrt(n * share * (1 - share)) for w, n in seen.items() if n >= min_docs}
-    chosen = sorted(surprise, key=lambda w: (-surprise[w], w))[:vocabulary]
-    index = {w: i for i, w in enumerate(chosen)}
-    word, sentence, doc = [], [], []
-    for k, d in enumerate(docs):
-        for s in d:
-            for w in s:
-                if w in index:
-                    word.append(index[w])
-                    sentence.append(len(doc))
+    surprise = np.where(seen >= min_docs, np.abs(toxic - seen * share) / np.sqrt(seen * share * (1 - share) + 1e-9), -1.0)
+    best = np.argsort(-surprise, kind="stable")[:vocabulary]
+    chosen = np.zeros(CELLS, dtype=bool)
+    chosen[best[surprise[best] >= 0]] = True
+    index: dict[str, int] = {}
+    word, sentence, doc = array("q"), array("q"), array("q")
+    for k, t in enumerate(texts):
+        for s in bags(t):
+            words = sorted(s)
+            for w in (w for w, c in zip(words, chosen[_cells(words)], strict=True) if c):
+                word.append(index.setdefault(w, len(index)))
+                sentence.append(len(doc))
             doc.append(k)
     word, sentence, doc = (np.asarray(x, dtype=np.int64) for x in (word, sentence, doc))
-    n_sent, n_doc = len(doc), len(docs)
-    theta = np.zeros(len(chosen) + 1)
+    n_sent, n_doc = len(doc), len(y)
+    theta = np.zeros(len(index) + 1)
     theta[-1] = math.log(max(1e-6, -math.log1p(-min(share, 0.95)) / max(1.0, n_sent / n_doc)))
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, rounds + 1):
@@ -121,7 +150,7 @@ def train(texts: list[str], labels: list[int], vocabulary: int = VOCABULARY, min
         # of the loss by the sum of softplus: 1 for a clean document, -1/(exp(sum)-1) for a toxic one
         outer = np.where(y > 0, -1.0 / np.expm1(np.clip(total, 1e-9, 50.0)), 1.0)
         dz = np.clip(outer[doc], -50, 50) / (1.0 + np.exp(-z))
-        grad = np.append(np.bincount(word, dz[sentence], len(chosen)), dz.sum()) / n_doc
+        grad = np.append(np.bincount(word, dz[sentence], len(index)), dz.sum()) / n_doc
         grad[:-1] += decay * theta[:-1]
         mean = 0.9 * mean + 0.1 * grad
         square = 0.999 * square + 0.001 * grad * grad
@@ -129,6 +158,16 @@ def train(texts: list[str], labels: list[int], vocabulary: int = VOCABULARY, min
     return Model({w: float(theta[i]) for w, i in index.items() if abs(theta[i]) > 1e-3}, float(theta[-1]))
 
 
+class Column:
+    """Strings of an Arrow column, made one at a time, as often as asked for."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        self.column = column
+
+    def __iter__(self):
+        return (x.as_py() for x in self.column)
+
+
 def labelled_sample(labels: DataFrame, label_col: str, id_col: str = "doc_id", usable=None, rows: int = SAMPLE_ROWS) -> DataFrame:
     """At most `rows` labelled ids, in the order of a hash of the id; the same whatever the partitioning."""
     usable = F.lit(True) if usable is None else usable
@@ -152,7 +191,7 @@ def sample_texts(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", tex
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", usable=None, rows: int = SAMPLE_ROWS) -> Model:
     table = sample_texts(docs, labelled_sample(labels, label_col, id_col, usable, rows), id_col, text_col)
-    return train(table["t"].to_pylist(), table["y"].to_pylist())
+    return train(Column(table["t"]), table["y"].to_pylist())
 
 
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, locate: bool = False) -> DataFrame:
