@@ -21,8 +21,8 @@ def first_wins(d: Dialect, issues: str, key: str = "line_title") -> str:
 
 
 def normal_title(d: Dialect, x: str = "title") -> str:
-    """Lower case, letters and digits only, one blank between."""
-    return f"trim({d.replace(d.replace(f'lower({x})', '[^a-z0-9 ]', ''), ' +', ' ')})"
+    """Lower case, one blank between, without joining words and the letter after them."""
+    return d.strip(d.replace(d.replace(f"lower({x})", r"\s+", " "), r"\b(?:via|using|with|in|at|through)\b.", ""))
 
 
 def semantic_dedup(d: Dialect, issues: str) -> str:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from ..functions.dialect import DUCK, Dialect
 from ..functions.run import apply, over_tables
-from ..operators import classify, cluster, compare, history, lines, rules, score, suppress, system, taint
+from ..operators import classify, cluster, compare, history, lines, rules, score, suppress, system, taint, verify
 from ..sources import fixtures as T
 
 QUERIES: dict[str, Callable] = {}
@@ -141,3 +141,19 @@ QUERIES["taint_closure"] = _tainted
 ORACLES["taint_closure"] = taint.closure_sql(DUCK, _lines(DUCK))
 QUERIES["taint_sinks"] = _sinks
 ORACLES["taint_sinks"] = taint.sinks(DUCK, _lines(DUCK), f"({taint.closure_sql(DUCK, _lines(DUCK))})")
+
+# findings tried against the code
+for _name, _op in {
+    "runtime_verification": verify.payloads, "runtime_stats": verify.payload_stats, "exploit_replay": verify.replays, "sanitizer_grades": verify.grades, "constraint_chains": verify.constraint_chains, "knowledge_graph": verify.knowledge,
+    "knowledge_stats": verify.knowledge_stats, "verified_remediation": verify.remediation,
+}.items():
+    register(_name, lambda d, op=_op: op(d, T.cases(d)))
+register("symbolic_guards", lambda d: verify.symbolic_guards(d, _lines(d)))
+register("symbolic_paths", lambda d: verify.symbolic_paths(d, _lines(d), f"({taint.seeds(d, _lines(d))})"))
+register("symbolic_findings", lambda d: verify.apply_paths(d, T.issues(d), f"({verify.symbolic_paths(d, _lines(d), f'({taint.seeds(d, _lines(d))})')})"))
+register("semantic_routes", lambda d: verify.semantic_routes(d, _lines(d)))
+register("semantic_summary", lambda d: verify.semantic_summary(d, _lines(d)))
+register("language_argmax", lambda d: verify.languages(d, T.files(d)))
+register("model_assignment", lambda d: verify.assign_models(d, T.tasks(d)))
+register("client_keys", lambda d: verify.client_keys(d, T.requests(d)))
+register("issue_normalize", lambda d: verify.normalize_answers(d, T.answers(d)))

@@ -192,3 +192,26 @@ def known_nodes(d: Dialect) -> str:
     from ..operators import lines, system
 
     return f"(SELECT doc_id, line_no, kind, CASE WHEN line_no % 5 = 0 THEN 'changed' ELSE hash END AS hash FROM ({system.graph_nodes(d, f'({lines.parse(d, files(d))})')}) k WHERE doc_id % 3 < 2)"
+
+
+def answers(d: Dialect) -> str:
+    """What a model may say about a line item: JSON with aliases, missing fields and some that is no JSON."""
+    kinds = "CASE l_partkey % 5 WHEN 0 THEN 'Vulnerability' WHEN 1 THEN 'warning' WHEN 2 THEN 'note' WHEN 3 THEN 'odd' ELSE 'bug' END"
+    levels = "CASE l_suppkey % 4 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'minor' WHEN 2 THEN 'x' ELSE 'high' END"
+    key = "CASE l_partkey % 3 WHEN 0 THEN 'title' WHEN 1 THEN 'name' ELSE 'headline' END"
+    body = f"""concat('{{"type": "', {kinds}, '", "severity": "', {levels}, '", "', {key}, '": "Finding ', CAST(l_suppkey AS VARCHAR(10)), '", "line": ', CASE l_linenumber WHEN 1 THEN 'null' ELSE CAST(l_linenumber AS VARCHAR(10)) END, ', "fix": "  use it ", "category": "Logic"}}')"""
+    order = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate"
+    return f"(SELECT l_orderkey AS doc_id, CAST(ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY {order}) AS INT) AS seq, CASE WHEN l_partkey % 13 = 0 THEN 'no json' ELSE {body} END AS body FROM {d.table('lineitem')})"
+
+
+def requests(d: Dialect) -> str:
+    """Customers as clients: addresses of several kinds, origins that fit or not."""
+    n = "CAST(c_custkey % 300 AS VARCHAR(10))"
+    return f"""(SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN concat('10.0.', {n}, '.1, 10.0.0.2') WHEN 1 THEN concat(' fe80::', {n}) WHEN 2 THEN 'not an address' ELSE NULL END AS forwarded,
+      CASE c_nationkey % 3 WHEN 0 THEN 'https://shop.example' WHEN 1 THEN 'https://evil.example/x' ELSE NULL END AS origin, 'shop.example' AS host FROM {d.table('customer')})"""
+
+
+def tasks(d: Dialect) -> str:
+    """Parts as tasks for models, with what is available."""
+    kinds = " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(("routing", "syntax", "security", "remediation", "arbitration")))
+    return f"(SELECT p_partkey AS id, CASE p_partkey % 5 {kinds} END AS task, CASE p_size % 3 WHEN 0 THEN ',' WHEN 1 THEN ',openai/gpt-4o,anthropic/claude-3-haiku,' ELSE ',local/model,' END AS available FROM {d.table('part')})"
