@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from ..functions.dialect import DUCK, Dialect
 from ..functions.run import apply, over_tables
-from ..operators import classify, cluster, compare, history, lines, rules, score, suppress, system, taint, verify
+from ..functions.tables import scratch
+from ..operators import classify, cluster, compare, documents, history, lines, rules, score, suppress, system, taint, verify
 from ..sources import fixtures as T
+from ..sources import state
+from ..streaming import stateful
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -157,3 +160,51 @@ register("language_argmax", lambda d: verify.languages(d, T.files(d)))
 register("model_assignment", lambda d: verify.assign_models(d, T.tasks(d)))
 register("client_keys", lambda d: verify.client_keys(d, T.requests(d)))
 register("issue_normalize", lambda d: verify.normalize_answers(d, T.answers(d)))
+
+# programs within a document; checked by tests
+
+
+def _files(spark, sf_dir):
+    return over_tables(lambda d: f"SELECT doc_id, code FROM {T.files(d)} f")(spark, sf_dir)
+
+
+def _issues(spark, sf_dir):
+    return over_tables(lambda d: f"SELECT * FROM {T.issues(d)} i")(spark, sf_dir)
+
+
+def _model_answers(spark, sf_dir):
+    rows = over_tables(lambda d: f"SELECT doc_id, seq, concat('Here it is: ```json', body, '``` end') AS text FROM {T.answers(d)} a")(spark, sf_dir)
+    return documents.read_answers(rows)
+
+
+def _patches(spark, sf_dir):
+    return documents.patches(QUERIES["rule_findings"](spark, sf_dir), _files(spark, sf_dir))
+
+
+QUERIES["band_duplicates"] = lambda spark, sf_dir: documents.band_duplicates(_issues(spark, sf_dir))
+QUERIES["function_blocks"] = lambda spark, sf_dir: documents.blocks(_files(spark, sf_dir))
+QUERIES["code_context"] = lambda spark, sf_dir: documents.contexts(_files(spark, sf_dir), 200)
+QUERIES["read_answers"] = _model_answers
+QUERIES["patches"] = _patches
+QUERIES["reports"] = lambda spark, sf_dir: state.report(_issues(spark, sf_dir))
+
+# streams
+
+
+def _event_stream(spark, sf_dir):
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    # a pattern, since the source takes a plain path for a directory
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
+
+
+def _stream_limits(spark, sf_dir):
+    return stateful.to_table(stateful.limit_requests(_event_stream(spark, sf_dir), "user_id", "ts", 3600, 2), scratch(spark, "limits"))
+
+
+def _stream_drift(spark, sf_dir):
+    rows = _event_stream(spark, sf_dir).selectExpr("event_type AS key", "ts", "value / 100 AS confidence")
+    return stateful.to_table(stateful.track_findings(rows), scratch(spark, "drift"), "update")
+
+
+QUERIES["stream_rate_limit"] = _stream_limits
+QUERIES["stream_drift"] = _stream_drift

@@ -1 +1 @@
-
+"""State kept while events come in."""
