@@ -29,9 +29,11 @@ def drift(d: Dialect, scans: str, samples: int = SAMPLES) -> str:
     last = f"(SELECT key, COALESCE(confidence, {n(0.75)}) AS c, ROW_NUMBER() OVER (PARTITION BY key ORDER BY scan DESC, pos DESC) AS back FROM {scans} s)"
     kept = f"(SELECT key, c, CAST(-back AS DOUBLE) AS x FROM {last} l WHERE back <= {samples})"
     stats = f"(SELECT key, CAST(COUNT(*) AS BIGINT) AS n, CASE WHEN COUNT(*) < 2 THEN {n(0.0)} ELSE regr_slope(c, x) END AS slope, stddev_pop(c) AS spread FROM {kept} k GROUP BY key)"
-    label = f"CASE WHEN spread > {n(0.2)} THEN 'volatile' WHEN slope > {n(0.1)} THEN 'escalating' WHEN slope < {n(-0.1)} THEN 'resolving' ELSE 'stable' END"
-    milli = lambda x: d.half_up(f"{x} * {n(1e6)}")
-    return f"SELECT key, n, {milli('slope')} AS slope_millionths, {milli('spread')} AS spread_millionths, {label} AS label FROM {stats} s"
+    # compared in whole millionths, where the last bit of a sum does not decide
+    milli = lambda x: d.half_up(f"{x} * {d.num(1e6)}")
+    told = f"(SELECT key, n, {milli('slope')} AS slope_millionths, {milli('spread')} AS spread_millionths FROM {stats} s)"
+    label = "CASE WHEN spread_millionths > 200000 THEN 'volatile' WHEN slope_millionths > 100000 THEN 'escalating' WHEN slope_millionths < -100000 THEN 'resolving' ELSE 'stable' END"
+    return f"SELECT key, n, slope_millionths, spread_millionths, {label} AS label FROM {told} t"
 
 
 def timelines(d: Dialect, scans: str) -> str:
