@@ -7,7 +7,7 @@ from collections.abc import Callable
 from ..functions.dialect import DUCK, Dialect
 from ..functions.run import apply, over_tables
 from ..functions.tables import scratch
-from ..operators import classify, cluster, compare, documents, history, lines, rules, score, suppress, system, taint, verify
+from ..operators import classify, cluster, compare, documents, flow, history, lines, rules, score, suppress, system, taint, verify
 from ..sources import fixtures as T
 from ..sources import state
 from ..streaming import stateful
@@ -208,3 +208,20 @@ def _stream_drift(spark, sf_dir):
 
 QUERIES["stream_rate_limit"] = _stream_limits
 QUERIES["stream_drift"] = _stream_drift
+
+# data-flow findings
+
+
+def _seeds(d: Dialect) -> str:
+    """Sources alone as taint: what a plan in one query can have."""
+    return f"(SELECT doc_id, var, 0 AS pass_no, line_no FROM ({taint.seeds(d, _lines(d))}) z)"
+
+
+for _name, _op in {"pipeline_sinks": flow.sink_findings, "contextual_xss": flow.page_findings, "ssrf_requests": flow.request_findings}.items():
+    register(_name, lambda d, op=_op: op(d, _lines(d), _seeds(d)))
+register("pipeline_risk", lambda d: flow.score_flow(d, f"({flow.sink_findings(d, _lines(d), _seeds(d))})"))
+register("framework_findings", lambda d: flow.framework_findings(d, _lines(d), T.files(d)))
+register("trust_boundaries", lambda d: flow.trust_boundaries(d, _lines(d), T.files(d)))
+register("constructor_fields", lambda d: flow.constructor_fields(d, _lines(d)))
+register("result_audit", lambda d: flow.audit(d, T.issues(d), f"(SELECT o_orderkey AS doc_id, o_custkey % 101 AS reported FROM {d.table('orders')})"))
+register("compact_findings", lambda d: flow.compact(d, T.issues(d)))
