@@ -18,8 +18,7 @@ def piece_model() -> str:
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    out = sentencepiece_codec.encode_documents(docs, piece_model(), keep=["doc_id"])
-    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return sentencepiece_codec.encode_documents(docs, piece_model(), keep=["doc_id"], made=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,40 +57,31 @@ class Encoder:
     def __init__(self, proto: bytes, table_chunks: int = TABLE_CHUNKS):
         self.sp, self.table, self.most = load(proto), {}, table_chunks
         self.whole = not separable(self.sp)
-        self.mark = array("I", self.sp.encode("\n"))[:1].tobytes()
+        self.mark = array("I", self.sp.encode("\n"))[:1].tobytes()  # ids are kept as the machine's 32-bit numbers, little-endian ones
         # what the library puts before a line feed must be the marker alone, which a chunk that starts with one drops again
         self.whole |= self.sp.encode("\n", out_type=str)[:1] != [MARK]
 
     def _segment(self, chunks: list[str]) -> list[bytes]:
         """A leading marker is the one that the library adds itself, though not to an empty text; before a line feed it must go again."""
         ids = self.sp.encode([c if c[0] == "\n" else c[1:] for c in chunks])
-        packed = [np.asarray(x, dtype="<u4").tobytes() for x in ids]
+        packed = [array("I", x).tobytes() for x in ids]
         return [p[4:] if c[0] == "\n" else p or self.mark for c, p in zip(chunks, packed, strict=True)]
 
     def pack(self, texts: list[str]) -> list[bytes]:
         if self.whole:
-            return [np.asarray(x, dtype="<u4").tobytes() for x in self.sp.encode(texts)]
-        out = []
-        for text in texts:
-            if not text:
-                out.append(b"")
-                continue
-            chunks = _CHUNK.findall(" " + text)
-            if MARK in text:
-                chunks = [c.replace(MARK, " ") for c in chunks]
-            table = self.table
-            new = set(chunks).difference(table)
-            if new:
-                if len(table) + len(new) > self.most:
-                    self.table = table = {}
-                    new = set(chunks)
-                fresh = list(new)
-                table.update(zip(fresh, self._segment(fresh), strict=True))
-            out.append(b"".join(map(table.__getitem__, chunks)))
-            if len(new) and max(map(len, new)) > KEPT_CHARS:
-                for c in new:
-                    if len(c) > KEPT_CHARS:
-                        del table[c]
+            return [array("I", x).tobytes() for x in self.sp.encode(texts)]
+        cut = [_CHUNK.findall(f" {t}".replace(MARK, " ")) if t else [] for t in texts]
+        # the chunks of all these texts that the table lacks are segmented in one call
+        new = list(set().union(*cut).difference(self.table))
+        if len(self.table) + len(new) > self.most:
+            self.table = {}
+            new = list(set().union(*cut))
+        self.table.update(zip(new, self._segment(new), strict=True))
+        get = self.table.__getitem__
+        out = [b"".join(map(get, chunks)) for chunks in cut]
+        for c in new:
+            if len(c) > KEPT_CHARS:
+                del self.table[c]
         return out
 
 
@@ -102,9 +93,9 @@ def encode_documents(
     begin: bool = True,
     end: bool = True,
     table_chunks: int = TABLE_CHUNKS,
-    decode: bool = True,
+    made: tuple[str, ...] = ("ids", "n_tokens", "ids_sha256", "decoded", "decoded_sha256"),
 ) -> DataFrame:
-    """Adds ids (array of int), n_tokens, ids_sha256 and, if decode, decoded and decoded_sha256 to every row.
+    """Adds what `made` names to every row: ids (array of int), n_tokens, ids_sha256, decoded, decoded_sha256.
 
     The vocabulary file is read by the driver and sent to the tasks: half a megabyte whatever the input.
     """
@@ -112,30 +103,27 @@ def encode_documents(
 
     def make():
         enc = Encoder(proto.value, table_chunks)
-        head = np.asarray([enc.sp.bos_id()] * begin, dtype="<u4").tobytes()
-        tail = np.asarray([enc.sp.eos_id()] * end, dtype="<u4").tobytes()
+        head = array("I", [enc.sp.bos_id()] * begin).tobytes()
+        tail = array("I", [enc.sp.eos_id()] * end).tobytes()
         sha, back = hashlib.sha256, enc.sp.decode
 
         def kernel(texts: list[bytes]) -> list[pa.Array]:
             packed = [head + p + tail for p in enc.pack([t.decode("utf-8", "replace") for t in texts])]
-            flat = np.frombuffer(b"".join(packed), dtype="<i4")
             ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
-            made = [
-                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
-                pa.array(np.diff(ends), pa.int64()),
-                pa.array([sha(p).hexdigest() for p in packed]),
-            ]
-            if decode:
-                decoded = [back(np.frombuffer(p, dtype="<u4").tolist()) for p in packed]
-                made += [pa.array(decoded, pa.string()), pa.array([sha(d.encode()).hexdigest() for d in decoded])]
-            return made
+            decoded = [back(memoryview(p).cast("I").tolist()) for p in packed] if {"decoded", "decoded_sha256"} & set(made) else []
+            columns = {
+                "ids": lambda: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), dtype="<i4"))),
+                "n_tokens": lambda: pa.array(np.diff(ends), pa.int64()),
+                "ids_sha256": lambda: pa.array([sha(p).hexdigest() for p in packed]),
+                "decoded": lambda: pa.array(decoded, pa.string()),
+                "decoded_sha256": lambda: pa.array([sha(d.encode()).hexdigest() for d in decoded]),
+            }
+            return [columns[c]() for c in made]
 
         return kernel
 
-    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType())]
-    if decode:
-        fields += [T.StructField("decoded", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return append_columns(docs, text_col, make, fields, keep)
+    kinds = {"ids": T.ArrayType(T.IntegerType()), "n_tokens": T.LongType()}
+    return append_columns(docs, text_col, make, [T.StructField(c, kinds.get(c, T.StringType())) for c in made], keep)
 
 
 def decode_ids(df: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
