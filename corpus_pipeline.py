@@ -53,8 +53,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids with begin and end, and hashes of the ids and of the text that they decode to."""
-    out = sentencepiece_codec.encode_documents(docs.select("doc_id", "text"), piece_model(), keep=["doc_id"])
-    return out.select("doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256")
+    made = ("ids", "n_tokens", "ids_sha256", "decoded_sha256")
+    return sentencepiece_codec.encode_documents(docs.select("doc_id", "text"), piece_model(), keep=["doc_id"], made=made)
 
 
 STAGES = [
