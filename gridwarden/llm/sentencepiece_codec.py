@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -32,6 +33,21 @@ KEPT_CHARS = 64
 _CHUNK = re.compile(f"[ {MARK}]+[^ {MARK}\n]*|\n[^ {MARK}\n]*|[^ {MARK}\n]+")
 
 
+#: Longer texts are segmented in pieces of about so many characters.
+PIECE_CHARS = 1 << 19
+_BORDER = re.compile(r"(?<! ) |\n")
+
+
+def pieces(marked: str, size: int = PIECE_CHARS) -> Iterator[str]:
+    """A text whose markers are blanks, in pieces that start where a chunk does."""
+    at = 0
+    while at < len(marked):
+        m = _BORDER.search(marked, at + size)
+        end = m.start() if m else len(marked)
+        yield marked[at:end]
+        at = end
+
+
 def load(proto: bytes):
     import sentencepiece
 
@@ -70,7 +86,16 @@ class Encoder:
     def pack(self, texts: list[str]) -> list[bytes]:
         if self.whole:
             return [array("I", x).tobytes() for x in self.sp.encode(texts)]
-        cut = [_CHUNK.findall(f" {t}".replace(MARK, " ")) if t else [] for t in texts]
+        if any(len(t) > PIECE_CHARS for t in texts):
+            # long texts in pieces between chunks, so that memory does not follow the length of a text
+            return [b"".join(self._pack(p) for p in pieces(f" {t}".replace(MARK, " "))) if t else b"" for t in texts]
+        return self._pack_all([f" {t}".replace(MARK, " ") if t else "" for t in texts])
+
+    def _pack(self, marked: str) -> bytes:
+        return self._pack_all([marked])[0]
+
+    def _pack_all(self, marked: list[str]) -> list[bytes]:
+        cut = [_CHUNK.findall(t) for t in marked]
         # the chunks of all these texts that the table lacks are segmented in one call
         new = list(set().union(*cut).difference(self.table))
         if len(self.table) + len(new) > self.most:

@@ -95,6 +95,20 @@ def test_op1_random_texts(spark):
     same(got.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256"), piece_rows(enumerate(texts)))
 
 
+def test_op1_long_texts_in_pieces():
+    parts = [" ", "  ", "\n", "a", "the", "▁", "é", " of", "x" * 9]
+    random.seed(6)
+    with open(queries.piece_model(), "rb") as f:
+        enc = sentencepiece_codec.Encoder(f.read(), 50)
+    for _ in range(300):
+        text = "".join(random.choices(parts, k=40))
+        marked = f" {text}".replace("▁", " ")
+        assert "".join(sentencepiece_codec.pieces(marked, 7)) == marked
+        assert b"".join(enc._pack(p) for p in sentencepiece_codec.pieces(marked, 7)) == struct.pack(f"<{len(enc.sp.encode(text))}I", *enc.sp.encode(text))
+    text = "word another\n" * 60_000
+    assert enc.pack([text, ""]) == [struct.pack(f"<{len(enc.sp.encode(text))}I", *enc.sp.encode(text)), b""]
+
+
 def test_op4(spark, odd):
     same(queries.op4_secret_scan(spark, SF).drop("spans"), [(k, *brute.secrets(t)) for k, t in whole(spark)])
     got = secret_scan.digest(secret_scan.scan(odd))
