@@ -168,12 +168,24 @@ class Column:
         return (x.as_py() for x in self.column)
 
 
+#: Hashes that order a sample are cut to so many bits.
+ORDER_BITS = 40
+
+
 def labelled_sample(labels: DataFrame, label_col: str, id_col: str = "doc_id", usable=None, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """At most `rows` labelled ids, in the order of a hash of the id; the same whatever the partitioning."""
+    """At most `rows` labelled ids, in the order of a hash of the id; the same whatever the partitioning.
+
+    Of many labels only those with hashes low enough for four times the rows are put in order, so that what meets in one task does not grow with them.
+    """
     usable = F.lit(True) if usable is None else usable
     few = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1))
-    few = few.where(usable).groupBy("id").agg(F.max("y").alias("y"))
-    return few.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(rows)
+    order = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << ORDER_BITS))
+    few = few.where(usable).groupBy("id").agg(F.max("y").alias("y")).withColumn("place", order)
+    total = few.count()
+    if total > 8 * rows:
+        low = few.where(F.col("place") < (4 * rows << ORDER_BITS) // total)
+        few = low if low.limit(rows).count() == rows else few
+    return few.orderBy("place", "id").limit(rows).drop("place")
 
 
 def fold(id_col="id", parts: int = 5):

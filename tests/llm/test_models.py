@@ -116,3 +116,10 @@ def test_op3_separates(spark):
     row = queries.op3_lm_scoring(spark, SF).join(labels, "doc_id").groupBy("quality").avg("score").collect()
     mean = {r[0]: r[1] for r in row}
     assert mean[1] < mean[0]
+
+
+def test_sample_is_the_same_with_and_without_the_cut(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3000)] + [(None, 1), (5, 7)], "doc_id long, y int").repartition(7)
+    few = [(r.id, r.y) for r in toxicity.labelled_sample(labels, "y", rows=100).collect()]
+    many = [(r.id, r.y) for r in toxicity.labelled_sample(labels, "y", rows=3000).collect()]
+    assert len(few) == 100 and len(many) == 3000 and few == many[:100]
