@@ -122,7 +122,8 @@ def group_documents(
     rooted = written(nodes.join(member, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
     name = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "names")
     label = written(rooted.join(name, "root").select("fp", "component_id"), "labels")
-    forget(linked)
+    for done in (nodes, linked, rooted, name):
+        forget(done)
     return prints.join(label, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
