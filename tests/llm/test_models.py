@@ -1,5 +1,6 @@
 """Learned operators: held-out accuracy, and odd tables."""
 
+import hashlib
 import zlib
 
 import numpy as np
@@ -123,3 +124,29 @@ def test_sample_is_the_same_with_and_without_the_cut(spark):
     few = [(r.id, r.y) for r in toxicity.labelled_sample(labels, "y", rows=100).collect()]
     many = [(r.id, r.y) for r in toxicity.labelled_sample(labels, "y", rows=3000).collect()]
     assert len(few) == 100 and len(many) == 3000 and few == many[:100]
+
+
+def test_op3_tells_all_words_apart(spark):
+    """Rare words keep their own counts: under 18-bit ids, some of these would share those of a frequent one."""
+    ids, twins = {}, []
+    for i in range(6000):
+        word = hashlib.md5(str(i).encode()).hexdigest()[:12]
+        other = ids.setdefault(zlib.crc32(word.encode()) & ((1 << 18) - 1), word)
+        if other != word:
+            twins.append((other, word))
+    assert twins
+    often, rare = twins[0]
+    docs = [(i, f"{often} stands here") for i in range(50)] + [(50, f"{rare} stands"), (51, f"a {rare}"), (52, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    targets = spark.createDataFrame([(50,), (51,)], "doc_id long")
+    got = {r.doc_id: r for r in lm_scoring.score_documents(df, lm_scoring.fit(df, targets)).collect()}
+    texts = [t.split() for _, t in docs if t]
+    total = sum(map(len, texts))
+    one = lambda n: (n + lm_scoring.ADD) / (total + lm_scoring.ADD * lm_scoring.N_WORDS)
+    want = -np.log((1 + lm_scoring.DRAW * one(2)) / (len(texts) + lm_scoring.DRAW)) - np.log((1 + lm_scoring.DRAW * one(51)) / (2 + lm_scoring.DRAW))
+    assert got[50].background_loss == pytest.approx(want / 2, rel=1e-6)
+    # documents that the models are not of
+    new = spark.createDataFrame([(7, f"{rare} stands"), (8, "unseen"), (9, "")], "doc_id long, text string")
+    far = {r.doc_id: r for r in lm_scoring.score_documents(new, lm_scoring.fit(df, targets)).collect()}
+    assert far[7].background_loss == pytest.approx(got[50].background_loss, rel=1e-9) and far[7].score == pytest.approx(got[50].score, rel=1e-9)
+    assert far[8].background_loss > far[7].background_loss and far[9].n_tokens == 0
