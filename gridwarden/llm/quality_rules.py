@@ -91,7 +91,9 @@ def frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str | None
     """Rows (line, n_docs): hashes of host and line above the limit."""
     host = F.col(f"`{host_col}`").cast("string") if host_col else F.lit("")
     rows = docs.select(F.col(f"`{text_col}`").alias("body"), host.alias("host"))
-    per_host = rows.groupBy("host").agg(F.count("*").alias("n_host"))
+    # copies of a text are one document on both sides of the limit
+    texts = rows.select("host", F.xxhash64(F.coalesce("body", F.lit(""))).alias("doc")).distinct()
+    per_host = texts.groupBy("host").agg(F.count("*").alias("n_host"))
 
     def run(batches):
         for piece in slices(batches, 0):

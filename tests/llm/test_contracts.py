@@ -251,3 +251,10 @@ def test_op10_frequent_lines(spark, broadcast_lines):
     kept = {r.doc_id: r.kept for r in got.collect()}
     assert removed[1] == 4 + 2 and removed[100] == 0 and removed[300] == 34
     assert kept[1] and not kept[2] and kept[100] and not kept[300] and not kept[200]
+
+
+def test_op10_copies_do_not_raise_the_limit(spark):
+    rows = [(i, f"Home and contact\nown line number {i}", "a") for i in range(30)] + [(100 + i, "a text that was copied", "a") for i in range(970)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = quality_rules.apply_rules(docs, line_docs=5, line_share=0.05).where("doc_id < 100 and n_removed = 3")
+    assert got.count() == 30
