@@ -83,6 +83,15 @@ def line_keys(text: bytes, host: bytes) -> list[tuple[int, int]]:
     return out
 
 
+def without_lines(text: bytes, host: bytes, gone: np.ndarray) -> bytes:
+    """The text without the lines whose hash is in gone, which is in order."""
+    lines, mark = text.split(b"\n"), xxhash.xxh64_intdigest(host, 1)
+    words = [line.translate(WORDS).split() for line in lines]
+    hashes = _signed([xxhash.xxh64_intdigest(b" ".join(w), mark) for w in words])
+    cut = np.isin(hashes, gone)
+    return b"\n".join(line for line, w, c in zip(lines, words, cut.tolist(), strict=True) if not (w and c))
+
+
 def _signed(values) -> np.ndarray:
     return np.array(values, dtype=np.uint64).view(np.int64)
 
@@ -173,3 +182,50 @@ def apply_rules(
     failed = (words < MIN_WORDS) | (100 * again > MAX_REPEATED * words)
     depleted = (words - F.col("m_n_removed")) < F.lit(left_share) * words
     return made.select(*(F.col(i).alias(c) for i, c in zip(inner, keep, strict=True)), *(F.col(f"m_{n}").alias(n) for n in names), failed.alias("base_failed"), (~failed & ~depleted).alias("kept"))
+
+
+def remove_lines(
+    docs: DataFrame,
+    text_col: str = "text",
+    host_col: str | None = "source",
+    line_docs: int = LINE_DOCS,
+    line_share: float = LINE_SHARE,
+    broadcast_lines: int = BROADCAST_LINES,
+) -> DataFrame:
+    """The documents, all columns, with the frequent lines of their host cut out of the text. A null text stays null."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    text = names[docs.columns.index(text_col)]
+    host = F.col(names[docs.columns.index(host_col)]).cast("string") if host_col else F.lit("")
+    frequent = written(frequent_lines(docs, text_col, host_col, line_docs, line_share), "lines")
+    rows = docs.toDF(*names).withColumn("host", host)
+    few = frequent.count() <= broadcast_lines
+    if few:
+        known = docs.sparkSession.sparkContext.broadcast(np.sort(frequent.select("line").toArrow()["line"].to_numpy()))
+        rows = rows.withColumn("gone", F.lit(None).cast("array<long>"))
+    else:
+        known = None
+        rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+
+        def hashed(batches):
+            for piece in slices(batches, 2):
+                at, lines = [], []
+                for r, h, t in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), texts_of(piece.column(2)), strict=True):
+                    own = {k for k, _ in line_keys(t, b"\0" if h is None else h.encode())}
+                    at += [r] * len(own)
+                    lines += own
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(_signed(lines))], names=["row", "line"])
+
+        met = rows.select("row", "host", text).mapInArrow(hashed, "row long, line long").join(frequent.select("line"), "line")
+        rows = rows.join(met.groupBy("row").agg(F.collect_list("line").alias("gone")), "row", "left").drop("row")
+
+    def run(batches):
+        k = names.index(text)
+        for piece in slices(batches, k):
+            host, gone = piece.column(len(names)).to_pylist(), piece.column(len(names) + 1).to_pylist()
+            out = []
+            for t, h, g in zip(piece.column(k).to_pylist(), host, gone, strict=True):
+                lines = known.value if known is not None else np.sort(np.array(g or [], dtype=np.int64))
+                out.append(t if t is None or not len(lines) else without_lines(t.encode(), b"\0" if h is None else h.encode(), lines).decode())
+            yield piece.set_column(k, piece.schema.field(k), pa.array(out, piece.schema.field(k).type)).select(names)
+
+    return rows.select(*names, "host", "gone").mapInArrow(run, docs.toDF(*names).schema).toDF(*docs.columns)

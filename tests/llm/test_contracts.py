@@ -258,3 +258,13 @@ def test_op10_copies_do_not_raise_the_limit(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = quality_rules.apply_rules(docs, line_docs=5, line_share=0.05).where("doc_id < 100 and n_removed = 3")
     assert got.count() == 30
+
+
+@pytest.mark.parametrize("broadcast_lines", [10**6, 0])
+def test_op10_lines_are_cut(spark, broadcast_lines):
+    rows = [(i, f"Home | About\n\nown line {i}\nhome about", "a", i) for i in range(30)] + [(40, "Home | About\nb", "b", 1), (41, None, "a", 1), (42, "Home, about", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row long")
+    got = quality_rules.remove_lines(docs, line_docs=10, line_share=0.05, broadcast_lines=broadcast_lines)
+    assert got.columns == docs.columns
+    texts = {r.doc_id: r.text for r in got.collect()}
+    assert texts == {**{i: f"\nown line {i}" for i in range(30)}, 40: "Home | About\nb", 41: None, 42: "Home, about"}
