@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, append_columns, forget, fresh, written
+from .common import LOWER, append_columns, forget, written
 
 SHINGLE_WORDS = 5
 MAX_BITS = 3
@@ -117,23 +117,35 @@ def group_documents(
     """One row per document: its id, fp and component_id, the smallest id that links reach."""
     prints = written(fingerprints(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("body")), "body", ["id"], width=width), "prints")
     nodes = written(prints.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+    rooted, name = _named(nodes, max_bits)
+    label = written(rooted.join(name, "root").select("fp", "component_id"), "labels")
+    for done in (nodes, rooted, name):
+        forget(done)
+    return prints.join(label, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def _named(nodes: DataFrame, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """Of nodes (fp, least): rows (fp, least, root), and rows (root, component_id), the smallest least of each component."""
     linked = written(links(nodes.select("fp"), max_bits), "links")
     member = components(linked).select(F.col("node").alias("fp"), "root")
     rooted = written(nodes.join(member, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
     name = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "names")
-    label = written(rooted.join(name, "root").select("fp", "component_id"), "labels")
-    for done in (nodes, linked, rooted, name):
-        forget(done)
-    return prints.join(label, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    forget(linked)
+    return rooted, name
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """The documents, all columns, without those of a group other than the one with the smallest id.
+    """The documents, all columns, one row of each group: the one with the smallest id, and of those the first.
 
-    Rows that repeat an id stand for one document: one of them stays.
+    Rows are told apart by number, so that only linked rows go: null or repeated ids do not make one document of different texts.
     """
-    groups = group_documents(docs, id_col, text_col, width, max_bits)
-    kept_id = fresh("kept_id", docs.columns)
-    kept = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(kept_id)).distinct()
-    rows = docs.join(kept, docs[f"`{id_col}`"].eqNullSafe(kept[kept_id]), "left_semi")
-    return rows.dropDuplicates([id_col])
+    row, names = "row", [f"c{i}" for i in range(len(docs.columns))]
+    rows = written(docs.toDF(*names).withColumn(row, F.monotonically_increasing_id()), "rows")
+    own, body = F.col(names[docs.columns.index(id_col)]), F.col(names[docs.columns.index(text_col)])
+    prints = fingerprints(rows.select(row, own.alias("id"), body.alias("body")), "body", [row, "id"], width=width)
+    nodes = written(prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", row)).alias("least")), "nodes")
+    rooted, name = _named(nodes, max_bits)
+    forget(nodes)
+    forget(rooted)
+    kept = name.select(F.col(f"component_id.{row}").alias(row))
+    return rows.join(kept, row, "left_semi").select(*names).toDF(*docs.columns)

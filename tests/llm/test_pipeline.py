@@ -53,3 +53,10 @@ def test_groups_keep_one(spark):
     rows = [(i, text + (" more" if i % 2 else ""), "x") for i in range(50)] + [(99, "something else entirely", "y")]
     kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, kept_id string"), width=3)
     assert sorted(r.doc_id for r in kept.collect()) == [0, 99]
+
+
+def test_null_and_repeated_ids_are_not_one_document(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcde"]
+    rows = [(None, texts[0], 0), (None, texts[1], 1), (7, texts[2], 2), (7, texts[3], 3), (None, texts[2], 4), (9, texts[4], 5), (8, texts[4], 6)]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, row int"), width=3)
+    assert sorted(r.row for r in kept.collect()) == [0, 1, 2, 3, 6]
