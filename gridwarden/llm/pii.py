@@ -166,11 +166,13 @@ _ODD = re.compile("[^\x00-\x7f]")
 _NUMBER = re.compile(r"(?<!\w)(?:%s)(?:[\x20,-]+(?:%s|[0-9]))+(?!\w)" % ("|".join(sorted(SPELLED, key=len, reverse=True)), "|".join(sorted(SPELLED, key=len, reverse=True))), re.I)
 _SPELLED = re.compile(r"\w+")
 _OPEN = r"(?:\x20?[\[({<]\x20?%s\x20?[\])}>]\x20?|\x20%s\x20)"
-_DOT = _OPEN % ("(?:dot|punkt|point|punto)", "(?:dot|punkt)")
+_DOT = _OPEN % (r"(?:dot|punkt|point|punto|\.)", "(?:dot|punkt)")
+#: Four numbers with dots, plain or disguised, between them.
+_FOUR = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:(?:{_DOT}|\.)[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
 _DISGUISE = re.compile(
     rf"(?P<at>{_OPEN % ('(?:at|arroba|@)', 'at')})(?=[A-Za-z0-9-]{{1,63}}(?:(?:{_DOT}|\.)[A-Za-z0-9-]{{1,63}}){{1,5}})" rf"|(?P<dot>{_DOT})(?=[A-Za-z0-9-])", re.I
 )
-_HINT = re.compile(r"[\[({<\x20](?:at|arroba|@|dot|punkt|point|punto)[\])}>\x20]", re.I)
+_HINT = re.compile(r"[\[({<\x20](?:at|arroba|@|dot|punkt|point|punto|\.)[\])}>\x20]", re.I)
 
 
 def normalise(text: str) -> Tape:
@@ -187,9 +189,10 @@ def normalise(text: str) -> Tape:
     if _HINT.search(tape.text):
         marks = list(_DISGUISE.finditer(tape.text))
         near = sorted([m.start() for m in marks if m["at"]] + [i for i, c in enumerate(tape.text) if c == "@"])
-        # a dot is one only near a place that an address may have its @ in
+        fours = [x for m in _FOUR.finditer(tape.text) for x in m.span()]
+        # a dot is one only near a place that an address may have its @ in, or between the numbers of one
         close = lambda p: (i := bisect_left(near, p - REACH)) < len(near) and near[i] <= p + REACH
-        tape.rewrite([(m.start(), m.end(), "@" if m["at"] else ".") for m in marks if m["at"] or close(m.start())])
+        tape.rewrite([(m.start(), m.end(), "@" if m["at"] else ".") for m in marks if m["at"] or close(m.start()) or bisect_left(fours, m.start()) % 2])
     return tape
 
 

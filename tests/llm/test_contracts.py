@@ -268,3 +268,12 @@ def test_op10_lines_are_cut(spark, broadcast_lines):
     assert got.columns == docs.columns
     texts = {r.doc_id: r.text for r in got.collect()}
     assert texts == {**{i: f"\nown line {i}" for i in range(30)}, 40: "Home | About\nb", 41: None, 42: "Home, about"}
+
+
+def test_op8_disguised_dots():
+    told = lambda text: [(text[s:e], pii.NAMES[k]) for s, k, e in pii.find(text)]
+    for address in ("192 dot 168 dot 0 dot 1", "192[.]168[.]0[.]1", "192.168(.)0 [dot] 1"):
+        assert told(f"the host {address} answers") == [(address, "masked_ip")]
+        assert pii.redact(f"at {address}!", pii.find(f"at {address}!")) == "at <IP>!"
+    assert told("write name[@]example[.]com or me@mail(.)org") == [("name[@]example[.]com", "masked_email"), ("me@mail(.)org", "masked_email")]
+    assert told("300 dot 1 dot 2 dot 3 and 1 dot 2 dot 3") == []
