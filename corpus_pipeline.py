@@ -1,7 +1,7 @@
 """From raw documents to token ids, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. Toxic documents go, one document of
-each near-duplicate group stays, contaminated documents go, personal data is replaced by its kind, and what is left is encoded.
+each near-duplicate group stays, contaminated documents go and benchmark passages are cut out of the others, personal data is replaced by its kind, and what is left is encoded.
 All stages but the last return the columns of documents; n_chars follows the text.
 """
 
@@ -18,6 +18,8 @@ from gridwarden.llm.queries import piece_model
 
 #: Some stages have no form in SQL.
 ORACLE_SQL = None
+#: Benchmark passages of so many words are cut out of documents that stay: all that the query finds.
+CUT_WORDS = decontamination.WINDOW
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,11 +36,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that the rule of the query calls contaminated; others stay as they are."""
+    """Without documents that the rule of the query calls contaminated; spans of CUT_WORDS words or more are cut out of the others, and n_chars follows."""
     names = [f"c{i}" for i in range(len(docs.columns))]
-    found = decontamination.find_windows(docs.toDF(*names), read(spark, sf_dir, "benchmark"), names[docs.columns.index("text")])
+    text = names[docs.columns.index("text")]
+    found = decontamination.find_windows(docs.toDF(*names), read(spark, sf_dir, "benchmark"), text)
     clean = found.where(~decontamination.contaminated(F.col("n_hit"), F.col("n_words")))
-    return clean.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
+    cut = decontamination.remove_spans(clean, text, CUT_WORDS)
+    n_chars = lambda n: F.when(F.col("n_hit") > 0, F.length(text)).otherwise(F.col(n)).cast("long")
+    return cut.select(*((n_chars(n) if c == "n_chars" else F.col(n)).alias(c) for n, c in zip(names, docs.columns, strict=True)))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

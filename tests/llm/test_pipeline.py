@@ -60,3 +60,11 @@ def test_null_and_repeated_ids_are_not_one_document(spark):
     rows = [(None, texts[0], 0), (None, texts[1], 1), (7, texts[2], 2), (7, texts[3], 3), (None, texts[2], 4), (9, texts[4], 5), (8, texts[4], 6)]
     kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, row int"), width=3)
     assert sorted(r.row for r in kept.collect()) == [0, 1, 2, 3, 6]
+
+
+def test_passages_are_cut_out_of_long_documents(spark):
+    item = max((r.text for r in read(spark, SF, "benchmark").collect()), key=len)
+    own = " ".join(f"own{i}" for i in range(40 * len(item.split())))
+    docs = spark.createDataFrame([(1, f"{own} {item} last", 5), (2, "short", 9), (3, None, None)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_contaminated(spark, docs, SF).collect()}
+    assert got == {1: (f"{own} last", len(own) + 5), 2: ("short", 9), 3: (None, None)}
