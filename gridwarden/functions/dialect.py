@@ -9,6 +9,9 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 
+WORD, WORD_PAIR = r"\w+", r"\w+\.\w+"
+
+
 class Dialect:
     name = ""
 
@@ -55,6 +58,10 @@ class Dialect:
         """The factors whose conditions hold, multiplied from left to right."""
         return "(" + " * ".join([self.num(1.0), *(f"CASE WHEN {c} THEN {self.num(f)} ELSE {self.num(1.0)} END" for c, f in factors)]) + ")"
 
+    def any_word(self, x: str) -> str:
+        """Words of x and pairs of words with a dot between, as an array."""
+        return f"flatten({self.array([self.extract_all(x, WORD_PAIR), self.extract_all(x, WORD)])})"
+
     def strip(self, x: str) -> str:
         """Without white space of any kind at both ends."""
         return self.replace(x, r"^\s+|\s+\z", "")
@@ -118,6 +125,16 @@ class Spark(Dialect):
     def size(self, x):
         return f"size({x})"
 
+    def array(self, items):
+        return f"array({', '.join(items)})" if items else "CAST(array() AS ARRAY<STRING>)"
+
+    def each(self, x, item, body):
+        """The array with the body in place of each item."""
+        return f"transform({x}, {item} -> {body})"
+
+    def has(self, x, y):
+        return f"array_contains({x}, {y})"
+
     def contains(self, x, y):
         return f"contains({x}, {y})"
 
@@ -198,6 +215,15 @@ class Duck(Dialect):
     def size(self, x):
         return f"CAST(len({x}) AS INT)"
 
+    def array(self, items):
+        return f"[{', '.join(items)}]" if items else "CAST([] AS VARCHAR[])"
+
+    def each(self, x, item, body):
+        return f"list_transform({x}, lambda {item}: {body})"
+
+    def has(self, x, y):
+        return f"list_contains({x}, {y})"
+
     def contains(self, x, y):
         return f"contains({x}, {y})"
 

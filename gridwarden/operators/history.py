@@ -1,6 +1,6 @@
 """State kept over scans, in batch form: timelines, drift, recurring findings, caches, run statistics.
 
-scans: (key, title, category, severity, confidence, scan BIGINT): a row per finding and scan, scans numbered in order of time.
+scans: (repo, key, title, category, severity, confidence, scan BIGINT): a row per finding and scan, the scans of each repository numbered in order of time.
 """
 
 from __future__ import annotations
@@ -37,11 +37,12 @@ def drift(d: Dialect, scans: str, samples: int = SAMPLES) -> str:
 
 
 def timelines(d: Dialect, scans: str) -> str:
-    """First and last scan of each finding, how often it was seen, and whether it is in the last scan. The first severity stays."""
-    newest = f"(SELECT MAX(scan) AS newest FROM {scans} n)"
-    rows = f"(SELECT s.*, n.newest, ROW_NUMBER() OVER (PARTITION BY key ORDER BY scan, pos) AS place FROM {scans} s CROSS JOIN {newest} n)"
-    return f"""SELECT key, MAX(CASE WHEN place = 1 THEN severity END) AS severity, MIN(scan) AS first_seen, MAX(scan) AS last_seen, CAST(COUNT(*) AS BIGINT) AS seen_count,
-      CASE WHEN MAX(scan) = MAX(newest) THEN 'active' ELSE 'resolved' END AS status, CASE WHEN MAX(scan) < MAX(newest) THEN MAX(scan) + 1 END AS resolved_at FROM {rows} r GROUP BY key"""
+    """First and last scan of each finding of a repository, how often it was seen, and whether it is in the repository's last scan. The first severity stays."""
+    first = "struct(scan, pos)" if d.name == "spark" else "row(scan, pos)"
+    told = f"(SELECT repo, key, min_by(severity, {first}) AS severity, MIN(scan) AS first_seen, MAX(scan) AS last_seen, CAST(COUNT(*) AS BIGINT) AS seen_count FROM {scans} s GROUP BY repo, key)"
+    newest = f"(SELECT repo, MAX(last_seen) AS newest FROM {told} n GROUP BY repo)"
+    return f"""SELECT t.repo, t.key, severity, first_seen, last_seen, seen_count, CASE WHEN last_seen = newest THEN 'active' ELSE 'resolved' END AS status,
+      CASE WHEN last_seen < newest THEN last_seen + 1 END AS resolved_at FROM {told} t JOIN {newest} r ON t.repo = r.repo"""
 
 
 def remember(d: Dialect, memory: str, scan: str) -> str:

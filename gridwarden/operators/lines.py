@@ -59,9 +59,17 @@ def flow_nodes(d: Dialect, lines: str) -> str:
 
 
 def _ends(d: Dialect, starts: str, rows: str, strict: bool = False) -> str:
-    """For each start line the first later row that is indented no deeper (strict: less deep); null if there is none."""
+    """For each start line the first later row that is indented no deeper (strict: less deep); null if there is none.
+
+    Per depth at which a block starts, the rows that may end it are put in order with the starts, last first, and the nearest one before is taken: linear in the
+    rows for each depth.
+    """
     cmp = "<" if strict else "<="
-    return f"(SELECT s.doc_id, s.line_no, MIN(r.line_no) AS until FROM {starts} s LEFT JOIN {rows} r ON s.doc_id = r.doc_id AND r.line_no > s.line_no AND r.indent {cmp} s.indent GROUP BY s.doc_id, s.line_no)"
+    levels = f"(SELECT DISTINCT doc_id, indent AS level FROM {starts} sl)"
+    marks = f"SELECT r.doc_id, v.level, r.line_no, r.line_no AS mark, 0 AS starts FROM {rows} r JOIN {levels} v ON r.doc_id = v.doc_id AND r.indent {cmp} v.level"
+    both = f"(SELECT * FROM ({marks}) m UNION ALL SELECT doc_id, indent AS level, line_no, NULL AS mark, 1 AS starts FROM {starts} s)"
+    nearest = d.last_known("mark", "doc_id, level", "line_no DESC, starts DESC")
+    return f"(SELECT doc_id, line_no, until FROM (SELECT doc_id, line_no, starts, {nearest} AS until FROM {both} b) n WHERE starts = 1)"
 
 
 def flow_edges(d: Dialect, lines: str) -> str:

@@ -43,44 +43,54 @@ def edges(d: Dialect, lines: str) -> str:
     A function that the document does not define hands on; one that it defines, if its first return names the argument.
     """
     plain = " UNION ALL ".join(f"SELECT doc_id, line_no, {d.extract('body', p, 2)} AS src, {d.extract('body', p, 1)} AS dst FROM {lines} l{i} WHERE {d.match('body', p)}".replace("body", "raw") for i, p in enumerate(R.ALIASES))
+    return f"SELECT DISTINCT doc_id, src, dst, line_no FROM ({plain} UNION ALL {calls(d, lines)}) u WHERE src <> dst"
+
+
+def calls(d: Dialect, lines: str) -> str:
+    """(doc_id, line_no, src, dst): arguments that a call hands on to what its value is assigned to."""
     args = d.explode(f"(SELECT doc_id, line_no, {d.extract('raw', R.CALL_ALIAS, 1)} AS dst, {d.extract('raw', R.CALL_ALIAS, 2)} AS callee, {_list(d, d.extract('raw', R.CALL_ALIAS, 3), ',')} AS args FROM {lines} l WHERE {d.match('raw', R.CALL_ALIAS)}) s", "args", "arg", "pos", "doc_id, line_no, dst, callee")
     firsts = f"(SELECT doc_id, name, returns FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id, name ORDER BY line_no) AS place FROM ({L.functions(d, lines)}) f) g WHERE place = 1)"
-    called = f"SELECT a.doc_id, a.line_no, {d.strip('a.arg')} AS src, a.dst FROM {args} a LEFT JOIN {firsts} f ON a.doc_id = f.doc_id AND a.callee = f.name WHERE {d.strip('a.arg')} <> '' AND (f.name IS NULL OR {d.contains('f.returns', d.strip('a.arg'))})"
-    return f"SELECT DISTINCT doc_id, src, dst, line_no FROM ({plain} UNION ALL {called}) u WHERE src <> dst"
+    return f"SELECT a.doc_id, a.line_no, {d.strip('a.arg')} AS src, a.dst FROM {args} a LEFT JOIN {firsts} f ON a.doc_id = f.doc_id AND a.callee = f.name WHERE {d.strip('a.arg')} <> '' AND (f.name IS NULL OR {d.contains('f.returns', d.strip('a.arg'))})"
 
 
-def close(seeds: list, edges: list, passes: int = PASSES) -> list[tuple[str, int, int]]:
-    """(variable, pass, line) for all tainted ones: least states first, each variable settled once."""
+def settle(seeds: list, edges: list, passes: int = PASSES) -> list[tuple[str, int, int, int]]:
+    """(variable, pass, line, hops) for all tainted ones: least states first, each variable settled once. Hops are the edges from a source on the way that gave the state."""
     out: dict[str, list[tuple[str, int]]] = {}
     for src, dst, line in edges:
         out.setdefault(src, []).append((dst, line))
-    heap = [(0, line, v) for v, line in seeds]
+    heap = [(0, line, 0, v) for v, line in seeds]
     heapq.heapify(heap)
-    done: dict[str, tuple[int, int]] = {}
+    done: dict[str, tuple[int, int, int]] = {}
     while heap:
-        p, line, v = heapq.heappop(heap)
+        p, line, hops, v = heapq.heappop(heap)
         if v in done:
             continue
-        done[v] = (p, line)
+        done[v] = (p, line, hops)
         # sources are known before the first pass starts
         at = (1, 0) if p == 0 else (p, line)
         for dst, edge_line in out.get(v, ()):
             if dst not in done:
                 q = at[0] if edge_line > at[1] else at[0] + 1
                 if q <= passes:
-                    heapq.heappush(heap, (q, edge_line, dst))
-    return [(v, p, line) for v, (p, line) in done.items()]
+                    heapq.heappush(heap, (q, edge_line, hops + 1, dst))
+    return [(v, *state) for v, state in done.items()]
+
+
+def close(seeds: list, edges: list, passes: int = PASSES) -> list[tuple[str, int, int]]:
+    """(variable, pass, line) for all tainted ones."""
+    return [x[:3] for x in settle(seeds, edges, passes)]
 
 
 def closure(seed_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
-    """(doc_id, var, pass_no, line_no) of the tainted variables of each document; pass 0 for sources."""
-    state = T.ArrayType(T.StructType([T.StructField("var", T.StringType()), T.StructField("pass_no", T.IntegerType()), T.StructField("line_no", T.IntegerType())]))
+    """(doc_id, var, pass_no, line_no, hops) of the tainted variables of each document; pass 0 for sources."""
+    state = T.ArrayType(T.StructType([T.StructField("var", T.StringType()), *(T.StructField(n, T.IntegerType()) for n in ("pass_no", "line_no", "hops"))]))
 
     @F.pandas_udf(state)
     def closed(seeds, edges):
         import pandas as pd
 
-        return pd.Series([[{"var": v, "pass_no": p, "line_no": n} for v, p, n in close([(s["var"], s["line_no"]) for s in a], [(e["src"], e["dst"], e["line_no"]) for e in b])] for a, b in zip(seeds, edges, strict=True)])
+        told = lambda a, b: settle([(s["var"], s["line_no"]) for s in a], [(e["src"], e["dst"], e["line_no"]) for e in b])
+        return pd.Series([[{"var": v, "pass_no": p, "line_no": n, "hops": h} for v, p, n, h in told(a, b)] for a, b in zip(seeds, edges, strict=True)])
 
     null = lambda t: F.lit(None).cast(t)
     seed_type, edge_type = "struct<var:string,line_no:int>", "struct<src:string,dst:string,line_no:int>"
@@ -92,16 +102,30 @@ def closure(seed_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
 
 
 def tainted(lines: DataFrame) -> DataFrame:
-    return closure(apply(seeds, lines=lines), apply(edges, lines=lines))
+    return closure(apply(seeds, lines=lines), apply(edges, lines=lines)).drop("hops")
+
+
+def _walk(seed_sql: str, edge_sql: str) -> str:
+    """Recursive relations: every state that variables can have, and st, the least of each."""
+    later = "CASE WHEN e.line_no > w.ln THEN w.p ELSE w.p + 1 END"
+    return f"""WITH RECURSIVE sd AS ({seed_sql}), eg AS ({edge_sql}),
+      walk AS (SELECT doc_id, var, 1 AS p, 0 AS ln, 0 AS shown_pass, line_no AS shown_line FROM sd
+        UNION SELECT w.doc_id, e.dst, {later}, e.line_no, {later}, e.line_no FROM walk w JOIN eg e ON w.doc_id = e.doc_id AND w.var = e.src WHERE {later} <= {PASSES}),
+      st AS (SELECT doc_id, var, CAST(shown_pass AS INT) AS pass_no, CAST(shown_line AS INT) AS line_no, p, ln FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id, var ORDER BY shown_pass, shown_line) AS place FROM walk) x WHERE place = 1)"""
 
 
 def closure_sql(d: Dialect, lines: str) -> str:
     """The same closure as a recursive query, for engines that remove duplicates in recursion."""
-    return f"""WITH RECURSIVE sd AS ({seeds(d, lines)}), eg AS ({edges(d, lines)}),
-      walk AS (SELECT doc_id, var, 1 AS p, 0 AS ln, 0 AS shown_pass, line_no AS shown_line FROM sd
-        UNION SELECT w.doc_id, e.dst, CASE WHEN e.line_no > w.ln THEN w.p ELSE w.p + 1 END, e.line_no, CASE WHEN e.line_no > w.ln THEN w.p ELSE w.p + 1 END, e.line_no
-          FROM walk w JOIN eg e ON w.doc_id = e.doc_id AND w.var = e.src WHERE CASE WHEN e.line_no > w.ln THEN w.p ELSE w.p + 1 END <= {PASSES})
-      SELECT doc_id, var, CAST(shown_pass AS INT) AS pass_no, CAST(shown_line AS INT) AS line_no FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id, var ORDER BY shown_pass, shown_line) AS place FROM walk) x WHERE place = 1"""
+    return f"{_walk(seeds(d, lines), edges(d, lines))} SELECT doc_id, var, pass_no, line_no FROM st"
+
+
+def hops_sql(d: Dialect, seed_sql: str, edge_sql: str) -> str:
+    """closure() with hops: a second walk, over the edges that give their target its state."""
+    return f"""{_walk(seed_sql, edge_sql)},
+      hop AS (SELECT doc_id, var, 0 AS hops FROM st WHERE pass_no = 0
+        UNION SELECT h.doc_id, e.dst, h.hops + 1 FROM hop h JOIN st w ON h.doc_id = w.doc_id AND h.var = w.var JOIN eg e ON w.doc_id = e.doc_id AND w.var = e.src
+          JOIN st t ON t.doc_id = e.doc_id AND t.var = e.dst AND t.pass_no > 0 AND t.line_no = e.line_no AND t.pass_no = CASE WHEN e.line_no > w.ln THEN w.p ELSE w.p + 1 END)
+      SELECT s.doc_id, s.var, s.pass_no, s.line_no, CAST(MIN(h.hops) AS INT) AS hops FROM st s JOIN hop h ON s.doc_id = h.doc_id AND s.var = h.var GROUP BY s.doc_id, s.var, s.pass_no, s.line_no"""
 
 
 def _some_in(d: Dialect, names: str, x: str) -> str:

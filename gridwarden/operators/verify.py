@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..functions import verify_values as V
 from ..functions.dialect import Dialect
 from . import classify as C
+from . import lines as L
 
 
 def _rows(d: Dialect, made: list[str], item: str = "x", pos: str = "nth") -> str:
@@ -125,7 +126,7 @@ def symbolic_paths(d: Dialect, lines: str, tainted: str) -> str:
     sinks = f"(SELECT * FROM (SELECT l.doc_id, l.line_no, {sink} AS sink_type, {_some_in(d, 'n.names', 'l.raw')} AS hot FROM {lines} l LEFT JOIN {names} n ON l.doc_id = n.doc_id) x WHERE sink_type IS NOT NULL AND (hot OR sink_type = 'eval'))"
     guards = f"({symbolic_guards(d, lines)})"
     closing = f"(SELECT doc_id, line_no, indent FROM {lines} l WHERE {d.left('trimmed', 1)} = '}}')"
-    ends = f"(SELECT g.doc_id, g.line_no, MIN(b.line_no) AS until FROM {guards} g JOIN {closing} b ON g.doc_id = b.doc_id AND b.line_no > g.line_no AND b.indent < g.indent AND g.reach > 20 GROUP BY g.doc_id, g.line_no)"
+    ends = L._ends(d, f"(SELECT doc_id, line_no, indent FROM {guards} lg WHERE reach > 20)", closing, True)
     spans = f"(SELECT g.doc_id, g.line_no, g.kind, LEAST(g.line_no + g.reach, COALESCE(e.until, 2147483647)) AS until FROM {guards} g LEFT JOIN {ends} e ON g.doc_id = e.doc_id AND g.line_no = e.line_no)"
     rank = d.lookup("g.kind", V.SYMBOLIC_PRIORITY, 0)
     joined = f"(SELECT s.*, g.line_no AS guard_line, g.kind, ROW_NUMBER() OVER (PARTITION BY s.doc_id, s.line_no ORDER BY COALESCE({rank}, -1) DESC, g.line_no) AS place, COALESCE({rank}, -1) AS pr FROM {sinks} s LEFT JOIN {spans} g ON s.doc_id = g.doc_id AND s.line_no > g.line_no AND s.line_no <= g.until)"

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from ..functions.dialect import DUCK, Dialect
 from ..functions.run import apply, over_tables
-from ..functions.tables import scratch
+from ..functions.tables import scratch, written
 from ..operators import classify, cluster, compare, documents, flow, history, lines, rules, score, suppress, system, taint, verify
 from ..sources import fixtures as T
 from ..sources import state
@@ -152,8 +152,6 @@ for _name, _op in {
 }.items():
     register(_name, lambda d, op=_op: op(d, T.cases(d)))
 register("symbolic_guards", lambda d: verify.symbolic_guards(d, _lines(d)))
-register("symbolic_paths", lambda d: verify.symbolic_paths(d, _lines(d), f"({taint.seeds(d, _lines(d))})"))
-register("symbolic_findings", lambda d: verify.apply_paths(d, T.issues(d), f"({verify.symbolic_paths(d, _lines(d), f'({taint.seeds(d, _lines(d))})')})"))
 register("semantic_routes", lambda d: verify.semantic_routes(d, _lines(d)))
 register("semantic_summary", lambda d: verify.semantic_summary(d, _lines(d)))
 register("language_argmax", lambda d: verify.languages(d, T.files(d)))
@@ -209,17 +207,40 @@ def _stream_drift(spark, sf_dir):
 QUERIES["stream_rate_limit"] = _stream_limits
 QUERIES["stream_drift"] = _stream_drift
 
-# data-flow findings
+# data-flow findings, on taint closed over the lines that can run
 
 
-def _seeds(d: Dialect) -> str:
-    """Sources alone as taint: what a plan in one query can have."""
-    return f"(SELECT doc_id, var, 0 AS pass_no, line_no FROM ({taint.seeds(d, _lines(d))}) z)"
+def _flagged(spark, sf_dir):
+    """Parsed once, to a table that all steps read."""
+    return written(apply(flow.flagged, lines=QUERIES["lines_explode"](spark, sf_dir)), "lines")
 
 
-for _name, _op in {"pipeline_sinks": flow.sink_findings, "contextual_xss": flow.page_findings, "ssrf_requests": flow.request_findings}.items():
-    register(_name, lambda d, op=_op: op(d, _lines(d), _seeds(d)))
-register("pipeline_risk", lambda d: flow.score_flow(d, f"({flow.sink_findings(d, _lines(d), _seeds(d))})"))
+def register_flow(name: str, operator: Callable, then: Callable | None = None) -> None:
+    """then(d, found): what is made of the operator's rows."""
+    whole = lambda d, **inputs: then(d, f"({operator(d, **inputs)})") if then else operator(d, **inputs)
+
+    def query(spark, sf_dir):
+        lines = _flagged(spark, sf_dir)
+        return apply(whole, lines=lines, tainted=flow.tainted(lines))
+
+    QUERIES[name] = query
+    shared = f"WITH flagged_lines AS MATERIALIZED ({flow.flagged(DUCK, _lines(DUCK))}), tainted_names AS MATERIALIZED ({flow.tainted_sql(DUCK, 'flagged_lines')})"
+    ORACLES[name] = f"{shared} {whole(DUCK, lines='flagged_lines', tainted='tainted_names')}"
+
+
+register_flow("pipeline_sinks", flow.sink_findings)
+register_flow("contextual_xss", flow.page_findings)
+register_flow("ssrf_requests", flow.request_findings)
+register_flow("pipeline_risk", flow.sink_findings, flow.score_flow)
+register_flow("symbolic_paths", verify.symbolic_paths)
+
+
+def _symbolic(spark, sf_dir):
+    return apply(verify.apply_paths, issues=_issues(spark, sf_dir), paths=QUERIES["symbolic_paths"](spark, sf_dir))
+
+
+QUERIES["symbolic_findings"] = _symbolic
+ORACLES["symbolic_findings"] = verify.apply_paths(DUCK, T.issues(DUCK), f"({ORACLES['symbolic_paths']})")
 register("framework_findings", lambda d: flow.framework_findings(d, _lines(d), T.files(d)))
 register("trust_boundaries", lambda d: flow.trust_boundaries(d, _lines(d), T.files(d)))
 register("constructor_fields", lambda d: flow.constructor_fields(d, _lines(d)))

@@ -4,7 +4,7 @@ import pytest
 
 from gridwarden.functions.dialect import SPARK, not_starting
 from gridwarden.functions.run import apply
-from gridwarden.operators import cluster, compare, history, lines, rules, score, suppress, system, taint
+from gridwarden.operators import cluster, compare, flow, history, lines, rules, score, suppress, system, taint
 from gridwarden.operators.taint import close
 
 FIELDS = (
@@ -199,3 +199,62 @@ def test_attack_chain_needs_its_escalation(cases):
 def test_sql_literals_survive_both_dialects(spark):
     text = "it's \"${x}\" \\d \n{0,3}"
     assert spark.sql("SELECT " + SPARK.text(text).replace("{", "{")).first()[0] == text
+
+
+def flow_of(text):
+    flagged = apply(flow.flagged, lines=text)
+    return {"lines": flagged, "tainted": flow.tainted(flagged)}
+
+
+def test_flow_follows_aliases_and_leaves_dead_lines_out(source):
+    text = source("function f(req) {\n  const id = req.query.id;\n  const key = id;\n  const again = key;\n  db.query(again);\n  if (false) {\n    db.query(again);\n  }\n}")
+    given = flow_of(text)
+    assert rows(given["tainted"], "var", "pass_no", "line_no", "hops") == [("again", 1, 4, 2), ("id", 0, 2, 0), ("key", 1, 3, 1)]
+    (row,) = apply(flow.sink_findings, **given).collect()
+    # 95 less 8 a hop; 85 less 4 a hop
+    assert (row.line_no, row.sink, row.var, row.cwe, row.reachability, row.exploitability, row.confidence) == (5, "sql", "again", "CWE-89", 79, 88, 77)
+
+
+def test_flow_names_in_the_argument_count_first(source):
+    text = source("const id = req.query.id;\nconst other = req.query.other;\nconst x = other + db.query(id);\nlog(other); fetch(target);")
+    got = rows(apply(flow.sink_findings, **flow_of(text)), "line_no", "sink", "var")
+    assert got == [(3, "sql", "id"), (4, "ssrf", "other")]
+
+
+def test_flow_through_constructor_fields(source):
+    text = source("class Store:\n    def __init__(self, limit, root):\n        self.root = root\n        self.limit = limit\n\nname = request.args.get('name')\nstore = Store(3, name)\nopen(store.root)\nopen(store.limit)")
+    given = flow_of(text)
+    assert ("store.root", 1) in rows(given["tainted"], "var", "hops") and "store.limit" not in {r.var for r in given["tainted"].collect()}
+
+
+def test_flow_lists_of_arguments_are_options(source):
+    text = source("host = request.args.get('host')\nsubprocess.run(['ping', shlex.quote('x'), host], shell=False)\n")
+    got = rows(apply(flow.sink_findings, **flow_of(text)), "sink", "cwe", "exploitability", "confidence", "blast_radius")
+    assert got == [("cmd", "CWE-88", 45, 62, "medium")]
+
+
+def test_flow_in_pages_and_requests(source):
+    text = source("const a = req.query.a;\nel.innerHTML = a;\nel.innerHTML = DOMPurify.sanitize(a);\nreturn (<div dangerouslySetInnerHTML={{ __html: a }} />);\nfetch(a);\nx\nx\nx\nx\nx\nx\n// ALLOWED_HOSTS\nfetch(a);")
+    given = flow_of(text)
+    assert rows(apply(flow.page_findings, **given), "line_no", "context") == [(2, "dom-sink"), (4, "jsx")]
+    assert rows(apply(flow.request_findings, **given), "line_no", "kind") == [(5, "direct")]
+
+
+def test_block_ends_are_the_next_row_no_deeper(spark):
+    import random
+
+    random.seed(1)
+    data = [(doc, n, random.randint(0, 4)) for doc in range(6) for n in range(1, 60)]
+    starts = [x for x in data if random.random() < 0.5]
+    schema = "doc_id long, line_no int, indent int"
+    for strict in (False, True):
+        ends = lambda d, starts, every: lines._ends(d, starts, every, strict)[1:-1]  # noqa: B023, E731
+        got = rows(apply(ends, starts=spark.createDataFrame(starts, schema), every=spark.createDataFrame(data, schema)), "doc_id", "line_no", "until")
+        want = [(a, n, min((m for b, m, j in data if a == b and m > n and (j < i or j == i and not strict)), default=None)) for a, n, i in starts]
+        assert got == sorted(want, key=repr)
+
+
+def test_timelines_end_with_the_last_scan_of_their_repository(spark):
+    data = [(1, "1/a", "high", 1, 1), (1, "1/a", "low", 2, 1), (1, "1/b", "low", 1, 2), (2, "2/a", "medium", 1, 1), (2, "2/a", "low", 5, 2), (2, "2/c", "low", 5, 1)]
+    got = rows(apply(history.timelines, scans=spark.createDataFrame(data, "repo long, key string, severity string, scan long, pos long")), "repo", "key", "severity", "first_seen", "last_seen", "seen_count", "status", "resolved_at")
+    assert got == [(1, "1/a", "high", 1, 2, 2, "active", None), (1, "1/b", "low", 1, 1, 1, "resolved", 2), (2, "2/a", "medium", 1, 5, 2, "active", None), (2, "2/c", "low", 5, 5, 1, "active", None)]
