@@ -53,7 +53,8 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = license_scan.scan(read(spark, sf_dir, "documents"), keep=["doc_id"])
-    return out.drop("notices")
+    told = lambda x: F.concat_ws(":", x.label, x["first"].cast("string"), x["last"].cast("string"))
+    return out.withColumn("spans", F.array_join(F.transform("notices", told), ",")).drop("notices")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

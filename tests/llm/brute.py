@@ -140,3 +140,27 @@ def rules(text):
     again = {j for i, w in enumerate(windows) if count[w] > 1 for j in range(i, i + 8)}
     n = len(words)
     return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(again), n < 20 or 100 * len(again) > 30 * n
+
+
+def edits(a, b):
+    """Letters put in, left out or changed to make b of a."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def notices(text, known):
+    """Every window of a text against every notice; fewest errors first, then by start and end, and nothing that overlaps an earlier one of its notice."""
+    out = []
+    for notice, label, k in known:
+        near = [(e, s, t) for s in range(len(text)) for t in range(s + len(notice) - k, min(len(text), s + len(notice) + k) + 1) if (e := edits(notice, text[s:t])) <= k]
+        taken = []
+        for e, s, t in sorted(near):
+            if all(t <= a or b <= s for a, b in taken):
+                taken.append((s, t))
+                out.append((s, t, label, 1.0 - e / len(notice)))
+    return sorted(out)

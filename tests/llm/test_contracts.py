@@ -277,3 +277,32 @@ def test_op8_disguised_dots():
         assert pii.redact(f"at {address}!", pii.find(f"at {address}!")) == "at <IP>!"
     assert told("write name[@]example[.]com or me@mail(.)org") == [("name[@]example[.]com", "masked_email"), ("me@mail(.)org", "masked_email")]
     assert told("300 dot 1 dot 2 dot 3 and 1 dot 2 dot 3") == []
+
+
+def test_op7_finds_are_those_of_every_window():
+    random.seed(7)
+    known = [("all rights reserved", "reserved", 1), ("gnu general license", "gpl", 2), ("mit license", "mit", 2)]
+    search = license_scan.Searcher(notices=known)
+
+    def bent(text, times):
+        for _ in range(times):
+            at = random.randrange(len(text))
+            text = text[:at] + random.choice(["", "x", "e ", text[at] + "s"]) + text[at + 1 :]
+        return text
+
+    assert search.fuzzy("all rights reservd all rights reserved") == [(0, 18, "reserved", 1 - 1 / 19), (19, 38, "reserved", 1.0)]
+    for _ in range(250):
+        parts = [bent(random.choice(known)[0], random.randint(0, 3)) if random.random() < 0.7 else random.choice(["all", "license mit", "gnu"]) for _ in range(random.randint(1, 4))]
+        text = random.choice(["", " "]).join(parts)
+        assert search.fuzzy(text) == brute.notices(text, known), text
+
+
+def test_op7_long_texts_take_time_in_proportion():
+    import time
+
+    search = license_scan.Searcher()
+    for line in ("released under the mit licence ", "licensed under the apche license version 2 0 all rights reservd ", "released "):
+        began = time.time()
+        found = search.fuzzy(line * ((1 << 20) // len(line)))
+        assert time.time() - began < 20
+        assert len(found) >= (1 << 20) // len(line) - 1 or line == "released "
