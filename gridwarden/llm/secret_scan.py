@@ -2,14 +2,16 @@
 
 Strong candidates are reported as they are: assignments to a name that says password, secret, token or key; access identifiers;
 long hexadecimal runs. Weak ones, an identifier assignment, a mixed random-looking run or a network endpoint, say little
-alone. They are reported only when complementary parts stand in the same scope, SCOPE code points either way: an identifier with a
-secret, a secret with an identifier, an endpoint with both.
+alone. They are reported only when complementary parts stand beside them, with at most SCOPE code points between end and start: an identifier with a
+secret, a secret with an identifier, an endpoint with both. What overlaps a candidate is no complement of it, and a value that an
+identifier assigns is no secret.
 
 A pattern's matches and the gaps between them, from one pass each, give offsets as running sums. The interval join of the parts is a
-range frame over them in order of place: linear in the parts, with no pair made. Everything after the scan is keyed by a row number, so
+range frame over their ends and starts in order of place: linear in the parts, with no pair made. Everything after the scan is keyed by a row number, so
 there is one shuffle, of parts only; a text without parts sends one row.
 
-Defined cases: null and empty texts have no spans; rows with null or repeated ids each keep their own spans.
+Defined cases: null and empty texts have no spans; rows with null or repeated ids each keep their own spans. A very long text is one row of parts, in place order
+within one task.
 """
 
 from __future__ import annotations
@@ -63,13 +65,30 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
     found = rows.select("id", row, F.explode_outer(parts).alias("p")).select("id", row, "p.*").repartition(F.col(row))
     before = Window.partitionBy(row, "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = found.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(before)).withColumn("start", F.col("end") - F.col("len"))
-    near = Window.partitionBy(row).orderBy("start").rangeBetween(-scope, scope)
-    has = lambda *kinds: F.max(F.coalesce(F.col("ok") & F.col("kind").isin(*kinds), F.lit(False))).over(near)
-    linked = placed.withColumns({"has_id": has(1, 3), "has_secret": has(0, 2, 4)})
+    # a value that an identifier assigns is no secret beside it
+    order = Window.partitionBy(row).orderBy("start")
+    of_id = lambda c: F.when(F.col("kind") == 3, F.col(c))
+    inside = placed.withColumns({
+        "id_before": F.max(of_id("end")).over(order.rangeBetween(Window.unboundedPreceding, 0)),
+        "id_after": F.min(of_id("start")).over(order.rangeBetween(1, Window.unboundedFollowing)),
+    })
+    own = (F.col("kind") != 3) & (F.coalesce(F.col("id_before") > F.col("start"), F.lit(False)) | F.coalesce(F.col("id_after") < F.col("end"), F.lit(False)))
+    # two edges of each part, in order of place: what ends before a part and what starts behind it, within the scope, lies beside it
+    edges = inside.withColumn("own", own).withColumn("edge", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("at", F.when(F.col("edge") == 0, F.col("start")).otherwise(F.col("end")))
+    place = Window.partitionBy(row).orderBy("at")
+    behind, ahead = place.rangeBetween(-scope, 0), place.rangeBetween(0, scope)
+
+    def beside(*kinds):
+        good = F.col("ok") & F.col("kind").isin(*kinds) & ~F.col("own")
+        some = lambda edge, frame: F.max(F.coalesce(good & (F.col("edge") == edge), F.lit(False))).over(frame)
+        return F.when(F.col("edge") == 0, some(1, behind)).otherwise(some(0, ahead))
+
+    marked = edges.withColumns({"by_id": beside(1, 3), "by_secret": beside(0, 2, 4)})
+    linked = marked.groupBy(row, "kind", "pos").agg(*(F.first(c).alias(c) for c in ("id", "start", "end", "ok", "own")), F.max("by_id").alias("has_id"), F.max("by_secret").alias("has_secret"))
     told = (
         F.when(F.col("kind") <= 2, F.col("ok"))
         .when(F.col("kind") == 3, F.col("has_secret"))
-        .when(F.col("kind") == 4, F.col("has_id"))
+        .when(F.col("kind") == 4, F.col("has_id") & ~F.col("own"))
         .when(F.col("kind") == 5, F.col("has_id") & F.col("has_secret"))
     )
     name = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)

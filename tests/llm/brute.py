@@ -164,3 +164,19 @@ def notices(text, known):
                 taken.append((s, t))
                 out.append((s, t, label, 1.0 - e / len(notice)))
     return sorted(out)
+
+
+def linked_secrets(text, scope):
+    """All spans of the secret scan, by looking at every pair of parts."""
+    from gridwarden.llm import secret_scan as S
+
+    look = lambda p: [m.span() for m in re.finditer(p, text)]
+    parts = [(s, e, 0) for s, e in ((m.start(), m.end()) for m in re.finditer(S.ASSIGN, text) if len(m.group(2)) >= S.MIN_VALUE)]
+    parts += [(s, e, k) for k, p in ((1, S.ACCESS), (2, S.HEX), (3, S.IDENTIFIER), (4, S.MIXED), (5, S.ENDPOINT)) for s, e in look(p)]
+    ids = [(s, e) for s, e, k in parts if k == 3]
+    over = lambda p: p[2] != 3 and any(p[0] < e and s < p[1] for s, e in ids)
+    gap = lambda a, b: max(a[0], b[0]) - min(a[1], b[1])
+    has = lambda p, kinds: any(q[2] in kinds and not over(q) and 0 <= gap(p, q) <= scope for q in parts)
+    by_id, by_secret = (lambda p: has(p, (1, 3))), (lambda p: has(p, (0, 2, 4)))
+    told = {0: lambda p: True, 1: lambda p: True, 2: lambda p: True, 3: by_secret, 4: lambda p: by_id(p) and not over(p), 5: lambda p: by_id(p) and by_secret(p)}
+    return ",".join(f"{S.KINDS[k]}:{s}:{e}" for s, k, e in sorted((s, k, e) for s, e, k in parts if told[k]((s, e, k))))

@@ -306,3 +306,25 @@ def test_op7_long_texts_take_time_in_proportion():
         found = search.fuzzy(line * ((1 << 20) // len(line)))
         assert time.time() - began < 20
         assert len(found) >= (1 << 20) // len(line) - 1 or line == "released "
+
+
+def test_op4_links_are_those_of_all_pairs(spark, odd):
+    random.seed(8)
+    run = "AbCdEf0123456789abcdEFGHIJKL9876"
+    bits = ["client_id=abcd-1", f"client_id={run}", "user_id: 0123456789abcdef01234567", run, "token=abcdefgh", "https://a.example/x", f"https://a.example/?client_id={run}", "AKIA" + "A" * 16, "0" * 24, "x" * 30, "x" * 90, f"access_key_id={'z' * 60}"]
+    texts = ["".join(random.choice(bits) + random.choice([" ", "\n", ";", "é "]) for _ in range(random.randint(0, 7))) for _ in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.spans for r in secret_scan.digest(secret_scan.scan(docs, scope=60)).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == brute.linked_secrets(text, 60), text
+    same(queries.op4_secret_scan(spark, SF).select("doc_id", "spans"), [(k, brute.linked_secrets(t or "", secret_scan.SCOPE)) for k, t in whole(spark)])
+
+
+def test_op4_nothing_is_its_own_complement(spark):
+    run = "AbCdEf0123456789abcdEFGHIJKL9876"
+    long = "token=" + "z" * 450
+    texts = [f"client_id={run}", "user_id: 0123456789abcdef01234567", f"https://a.example/?client_id={run}", f"https://a.example/ client_id={run}", f"client_id=abcd {run}", f"{long} client_id=abcd", f"client_id=abcd {long}"]
+    got = {r.doc_id: r.spans for r in secret_scan.digest(secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    assert got[0] == got[2] == got[3] == "" and got[1] == "hex:9:33"
+    assert got[4] == f"linked_id:0:14,linked_secret:15:{15 + len(run)}"
+    assert got[5] == f"assign:0:456,linked_id:457:471" and got[6] == "linked_id:0:14,assign:15:471"
