@@ -135,6 +135,30 @@ def forget(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def as_read(df: DataFrame) -> bool:
+    """True if df is rows of files as they were read: columns and filters of one scan, nothing joined or made."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    return node.nodeName() == "LogicalRelation" and bool(df.inputFiles())
+
+
+def placed(df: DataFrame, what: str) -> DataFrame:
+    """The columns as c0, c1 and on, and `file` and `place`, which tell every row apart.
+
+    They are where a row stands in the files, however these are split into tasks, so that a task that runs again or a plan that is made anew has the same ones.
+    Rows that come from elsewhere are written first.
+    """
+    rows = df if as_read(df) else written(df.toDF(*(f"c{i}" for i in range(len(df.columns)))), what)
+    named = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rows.columns)] if len({c.lower() for c in rows.columns}) == len(rows.columns) else None
+    if named is None:  # names that clash can't be asked for by name
+        rows = written(df.toDF(*(f"c{i}" for i in range(len(df.columns)))), what)
+        named = [F.col(c) for c in rows.columns]
+    out = rows.select(*named, F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    out._gridwarden_path = getattr(rows, "_gridwarden_path", None)
+    return out
+
+
 def small_enough(df: DataFrame, limit: int) -> bool:
     """True if df has at most limit rows; reads no more than that."""
     return df.limit(limit + 1).count() <= limit

@@ -1,15 +1,16 @@
 """Near-duplicate groups by SimHash and multi-index hashing.
 
-A fingerprint's two halves are indexed apart. Two fingerprints that differ in at most three bits differ in at most
-one bit in one of the halves, so each half is looked up with the Hamming ball of radius one around it and every match is
-verified on the whole fingerprint. Of a pair one bit apart, only the side that lacks the bit looks the other up.
+A fingerprint's segments are indexed apart, each is looked up with the Hamming ball of radius one around it, and every match is verified on the whole.
+By distance: two halves of 64 bits, so that what differs in at most three bits is found for certain. By similarity: twenty segments of 28 bits;
+fingerprints that differ in at most 39 bits of the 560 are found for certain, others mostly (texts of similarity 0.8 differ in 80 or so), and the shingles
+themselves decide.
 
 Scale: texts with one fingerprint are one node, so a group of copies is one row before anything is joined. Matches are
 equi-joins on 33-bit keys, which adaptive execution splits where a key is hot; pairs are verified inside
 the join and only links leave it. Components are found by alternating stars over tables in the shared folder.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other; a group's name is its smallest id,
-null only if it has no other; repeated rows are separate rows of one group.
+null only if it has no other; repeated rows are separate rows of one group. A very long text is hashed in pieces.
 """
 
 from __future__ import annotations
@@ -21,30 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, append_columns, forget, written
+from .common import LOWER, append_columns, forget, placed, slices, small_enough, texts_of, written
 
-SHINGLE_WORDS = 5
+SHINGLE_WORDS, SIMILARITY = 5, 0.8
 MAX_BITS = 3
 SEED = 42
 
 
 def fingerprint(text: bytes, width: int = SHINGLE_WORDS) -> int:
     """64-bit SimHash of the word shingles of a text, repeats included; 0 without words."""
-    words = text.translate(LOWER).split()
-    if not words:
-        return 0
-    if len(words) < width:
-        shingles = [b" ".join(words)]
-    else:
-        shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
-    digest = xxhash.xxh64_intdigest
-    total, n = np.zeros(64, dtype=np.int64), 0
-    hashes = np.array([digest(s, SEED) for s in shingles], dtype="<u8")
-    for at in range(0, len(hashes), 1 << 16):
-        part = hashes[at : at + (1 << 16)]
-        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        n += len(part)
-    return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(_majority(shingle_hashes(text, width)), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, out_col: str = "fp", width: int = SHINGLE_WORDS) -> DataFrame:
@@ -59,24 +46,34 @@ def fingerprints(docs: DataFrame, text_col: str = "text", keep: list[str] | None
     return append_columns(docs, text_col, make, [T.StructField(out_col, T.LongType())], keep)
 
 
-def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Pairs (a, b) of different fingerprints at most max_bits (up to 3) apart; nodes has distinct ones in fp.
+def _matches(nodes: DataFrame, segments, bits: int, near) -> DataFrame:
+    """Pairs (a, b), a < b, of the fp of nodes that have a segment at most one bit apart and are near; some come several times.
 
-    A pair comes once, or twice if both halves find it.
+    Every segment is in a table under its number and value, and looked up with the Hamming ball of radius one around it. Of a pair one bit apart only the
+    side that lacks the bit finds the other.
     """
-    if not 0 <= max_bits <= 3:
-        raise ValueError("two halves and balls of radius one find up to three differing bits")
-    half = F.explode(F.array(F.lit(0), F.lit(1))).alias("half")
-    cut = nodes.select("fp", half).withColumn("seg", F.when(F.col("half") == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))))
-    key = F.col("seg") + F.when(F.col("half") == 1, F.lit(1 << 32)).otherwise(F.lit(0))
+    if not 1 <= bits <= 32:
+        raise ValueError("a segment has up to 32 bits")
+    cut = nodes.select("fp", F.posexplode(segments).alias("number", "segment"))
+    key = (F.col("number").cast("long") * F.lit(1 << 32)) + F.col("segment").cast("long")
     table = cut.select(key.alias("key"), F.col("fp").alias("b"))
-    one = F.array(*(F.lit(0 if i < 0 else 1 << i).cast("long") for i in range(-1, 32)))
+    one = F.array(*(F.lit(0 if i < 0 else 1 << i).cast("long") for i in range(-1, bits)))
     ball = cut.select(key.alias("base"), F.col("fp").alias("a"), F.explode(one).alias("bit"))
-    ball = ball.where(F.col("base").bitwiseAND(F.col("bit")) == 0)
-    ball = ball.select((F.col("base") + F.col("bit")).alias("key"), "a", "bit")
-    near = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits) & ((F.col("bit") > 0) | (F.col("a") < F.col("b")))
-    found = ball.alias("p").join(table.alias("t"), (F.col("p.key") == F.col("t.key")) & near)
-    return found.select("a", "b")
+    ball = ball.where(F.col("base").bitwiseAND(F.col("bit")) == 0).select((F.col("base") + F.col("bit")).alias("key"), "a")
+    found = ball.alias("p").join(table.alias("t"), (F.col("p.key") == F.col("t.key")) & (F.col("p.a") != F.col("t.b")) & near(F.col("p.a"), F.col("t.b")))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _apart(a, b):
+    return F.bit_count(a.bitwiseXOR(b))
+
+
+def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """Pairs (a, b), a < b, of different fingerprints at most max_bits (up to 3) apart; nodes has distinct ones in fp. Some come several times."""
+    if not 0 <= max_bits <= 3:
+        raise ValueError("two halves and balls of radius one find up to three differing bits")
+    halves = F.array(F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
+    return _matches(nodes, halves, 32, lambda a, b: _apart(a, b) <= max_bits)
 
 
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
@@ -108,7 +105,9 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     roots = now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    out._gridwarden_path = now._gridwarden_path
+    return out
 
 
 def group_documents(
@@ -127,25 +126,143 @@ def group_documents(
 def _named(nodes: DataFrame, max_bits: int) -> tuple[DataFrame, DataFrame]:
     """Of nodes (fp, least): rows (fp, least, root), and rows (root, component_id), the smallest least of each component."""
     linked = written(links(nodes.select("fp"), max_bits), "links")
-    member = components(linked).select(F.col("node").alias("fp"), "root")
-    rooted = written(nodes.join(member, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+    member = components(linked)
+    rooted = nodes.join(member.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = written(rooted, "rooted")
     name = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "names")
     forget(linked)
+    forget(member)
     return rooted, name
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+#: The wide fingerprint: segments, and bits of each. Pairs of which all segments differ in two bits or more are not found.
+SEGMENTS, SEGMENT_BITS = 20, 28
+#: Bits of 64 in which candidates may differ, and bits of the wide fingerprint (560): what is near for certain, and two bands to look at, nearer ones first.
+FIRST_BITS, SURE_BITS, BANDS = 16, 53, (76, 111)
+#: Distinct shingles that a text must have for its fingerprint alone to be believed.
+SURE_SHINGLES = 64
+#: Row keys that may be broadcast (16 bytes each).
+BROADCAST_ROWS = 1_000_000
+
+
+def shingle_hashes(text: bytes, width: int = SHINGLE_WORDS) -> np.ndarray:
+    """Hashes of the word shingles of a text, repeats included; fewer words are one shingle, none have none."""
+    words = text.translate(LOWER).split()
+    if len(words) < width:
+        shingles = [b" ".join(words)] if words else []
+    else:
+        shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
+    return np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], dtype=np.uint64)
+
+
+def _stream(h: np.ndarray, k: int) -> np.ndarray:
+    """Another hash of each of h."""
+    with np.errstate(over="ignore"):
+        x = h + np.uint64((k * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _majority(h: np.ndarray) -> np.ndarray:
+    total = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(h), 1 << 14):
+        total += np.unpackbits(h[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return 2 * total > len(h)
+
+
+def wide_fingerprint(h: np.ndarray) -> tuple[int, list[int]]:
+    """Of the shingle hashes of a text: 64 bits, and the segments of the wide fingerprint, from hashes of the hashes."""
+    size = SEGMENTS * SEGMENT_BITS
+    wide = np.concatenate([_majority(_stream(h, k)) for k in range(1, -(-size // 64) + 1)])[:size]
+    segments = wide.reshape(SEGMENTS, SEGMENT_BITS) @ (1 << np.arange(SEGMENT_BITS))
+    return int(np.packbits(_majority(h), bitorder="little").view("<u8")[0]), segments.tolist()
+
+
+def wide_fingerprints(docs: DataFrame, text_col: str, keep: list[str], width: int = SHINGLE_WORDS) -> DataFrame:
+    """Adds fp, segments and n_shingles (distinct) of each text."""
+
+    def make():
+        def kernel(texts: list[bytes]) -> list[pa.Array]:
+            hashes = [shingle_hashes(t, width) for t in texts]
+            prints = [wide_fingerprint(h) for h in hashes]
+            fp = np.array([x for x, _ in prints], dtype=np.uint64).view(np.int64)
+            return [pa.array(fp), pa.array([x for _, x in prints], pa.list_(pa.int32())), pa.array([len(np.unique(h)) for h in hashes], pa.int32())]
+
+        return kernel
+
+    fields = [T.StructField("fp", T.LongType()), T.StructField("segments", T.ArrayType(T.IntegerType())), T.StructField("n_shingles", T.IntegerType())]
+    return append_columns(docs, text_col, make, fields, keep)
+
+
+def similar_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of the fp of nodes that may be so similar, with the bits of their wide fingerprints that differ and the smaller number of shingles."""
+    found = _matches(nodes, F.col("segments"), SEGMENT_BITS, lambda a, b: _apart(a, b) <= FIRST_BITS).distinct()
+    side = lambda c: nodes.select(F.col("fp").alias(c), F.col("segments").alias(f"segments_{c}"), F.col("n_shingles").alias(f"n_{c}"))
+    both = found.join(side("a"), "a").join(side("b"), "b")
+    least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    bits = F.aggregate(F.zip_with("segments_a", "segments_b", _apart), F.lit(0), lambda x, y: x + y)
+    # sets of which one is smaller than the similarity asks for cannot be so similar
+    return both.where(least >= F.lit(similarity) * most).select("a", "b", bits.alias("bits"), least.alias("n_least")).where(F.col("bits") <= BANDS[-1])
+
+
+def jaccard(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Pairs (a, b) with the exact similarity of their sets of shingles; texts has fp and body."""
+    both = pairs.select("a", "b").join(texts.select(F.col("fp").alias("a"), F.col("body").alias("left")), "a").join(texts.select(F.col("fp").alias("b"), F.col("body").alias("right")), "b")
+
+    def run(batches):
+        for piece in slices(batches, 2):
+            out = []
+            for x, y in zip(texts_of(piece.column(2)), texts_of(piece.column(3)), strict=True):
+                x, y = np.unique(shingle_hashes(x, width)), np.unique(shingle_hashes(y, width))
+                same = len(np.intersect1d(x, y, assume_unique=True))
+                out.append(same / max(1, len(x) + len(y) - same))
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(out, pa.float64())], names=["a", "b", "similarity"])
+
+    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long, similarity double")
+
+
+def _of_rows(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Rows joined to row keys, (file, place) and more: broadcast if they are few."""
+    return rows.join(F.broadcast(keys) if small_enough(keys, BROADCAST_ROWS) else keys, ["file", "place"], how)
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """The documents, all columns, one row of each group: the one with the smallest id, and of those the first.
 
-    Rows are told apart by number, so that only linked rows go: null or repeated ids do not make one document of different texts.
+    Texts are linked where the sets of their shingles have at least the similarity. Candidates have a segment of the wide fingerprint at most one bit apart.
+    Those far within are believed; the others are verified by their shingles, nearer ones first, and only where they are not in one group yet, so that a
+    large group of near copies is not gone through pair by pair. Rows are told apart by where they stand, so that only linked rows go: null or
+    repeated ids do not make one document of different texts.
     """
-    row, names = "row", [f"c{i}" for i in range(len(docs.columns))]
-    rows = written(docs.toDF(*names).withColumn(row, F.monotonically_increasing_id()), "rows")
-    own, body = F.col(names[docs.columns.index(id_col)]), F.col(names[docs.columns.index(text_col)])
-    prints = fingerprints(rows.select(row, own.alias("id"), body.alias("body")), "body", [row, "id"], width=width)
-    nodes = written(prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", row)).alias("least")), "nodes")
-    rooted, name = _named(nodes, max_bits)
-    forget(nodes)
-    forget(rooted)
-    kept = name.select(F.col(f"component_id.{row}").alias(row))
-    return rows.join(kept, row, "left_semi").select(*names).toDF(*docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = placed(docs, "rows")
+    own, body = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
+    source = rows.select("file", "place", F.col(own).alias("id"), F.col(body).alias("body"))
+    prints = written(wide_fingerprints(source, "body", ["file", "place", "id"], width), "prints")
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "file", "place"))
+    nodes = written(prints.groupBy("fp").agg(first.alias("least"), F.first("segments").alias("segments"), F.max("n_shingles").alias("n_shingles")), "nodes")
+    pairs = written(similar_pairs(nodes, similarity), "pairs")
+    sure = (F.col("bits") <= SURE_BITS) & (F.col("n_least") >= SURE_SHINGLES)
+    edges = written(pairs.where(sure).select("a", "b"), "links")
+    member, low = components(edges), -1
+    for high in BANDS:
+        root = lambda c: member.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))  # noqa: B023, E731
+        far = pairs.where(~sure & (F.col("bits") > low) & (F.col("bits") <= high)).join(root("a"), "a", "left").join(root("b"), "b", "left")
+        ask = written(far.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "ask")
+        needed = ask.select(F.col("a").alias("fp")).unionByName(ask.select(F.col("b").alias("fp"))).distinct()
+        keys = written(nodes.join(needed, "fp", "left_semi").select("fp", "least.file", "least.place"), "keys")
+        texts = _of_rows(source.select("file", "place", "body"), keys, "inner").select("fp", "body")
+        found = written(jaccard(ask, texts, width).where(F.col("similarity") >= similarity).select("a", "b").unionByName(edges), "links")
+        for done in (ask, keys, edges, member):
+            forget(done)
+        edges, low = found, high
+        member = components(edges)
+    rooted = nodes.join(member, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    name = rooted.groupBy("root").agg(F.min("least").alias("kept"))
+    kept = written(rooted.join(name, "root").select("fp", "kept"), "kept")
+    gone = prints.join(kept, "fp").where((F.col("file") != F.col("kept.file")) | (F.col("place") != F.col("kept.place"))).select("file", "place")
+    gone = written(gone, "gone")
+    for done in (prints, nodes, pairs, edges, member, kept):
+        forget(done)
+    return _of_rows(rows, gone, "left_anti").select(*names).toDF(*docs.columns)

@@ -180,3 +180,29 @@ def linked_secrets(text, scope):
     by_id, by_secret = (lambda p: has(p, (1, 3))), (lambda p: has(p, (0, 2, 4)))
     told = {0: lambda p: True, 1: lambda p: True, 2: lambda p: True, 3: by_secret, 4: lambda p: by_id(p) and not over(p), 5: lambda p: by_id(p) and by_secret(p)}
     return ",".join(f"{S.KINDS[k]}:{s}:{e}" for s, k, e in sorted((s, k, e) for s, e, k in parts if told[k]((s, e, k))))
+
+
+def similar_groups(rows, width=5, similarity=0.8):
+    """{row number: smallest row number that links reach}: every pair of texts that share a shingle is compared, and copies without words are one group."""
+    sets = []
+    for t in rows:
+        words = re.findall(SPACES, lower(t or ""))
+        sets.append({tuple(words[i : i + width]) for i in range(len(words) - width + 1)} or {tuple(words)})
+    having = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            having.setdefault(x, []).append(i)
+    least = list(range(len(rows)))
+
+    def root(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    for i, s in enumerate(sets):
+        near = Counter(j for x in s for j in having[x] if j < i)
+        for j, n in near.items():
+            if n >= similarity * (len(s) + len(sets[j]) - n):
+                a, b = sorted((root(i), root(j)))
+                least[b] = a
+    return {i: root(i) for i in range(len(rows))}
