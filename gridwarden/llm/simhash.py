@@ -46,21 +46,25 @@ def fingerprints(docs: DataFrame, text_col: str = "text", keep: list[str] | None
     return append_columns(docs, text_col, make, [T.StructField(out_col, T.LongType())], keep)
 
 
-def _matches(nodes: DataFrame, segments, bits: int, near) -> DataFrame:
+def _matches(nodes: DataFrame, segments, bits: int, near, group: str | None = None) -> DataFrame:
     """Pairs (a, b), a < b, of the fp of nodes that have a segment at most one bit apart and are near; some come several times.
 
     Every segment is in a table under its number and value, and looked up with the Hamming ball of radius one around it. Of a pair one bit apart only the
-    side that lacks the bit finds the other.
+    side that lacks the bit finds the other. Nodes of one group, where it is not 0, are not paired.
     """
     if not 1 <= bits <= 32:
         raise ValueError("a segment has up to 32 bits")
-    cut = nodes.select("fp", F.posexplode(segments).alias("number", "segment"))
+    own = ["fp"] if group is None else ["fp", group]
+    cut = nodes.select(*own, F.posexplode(segments).alias("number", "segment"))
     key = (F.col("number").cast("long") * F.lit(1 << 32)) + F.col("segment").cast("long")
-    table = cut.select(key.alias("key"), F.col("fp").alias("b"))
+    table = cut.select(key.alias("key"), F.col("fp").alias("b"), *own[1:])
     one = F.array(*(F.lit(0 if i < 0 else 1 << i).cast("long") for i in range(-1, bits)))
-    ball = cut.select(key.alias("base"), F.col("fp").alias("a"), F.explode(one).alias("bit"))
-    ball = ball.where(F.col("base").bitwiseAND(F.col("bit")) == 0).select((F.col("base") + F.col("bit")).alias("key"), "a")
-    found = ball.alias("p").join(table.alias("t"), (F.col("p.key") == F.col("t.key")) & (F.col("p.a") != F.col("t.b")) & near(F.col("p.a"), F.col("t.b")))
+    ball = cut.select(key.alias("base"), F.col("fp").alias("a"), *own[1:], F.explode(one).alias("bit"))
+    ball = ball.where(F.col("base").bitwiseAND(F.col("bit")) == 0).select((F.col("base") + F.col("bit")).alias("key"), "a", *own[1:])
+    met = (F.col("p.key") == F.col("t.key")) & (F.col("p.a") != F.col("t.b")) & near(F.col("p.a"), F.col("t.b"))
+    if group:
+        met &= (F.col(f"p.{group}") == 0) | (F.col(f"p.{group}") != F.col(f"t.{group}"))
+    found = ball.alias("p").join(table.alias("t"), met)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
@@ -137,6 +141,8 @@ def _named(nodes: DataFrame, max_bits: int) -> tuple[DataFrame, DataFrame]:
 
 #: The wide fingerprint: segments, and bits of each. Pairs of which all segments differ in two bits or more are not found.
 SEGMENTS, SEGMENT_BITS = 20, 28
+#: The same bits cut anew, to find the middles of large groups.
+MARKS, MARK_BITS = 35, 16
 #: Bits of 64 in which candidates may differ, and bits of the wide fingerprint (560): what is near for certain, and two bands to look at, nearer ones first.
 FIRST_BITS, SURE_BITS, BANDS = 16, 53, (76, 111)
 #: Distinct shingles that a text must have for its fingerprint alone to be believed.
@@ -171,33 +177,37 @@ def _majority(h: np.ndarray) -> np.ndarray:
     return 2 * total > len(h)
 
 
-def wide_fingerprint(h: np.ndarray) -> tuple[int, list[int]]:
-    """Of the shingle hashes of a text: 64 bits, and the segments of the wide fingerprint, from hashes of the hashes."""
+def wide_fingerprint(h: np.ndarray) -> tuple[int, np.ndarray]:
+    """Of the shingle hashes of a text: 64 bits, and the bits of the wide fingerprint, from hashes of the hashes."""
     size = SEGMENTS * SEGMENT_BITS
     wide = np.concatenate([_majority(_stream(h, k)) for k in range(1, -(-size // 64) + 1)])[:size]
-    segments = wide.reshape(SEGMENTS, SEGMENT_BITS) @ (1 << np.arange(SEGMENT_BITS))
-    return int(np.packbits(_majority(h), bitorder="little").view("<u8")[0]), segments.tolist()
+    return int(np.packbits(_majority(h), bitorder="little").view("<u8")[0]), wide
+
+
+def _numbers(bits: np.ndarray, size: int) -> list[int]:
+    return (bits.reshape(-1, size) @ (1 << np.arange(size))).tolist()
 
 
 def wide_fingerprints(docs: DataFrame, text_col: str, keep: list[str], width: int = SHINGLE_WORDS) -> DataFrame:
-    """Adds fp, segments and n_shingles (distinct) of each text."""
+    """Adds fp, segments, marks and n_shingles (distinct) of each text."""
 
     def make():
         def kernel(texts: list[bytes]) -> list[pa.Array]:
             hashes = [shingle_hashes(t, width) for t in texts]
             prints = [wide_fingerprint(h) for h in hashes]
             fp = np.array([x for x, _ in prints], dtype=np.uint64).view(np.int64)
-            return [pa.array(fp), pa.array([x for _, x in prints], pa.list_(pa.int32())), pa.array([len(np.unique(h)) for h in hashes], pa.int32())]
+            cut = [pa.array([_numbers(x, size) for _, x in prints], pa.list_(pa.int32())) for size in (SEGMENT_BITS, MARK_BITS)]
+            return [pa.array(fp), *cut, pa.array([len(np.unique(h)) for h in hashes], pa.int32())]
 
         return kernel
 
-    fields = [T.StructField("fp", T.LongType()), T.StructField("segments", T.ArrayType(T.IntegerType())), T.StructField("n_shingles", T.IntegerType())]
+    numbers = T.ArrayType(T.IntegerType())
+    fields = [T.StructField("fp", T.LongType()), T.StructField("segments", numbers), T.StructField("marks", numbers), T.StructField("n_shingles", T.IntegerType())]
     return append_columns(docs, text_col, make, fields, keep)
 
 
-def similar_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of the fp of nodes that may be so similar, with the bits of their wide fingerprints that differ and the smaller number of shingles."""
-    found = _matches(nodes, F.col("segments"), SEGMENT_BITS, lambda a, b: _apart(a, b) <= FIRST_BITS).distinct()
+def _measured(found: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs (a, b) those that may be so similar, with the bits of their wide fingerprints that differ and the smaller number of shingles."""
     side = lambda c: nodes.select(F.col("fp").alias(c), F.col("segments").alias(f"segments_{c}"), F.col("n_shingles").alias(f"n_{c}"))
     both = found.join(side("a"), "a").join(side("b"), "b")
     least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
@@ -206,6 +216,30 @@ def similar_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
     return both.where(least >= F.lit(similarity) * most).select("a", "b", bits.alias("bits"), least.alias("n_least")).where(F.col("bits") <= BANDS[-1])
 
 
+def pairs_with_middles(nodes: DataFrame, similarity: float) -> DataFrame:
+    """For each node the nearest of those that stand for the nodes with one of its marks: a pair at most, however large a group is.
+
+    For a mark stand the node that shares its marks with most others, which in a group of copies of one text is that text or close to it, and two by chance.
+    """
+    marks = nodes.select("fp", F.posexplode("marks").alias("number", "mark")).select("fp", (F.col("number") * F.lit(1 << MARK_BITS) + F.col("mark")).alias("mark"))
+    often = marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(marks.join(often, "mark"), "marks")
+    central = shared.groupBy("fp").agg(F.sum("n").alias("n_shared"))
+    stand = [F.max_by("fp", F.struct("n_shared", "fp")), *(F.min_by("fp", F.xxhash64("fp", "mark", F.lit(k))) for k in (0, 1))]
+    middles = shared.join(central, "fp").groupBy("mark").agg(F.array_distinct(F.array(*stand)).alias("middles"))
+    met = shared.join(middles, "mark").select("fp", F.explode("middles").alias("other")).where((F.col("fp") != F.col("other")) & (_apart(F.col("fp"), F.col("other")) <= FIRST_BITS))
+    found = _measured(met.select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct(), nodes, similarity)
+    nearest = written(found.groupBy("a").agg(F.min(F.struct("bits", "b", "n_least")).alias("x")).select("a", "x.*"), "pairs")
+    forget(shared)
+    return nearest
+
+
+def similar_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of the fp of nodes, of different groups, that have a segment in common but for one bit and may be so similar."""
+    found = _matches(nodes, F.col("segments"), SEGMENT_BITS, lambda a, b: _apart(a, b) <= FIRST_BITS, "group").distinct()
+    return written(_measured(found, nodes, similarity), "pairs")
+
+
 def jaccard(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """Pairs (a, b) with the exact similarity of their sets of shingles; texts has fp and body."""
     both = pairs.select("a", "b").join(texts.select(F.col("fp").alias("a"), F.col("body").alias("left")), "a").join(texts.select(F.col("fp").alias("b"), F.col("body").alias("right")), "b")
@@ -227,13 +261,55 @@ def _of_rows(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     return rows.join(F.broadcast(keys) if small_enough(keys, BROADCAST_ROWS) else keys, ["file", "place"], how)
 
 
+class _Groups:
+    """Groups of nodes that grow by links."""
+
+    def __init__(self, nodes: DataFrame, source: DataFrame, width: int, similarity: float):
+        self.nodes, self.source, self.width, self.similarity = nodes, source, width, similarity
+        self.edges: DataFrame | None = None
+        self.member: DataFrame | None = None
+
+    def add(self, edges: DataFrame) -> None:
+        if self.edges is not None:
+            edges = edges.unionByName(self.edges)
+        edges = written(edges, "links")
+        self.forget()
+        self.edges, self.member = edges, components(edges)
+
+    def forget(self) -> None:
+        for done in (self.edges, self.member):
+            if done is not None:
+                forget(done)
+
+    def rooted(self) -> DataFrame:
+        """The nodes with the root of their group; null alone."""
+        return self.nodes.join(self.member, F.col("fp") == F.col("node"), "left").drop("node")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose shingles are so similar."""
+        ask = written(pairs.select("a", "b"), "ask")
+        needed = ask.select(F.col("a").alias("fp")).unionByName(ask.select(F.col("b").alias("fp"))).distinct()
+        keys = written(self.nodes.join(needed, "fp", "left_semi").select("fp", "least.file", "least.place"), "keys")
+        texts = _of_rows(self.source.select("file", "place", "body"), keys, "inner").select("fp", "body")
+        found = written(jaccard(ask, texts, self.width).where(F.col("similarity") >= self.similarity).select("a", "b"), "found")
+        forget(ask)
+        forget(keys)
+        return found
+
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that are not in one group."""
+        root = lambda c: self.member.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+        both = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
+        return both.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """The documents, all columns, one row of each group: the one with the smallest id, and of those the first.
 
-    Texts are linked where the sets of their shingles have at least the similarity. Candidates have a segment of the wide fingerprint at most one bit apart.
-    Those far within are believed; the others are verified by their shingles, nearer ones first, and only where they are not in one group yet, so that a
-    large group of near copies is not gone through pair by pair. Rows are told apart by where they stand, so that only linked rows go: null or
-    repeated ids do not make one document of different texts.
+    Texts are linked where the sets of their shingles have at least the similarity. First each text is compared with one in the middle of those around it, so that
+    a large group of near copies is one group after a pair a text. Then all candidates, which have a segment of the wide fingerprint at most one bit apart,
+    are paired if they are not in one group yet. Those far within are believed; the others are verified by their shingles, nearer ones first. Rows are
+    told apart by where they stand, so that only linked rows go: null or repeated ids do not make one document of different texts.
     """
     names = [f"c{i}" for i in range(len(docs.columns))]
     rows = placed(docs, "rows")
@@ -241,28 +317,26 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     source = rows.select("file", "place", F.col(own).alias("id"), F.col(body).alias("body"))
     prints = written(wide_fingerprints(source, "body", ["file", "place", "id"], width), "prints")
     first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "file", "place"))
-    nodes = written(prints.groupBy("fp").agg(first.alias("least"), F.first("segments").alias("segments"), F.max("n_shingles").alias("n_shingles")), "nodes")
-    pairs = written(similar_pairs(nodes, similarity), "pairs")
+    nodes = written(prints.groupBy("fp").agg(first.alias("least"), F.first("segments").alias("segments"), F.first("marks").alias("marks"), F.max("n_shingles").alias("n_shingles")), "nodes")
+    groups = _Groups(nodes, source, width, similarity)
     sure = (F.col("bits") <= SURE_BITS) & (F.col("n_least") >= SURE_SHINGLES)
-    edges = written(pairs.where(sure).select("a", "b"), "links")
-    member, low = components(edges), -1
+    near = pairs_with_middles(nodes, similarity)
+    found = groups.verified(near.where(~sure))
+    groups.add(near.where(sure).select("a", "b").unionByName(found))
+    numbered = written(groups.rooted().withColumn("group", F.coalesce("root", F.lit(0).cast("long"))), "numbered")
+    pairs = similar_pairs(numbered, similarity)
+    groups.add(pairs.where(sure).select("a", "b"))
+    low = -1
     for high in BANDS:
-        root = lambda c: member.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))  # noqa: B023, E731
-        far = pairs.where(~sure & (F.col("bits") > low) & (F.col("bits") <= high)).join(root("a"), "a", "left").join(root("b"), "b", "left")
-        ask = written(far.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "ask")
-        needed = ask.select(F.col("a").alias("fp")).unionByName(ask.select(F.col("b").alias("fp"))).distinct()
-        keys = written(nodes.join(needed, "fp", "left_semi").select("fp", "least.file", "least.place"), "keys")
-        texts = _of_rows(source.select("file", "place", "body"), keys, "inner").select("fp", "body")
-        found = written(jaccard(ask, texts, width).where(F.col("similarity") >= similarity).select("a", "b").unionByName(edges), "links")
-        for done in (ask, keys, edges, member):
-            forget(done)
-        edges, low = found, high
-        member = components(edges)
-    rooted = nodes.join(member, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        forget(found)
+        found = groups.verified(groups.apart(pairs.where(~sure & (F.col("bits") > low) & (F.col("bits") <= high))))
+        groups.add(found)
+        low = high
+    rooted = groups.rooted().select("fp", "least", F.coalesce("root", "fp").alias("root"))
     name = rooted.groupBy("root").agg(F.min("least").alias("kept"))
     kept = written(rooted.join(name, "root").select("fp", "kept"), "kept")
-    gone = prints.join(kept, "fp").where((F.col("file") != F.col("kept.file")) | (F.col("place") != F.col("kept.place"))).select("file", "place")
-    gone = written(gone, "gone")
-    for done in (prints, nodes, pairs, edges, member, kept):
+    gone = written(prints.join(kept, "fp").where((F.col("file") != F.col("kept.file")) | (F.col("place") != F.col("kept.place"))).select("file", "place"), "gone")
+    groups.forget()
+    for done in (prints, nodes, near, numbered, pairs, found, kept):
         forget(done)
     return _of_rows(rows, gone, "left_anti").select(*names).toDF(*docs.columns)
