@@ -39,11 +39,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Without documents that the rule of the query calls contaminated; spans of CUT_WORDS words or more are cut out of the others, and n_chars follows."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     text = names[docs.columns.index("text")]
-    found = decontamination.find_windows(docs.toDF(*names), read(spark, sf_dir, "benchmark"), text)
+    found = decontamination.find_windows(docs.toDF(*names), read(spark, sf_dir, "benchmark"), text, cut_words=CUT_WORDS)
     clean = found.where(~decontamination.contaminated(F.col("n_hit"), F.col("n_words")))
-    cut = decontamination.remove_spans(clean, text, CUT_WORDS)
-    n_chars = lambda n: F.when(F.col("n_hit") > 0, F.length(text)).otherwise(F.col(n)).cast("long")
-    return cut.select(*((n_chars(n) if c == "n_chars" else F.col(n)).alias(c) for n, c in zip(names, docs.columns, strict=True)))
+    made = {"text": F.coalesce("left", text), "n_chars": F.when(F.col("n_cut") > 0, F.length("left")).otherwise(F.col(names[docs.columns.index("n_chars")])).cast("long") if "n_chars" in docs.columns else None}
+    return clean.select(*(made[c].alias(c) if made.get(c) is not None else F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

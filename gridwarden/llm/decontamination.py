@@ -4,17 +4,20 @@ The automaton holds every run of consecutive words of every test item; words tha
 Streaming a document's words through it tracks the longest run that ends at each word. Where that run is as long as a
 window, its words are hit, and the state that holds the window names the items which have it.
 
-Scale: documents never move; one narrow pass each. Test items are gathered in shares of a bounded number of words, one
-automaton a share, and the passes are chained, so no broadcast grows with the benchmark.
+Scale: with a benchmark of one share, documents never move: one narrow pass. A larger one is gone through in shares of a bounded number of words, one automaton
+each; a share's hits are written before the next starts, so that a task has one automaton whatever the size of the benchmark.
 
 Defined cases: null or empty texts have no words and no hits; an item of fewer words than a window, but not none, is one window; items
-without words have none; repeated items count once; an item id that repeats names one item with all its texts.
+without words have none; repeated items count once; an item id that repeats names one item with all its texts. A very long text is streamed; repeated rows each
+get their row.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import alnum_words, append_columns, fresh, without
+from .common import alnum_words, append_columns, forget, placed, slices, texts_of, without, written
 
 WINDOW = 13
-#: Words of test items in one automaton; some 100 MB a task.
-SHARE_WORDS = 200_000
+#: Words of test items in one automaton; at some 900 bytes a word, 90 MB a task.
+SHARE_WORDS = 100_000
 
 
 class SuffixAutomaton:
@@ -132,9 +135,9 @@ class SuffixAutomaton:
         return [tuple(x) for x in found], names
 
 
-def _merge(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
-    for s, e in sorted([*a, *b]):
+    for s, e in sorted(spans):
         if out and out[-1][1] >= s:
             out[-1][1] = max(out[-1][1], e)
         else:
@@ -142,78 +145,99 @@ def _merge(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int
     return [tuple(x) for x in out]
 
 
-def shares(items: DataFrame, id_col: str, text_col: str, share_words: int) -> Iterable[list[tuple[str, bytes]]]:
-    """The test items in lists of about share_words words, by a hash of the id."""
+def shares(items: DataFrame, id_col: str, text_col: str, share_words: int) -> Iterator[list[tuple[str, bytes]]]:
+    """The test items in lists of about share_words words, by a hash of the id. More than one are dealt to a table first, of which each reads its part."""
     rows = items.select(F.col(f"`{id_col}`").cast("string").alias("k"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t")).where("k is not null")
     chars = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     n = max(1, -(-chars // (2 * share_words)))  # a word and what follows it are two characters at least
+    dealt = rows.withColumn("share", F.pmod(F.xxhash64("k"), F.lit(n)))
+    if n > 1:
+        dealt = written(dealt, "items", by="share")
     for i in range(n):
-        yield [(r.k, r.t.encode()) for r in rows.where(F.pmod(F.xxhash64("k"), F.lit(n)) == i).toLocalIterator()]
+        yield [(r.k, r.t.encode()) for r in dealt.where(F.col("share") == i).toLocalIterator()]
+    forget(dealt)
 
 
-def find_windows(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    text_col: str = "text",
-    item_col: str = "item_id",
-    item_text_col: str = "text",
-    window: int = WINDOW,
-    share_words: int = SHARE_WORDS,
-    keep: list[str] | None = None,
-) -> DataFrame:
-    """Adds n_words, hits (binary: pairs of 32-bit word positions, end exclusive), n_hit and items to every row."""
-    keep = without(docs.columns if keep is None else keep, ("n_words", "hits", "n_hit", "items"))
-    taken = {*docs.columns}
-    text = fresh("body", taken)
-    names = [fresh(f"{x}_so_far", taken) for x in ("hits", "items")]
-    out = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text_col}`").alias(text))
-    context = docs.sparkSession.sparkContext
-    earlier: str | None = None
-    for share in shares(benchmark, item_col, item_text_col, share_words):
-        auto = context.broadcast(SuffixAutomaton(((k, alnum_words(t)) for k, t in share), window))
-        out = _pass(out, text, keep, auto, names, earlier)
-        earlier = names[0]
-    state, found = F.col(f"`{names[0]}`"), F.col(f"`{names[1]}`")
-    made = {"n_words": state.words, "hits": state.spans, "n_hit": state.n, "items": F.array_sort(F.array_distinct(found))}
-    return out.select(*(F.col(f"`{c}`") for c in keep), *(c.alias(n) for n, c in made.items()))
-
-
-_STATE = T.StructType([T.StructField("words", T.LongType()), T.StructField("n", T.LongType()), T.StructField("spans", T.BinaryType())])
+_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
-def _pass(df: DataFrame, text: str, keep: list[str], auto, names: list[str], earlier: str | None) -> DataFrame:
-    """One automaton over all texts. From the second on, what earlier ones found is put together with it."""
-    state, items = names
-    new = [fresh(f"{x}_new", df.columns) for x in names]
+def _found(rows: DataFrame, auto, text: str, keep: list[str]) -> DataFrame:
+    """Adds spans and items of one automaton."""
 
     def make():
         a = auto.value
 
         def kernel(texts: list[bytes]) -> list[pa.Array]:
-            rows, owners = [], []
-            for t in texts:
-                words = alnum_words(t)
-                spans, found = a.spans(words)
-                rows.append({"words": len(words), "n": sum(e - s for s, e in spans), "spans": np.array(spans, dtype="<i4").tobytes()})
-                owners.append(sorted(found))
-            kind = pa.struct([("words", pa.int64()), ("n", pa.int64()), ("spans", pa.binary())])
-            return [pa.array(rows, kind), pa.array(owners, pa.list_(pa.string()))]
+            met = [a.spans(alnum_words(t)) for t in texts]
+            spans = [[{"start": s, "end": e} for s, e in x] for x, _ in met]
+            return [pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array([sorted(x) for _, x in met], pa.list_(pa.string()))]
 
         return kernel
 
-    fields = [T.StructField(new[0], _STATE), T.StructField(new[1], T.ArrayType(T.StringType()))]
-    out = append_columns(df, text, make, fields)
-    if earlier is None:
-        return out.withColumnsRenamed(dict(zip(new, names, strict=True)))
+    return append_columns(rows, text, make, [T.StructField("spans", _SPANS), T.StructField("items", T.ArrayType(T.StringType()))], keep)
 
-    @F.udf(_STATE)
-    def joined(a, b):
-        unpack = lambda x: [tuple(p) for p in np.frombuffer(x, dtype="<i4").reshape(-1, 2).tolist()]
-        spans = _merge(unpack(a.spans), unpack(b.spans))
-        return a.words, sum(e - s for s, e in spans), np.array(spans, dtype="<i4").tobytes()
 
-    both = joined(F.col(f"`{state}`"), F.col(f"`{new[0]}`"))
-    return out.withColumn(state, both).withColumn(items, F.concat(F.col(f"`{items}`"), F.col(f"`{new[1]}`"))).drop(*new)
+def find_windows(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = WINDOW,
+    share_words: int = SHARE_WORDS,
+    keep: list[str] | None = None,
+    cut_words: int | None = None,
+) -> DataFrame:
+    """Adds n_words, hits (binary: pairs of 32-bit word positions, end exclusive), n_hit and items to every row.
+
+    With cut_words also n_cut, the words in hit spans of at least so many words, and left, the text without these spans; null if nothing is cut.
+    A benchmark of several shares is gone through one share after the other, each writing what it hits, so that no task has more than one automaton.
+    """
+    made = {"n_words": T.LongType(), "hits": T.BinaryType(), "n_hit": T.LongType(), "items": T.ArrayType(T.StringType())}
+    if cut_words is not None:
+        made |= {"n_cut": T.LongType(), "left": T.StringType()}
+    keep = without(docs.columns if keep is None else keep, made)
+    context = docs.sparkSession.sparkContext
+    ready = (context.broadcast(SuffixAutomaton(((k, alnum_words(t)) for k, t in share), window)) for share in shares(benchmark, item_col, item_text_col, share_words))
+    first, second = next(ready), next(ready, None)
+    if second is None:
+        named = [f"c{i}" for i in range(len(keep))]
+        rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, named, strict=True)), F.col(f"`{text_col}`").alias("body"))
+        told = lambda: first.value.spans
+    else:
+        rows = placed(docs, "rows")
+        named, text = [f"c{docs.columns.index(c)}" for c in keep], f"c{docs.columns.index(text_col)}"
+        tables = [written(_found(rows, auto, text, ["file", "place"]).where(F.size("spans") > 0), "hits") for auto in chain((first, second), ready)]
+        hits = reduce(DataFrame.unionByName, tables).groupBy("file", "place").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        met = written(hits, "hits")
+        for done in tables:
+            forget(done)
+        rows = rows.join(met, ["file", "place"], "left").select(*named, F.col(text).alias("body"), "spans", "items")
+        told = None
+    k = len(named)
+    schema = T.StructType([*(T.StructField(f"k{i}", rows.schema[n].dataType) for i, n in enumerate(named)), *(T.StructField(f"o{i}", t) for i, t in enumerate(made.values()))])
+    arrow = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.string()), pa.int64(), pa.string()][: len(made)]
+
+    def one(text: bytes, spans: list[tuple[int, int]], items: list[str]) -> tuple:
+        out = [len(alnum_words(text)), np.array(spans, dtype="<i4").tobytes(), sum(e - s for s, e in spans), items]
+        if cut_words is not None:
+            far = [(s, e) for s, e in spans if e - s >= cut_words]
+            out += [sum(e - s for s, e in far), left_of(text.decode("utf-8", "replace"), far) if far else None]
+        return out
+
+    def run(batches):
+        spans_of = told() if told else None
+        for piece in slices(batches, k):
+            texts = texts_of(piece.column(k))
+            if spans_of:
+                met = [(spans, sorted(items)) for spans, items in (spans_of(alnum_words(t)) for t in texts)]
+            else:
+                met = [(_merge([(x["start"], x["end"]) for x in s or []]), i or []) for s, i in zip(piece.column(k + 1).to_pylist(), piece.column(k + 2).to_pylist(), strict=True)]
+            columns = zip(*(one(t, *m) for t, m in zip(texts, met, strict=True)), strict=True)
+            yield pa.RecordBatch.from_arrays([*(piece.column(i) for i in range(k)), *(pa.array(c, t) for c, t in zip(columns, arrow, strict=True))], names=schema.names)
+
+    out = rows.mapInArrow(run, schema)
+    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), *(F.col(f"o{i}").alias(n) for i, n in enumerate(made)))
 
 
 def contaminated(n_hit, n_words, one_in: int = 20):
@@ -224,6 +248,16 @@ def contaminated(n_hit, n_words, one_in: int = 20):
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
 
+def left_of(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the words of the spans, and the blanks that follow them."""
+    at = [m.span() for m in _WORD.finditer(text)]
+    parts, last = [], 0
+    for s, e in spans:
+        parts.append(text[last : at[s][0]])
+        last = at[e][0] if e < len(at) else len(text)
+    return "".join([*parts, text[last:]])
+
+
 def remove_spans(found: DataFrame, text_col: str = "text", min_words: int = WINDOW) -> DataFrame:
     """Cuts hit spans of at least min_words words out of the texts of a find_windows() result, with the blank that follows."""
 
@@ -234,15 +268,7 @@ def remove_spans(found: DataFrame, text_col: str = "text", min_words: int = WIND
         out = []
         for t, h in zip(text, hits, strict=True):
             spans = [(s, e) for s, e in np.frombuffer(h or b"", dtype="<i4").reshape(-1, 2).tolist() if e - s >= min_words]
-            if t is None or not spans:
-                out.append(t)
-                continue
-            at = [m.span() for m in _WORD.finditer(t)]
-            parts, last = [], 0
-            for s, e in spans:
-                parts.append(t[last : at[s][0]])
-                last = at[e][0] if e < len(at) else len(t)
-            out.append("".join([*parts, t[last:]]))
+            out.append(left_of(t, spans) if t is not None and spans else t)
         return pd.Series(out, dtype=object)
 
     return found.withColumn(text_col, cut(F.col(f"`{text_col}`"), F.col("hits")))

@@ -72,7 +72,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
-    found = decontamination.find_windows(docs, items, keep=["doc_id"])
+    found = decontamination.find_windows(docs, items, keep=["doc_id"], cut_words=decontamination.WINDOW)
     return found.select(
         "doc_id",
         "n_words",
@@ -80,6 +80,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         decontamination.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+        "n_cut",
+        F.sha2(F.col("left").cast("binary"), 256).alias("left_sha256"),
     )
 
 
