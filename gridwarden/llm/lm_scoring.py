@@ -4,12 +4,12 @@ Both models are bigram models, smoothed towards unigrams, over all words: a word
 corpus is counted, and no table is of a fixed size. A document's score is the mean per-token difference, target minus background:
 lower is closer to the target.
 
-Scale: documents are dealt to chunks by their place in the input. Each task sends the distinct words and pairs of its chunks with their counts, packed by share of
+Scale: documents are dealt to chunks by their place in the files, which a task that runs again or a new plan does not change. Each task sends the distinct words and pairs of its chunks with their counts, packed by share of
 the keys; the shares, which become more with the input, are summed apart, and the totals go back to each chunk in the order of its keys. Then a chunk has all
 that its documents need. Nothing is gathered on the driver; a word or pair comes once a chunk, so that no frequent one is a hot key.
 
 Defined cases: a text without words has zero tokens, cross entropies and score; without target documents the target model is flat;
-a null id is never a target; repeated rows count as often as they come.
+a null id is never a target; repeated rows count as often as they come. A very long text is scored in one go, in its chunk.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORDS, slices, small_enough, texts_of, without, written
+from .common import WORDS, placed, slices, small_enough, texts_of, without
 
 #: Words that additive smoothing sets something aside for.
 N_WORDS = 1 << 18
@@ -34,7 +34,7 @@ BROADCAST_IDS = 2_000_000
 #: Documents that share what they learn of the corpus.
 CHUNK_DOCS = 4096
 #: Tokens that a task holds before it counts them, and distinct keys before it sends them.
-HELD_TOKENS, HELD_KEYS = 1 << 19, 1 << 22
+HELD_TOKENS, HELD_KEYS = 1 << 19, 1 << 21
 
 _START, _TOTAL = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)  # count documents with words, and tokens
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
@@ -109,11 +109,10 @@ class Models:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """The columns as c0, c1 and on, and the chunk. Rows in a shuffled order are written first, so that they are numbered alike each time."""
-    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
-        docs = written(docs, "corpus")
-    place = F.monotonically_increasing_id()
-    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).withColumn("place", place).withColumn("chunk", F.col("place") - F.col("place") % CHUNK_DOCS).drop("place")
+    """The columns as c0, c1 and on, and the chunk: CHUNK_DOCS rows that stand together in a file, the same ones each time."""
+    rows = placed(docs, "corpus")
+    chunk = F.xxhash64("file", F.floor(F.col("place") / CHUNK_DOCS)).bitwiseAND(F.lit((1 << 63) - 1))
+    return rows.withColumn("chunk", chunk).drop("file", "place")
 
 
 def fit(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", target_id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = BROADCAST_IDS) -> Models:

@@ -8,10 +8,10 @@ so the model is the same size whatever the corpus: sent to the tasks once, appli
 Metadata is the stated length of a document (n_chars): whether it is there, its logarithm, and how far it is from the true one.
 Labels, language, source and id are never features.
 
-Training takes at most SAMPLE_ROWS labelled documents, those with the smallest id hashes.
+Training takes at most SAMPLE_ROWS labelled documents, those with the smallest id hashes; their features are made in the tasks.
 
 Defined cases: null and empty texts have no word features and zero statistics, and are scored like any other; null metadata is a feature of
-its own; with one kind of label only, every score is that label's share, 0.5 without labels.
+its own; with one kind of label only, every score is that label's share, 0.5 without labels. Repeated rows each get their score; a very long text is one row of features.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORDS, append_columns, fresh
+from .common import WORDS, append_columns, forget, fresh, slices, texts_of
 from .toxicity import labelled_sample, sample_texts
 
 SAMPLE_ROWS = 8_000
@@ -154,8 +154,19 @@ def train(rows: list[tuple], labels: list[int], buckets: int = BUCKETS, rank: in
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars", usable=None, rows: int = SAMPLE_ROWS) -> Machine:
     stated = F.col(f"`{size_col}`").cast("double").alias("stated") if size_col in docs.columns else F.lit(None).cast("double").alias("stated")
-    table = sample_texts(docs, labelled_sample(labels, label_col, id_col, usable, rows), id_col, text_col, (stated,))
-    made = [features(t.encode(), s, BUCKETS) for t, s in zip(table["t"].to_pylist(), table["stated"].to_pylist(), strict=True)]
+    sample = sample_texts(docs, labelled_sample(labels, label_col, id_col, usable, rows), id_col, text_col, (stated,))
+
+    def hashed(batches):
+        for piece in slices(batches, 2):
+            made = [features(t, x, BUCKETS) for t, x in zip(texts_of(piece.column(2)), piece.column(3).to_pylist(), strict=True)]
+            lists = [pa.array([x[0] for x in made], pa.list_(pa.int64())), pa.array([x[1] for x in made], pa.list_(pa.float64())), pa.array([x[2] for x in made], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *lists], names=kind.names)
+
+    number = lambda t: T.ArrayType(t())
+    kind = T.StructType([sample.schema["id"], sample.schema["y"], T.StructField("at", number(T.LongType)), T.StructField("value", number(T.DoubleType)), T.StructField("stats", number(T.DoubleType))])
+    table = sample.select("id", "y", "t", "stated").mapInArrow(hashed, kind).toArrow().sort_by("id")
+    forget(sample)
+    made = [(np.asarray(a.values), np.asarray(v.values), s.as_py()) for a, v, s in zip(table["at"], table["value"], table["stats"], strict=True)]
     return train(made, table["y"].to_pylist())
 
 

@@ -24,8 +24,9 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels, usable=toxicity.fold("id", 5) != 0)
-    out = toxicity.score_documents(docs, model, keep=["doc_id"])
-    return out.select("doc_id", F.coalesce(toxicity.fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+    out = toxicity.score_documents(docs, model, keep=["doc_id"], locate=True)
+    spans = F.array_join(F.transform("sentences", lambda x: F.concat_ws(":", x.start.cast("string"), x.end.cast("string"))), ",")
+    return out.select("doc_id", F.coalesce(toxicity.fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted", spans.alias("sentences"))
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

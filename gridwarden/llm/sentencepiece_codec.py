@@ -6,7 +6,7 @@ those of its chunks joined by position. The table lives in the task: a table of
 back by a shuffle of every token, several times the size of the input. It is bounded, and emptied when full.
 
 Defined cases: null or empty text gives the begin and end ids only; equal texts give equal ids; any vocabulary whose
-pieces do cross a cut is refused by encoder(), and then whole texts go to the library.
+pieces do cross a cut is refused by separable(), and then whole texts go to the library. Repeated rows each get their ids.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from .common import append_columns
 
 MARK = "▁"
 #: Distinct chunks that a task's table holds.
-TABLE_CHUNKS = 200_000
+TABLE_CHUNKS = 100_000
 #: Longer chunks are segmented when met and not kept.
 KEPT_CHARS = 64
 _CHUNK = re.compile(f"[ {MARK}]+[^ {MARK}\n]*|\n[^ {MARK}\n]*|[^ {MARK}\n]+")

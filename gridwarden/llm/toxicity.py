@@ -8,7 +8,7 @@ model is a table of at most VOCABULARY weights of words and stems, sent to the t
 
 Defined cases: a text without words has the score of an empty document, 0; with no labels of either kind every score is the share
 of toxic labels, or 0 without labels; labels that are null or other than 0 and 1 are left out; a document labelled twice
-counts once, as toxic if either label says so.
+counts once, as toxic if either label says so. A very long text is one row of sentences; repeated rows each get their score.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns
+from .common import append_columns, forget, slices, texts_of, written
 
 #: Labelled documents that a model is fitted on, at most.
 SAMPLE_ROWS = 8_000
@@ -80,29 +80,29 @@ class Model:
         return total
 
     def sentence_scores(self, text: str) -> list[tuple[int, int, float]]:
-        low = text.lower()
-        if len(low) != len(text):  # a few letters change length
-            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        out = []
-        for s, e in sentences(low):
-            words = set(_WORD.findall(low[s:e]))
-            if words:
-                out.append((s, e, self.z(words)))
-        return out
+        low = _lower(text)
+        return [(s, e, self.z(words)) for s, e in sentences(low) if (words := set(_WORD.findall(low, s, e)))]
 
     def score(self, text: str) -> float:
         if self.constant is not None:
             return self.constant
-        total = 0.0
-        for part in _END.split(text.lower()):
-            if words := _WORD.findall(part):
-                total += math.log1p(math.exp(min(60.0, self.z(set(words)))))
-        return 1.0 - math.exp(-total)
+        return noisy_or(self.z(set(words)) for part in _END.split(_lower(text)) if (words := _WORD.findall(part)))
+
+
+def noisy_or(logits: Iterable[float]) -> float:
+    """The chance that some sentence is toxic."""
+    return 1.0 - math.exp(-sum(math.log1p(math.exp(min(60.0, z))) for z in logits))
+
+
+def _lower(text: str) -> str:
+    """Lower case of the same length; a few letters would change it."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
 def bags(text: str) -> list[set[str]]:
     """The features of each sentence that has words."""
-    return [traits(set(w)) for part in _END.split(text.lower()) if (w := _WORD.findall(part))]
+    return [traits(set(w)) for part in _END.split(_lower(text)) if (w := _WORD.findall(part))]
 
 
 #: Cells that documents are counted in, by hash of the word, to choose a vocabulary.
@@ -113,29 +113,38 @@ def _cells(words: set[str]) -> np.ndarray:
     return np.fromiter((zlib.crc32(w.encode()) for w in words), dtype=np.int64, count=len(words)) % CELLS
 
 
-def train(texts: Iterable[str], labels: list[int], vocabulary: int = VOCABULARY, min_docs: int = MIN_DOCS, rounds: int = 200, decay: float = 3e-4) -> Model:
-    """Full-batch Adam on the noisy-or likelihood. texts is gone through twice; only the vocabulary's words are kept of it."""
-    y = np.asarray(labels, dtype=float)
-    if len(y) == 0 or y.min() == y.max():
-        return Model({}, 0.0, float(y.mean()) if len(y) else 0.0)
-    seen, toxic = np.zeros(CELLS), np.zeros(CELLS)
-    for t, label in zip(texts, labels, strict=True):
-        at = np.unique(_cells(set().union(*bags(t))))
-        seen[at] += 1
-        if label:
-            toxic[at] += 1
-    share = y.mean()
-    # standard score of the toxic documents among those with the word
+def document_cells(text: str) -> np.ndarray:
+    """The distinct cells of a document's features."""
+    return np.unique(_cells(set().union(*bags(text))))
+
+
+def choose_cells(cells: np.ndarray, seen: np.ndarray, toxic: np.ndarray, share: float, vocabulary: int, min_docs: int) -> np.ndarray:
+    """True for the cells that tell most, by the standard score of the toxic documents among those that have one. seen, toxic: documents by cell."""
     surprise = np.where(seen >= min_docs, np.abs(toxic - seen * share) / np.sqrt(seen * share * (1 - share) + 1e-9), -1.0)
-    best = np.argsort(-surprise, kind="stable")[:vocabulary]
+    best = np.lexsort((cells, -surprise))[:vocabulary]
     chosen = np.zeros(CELLS, dtype=bool)
-    chosen[best[surprise[best] >= 0]] = True
+    chosen[cells[best[surprise[best] >= 0]]] = True
+    return chosen
+
+
+def known_bags(text: str, chosen: np.ndarray) -> list[list[str]]:
+    """The features of each sentence that are in chosen cells, in order."""
+    out = []
+    for s in bags(text):
+        words = sorted(s)
+        out.append([w for w, c in zip(words, chosen[_cells(words)], strict=True) if c])
+    return out
+
+
+def optimise(documents: Iterable[list[list[str]]], labels: list[int], rounds: int = 200, decay: float = 3e-4) -> Model:
+    """Full-batch Adam on the noisy-or likelihood of documents as sentences of features."""
+    y = np.asarray(labels, dtype=float)
+    share = y.mean()
     index: dict[str, int] = {}
     word, sentence, doc = array("q"), array("q"), array("q")
-    for k, t in enumerate(texts):
-        for s in bags(t):
-            words = sorted(s)
-            for w in (w for w, c in zip(words, chosen[_cells(words)], strict=True) if c):
+    for k, one in enumerate(documents):
+        for words in one:
+            for w in words:
                 word.append(index.setdefault(w, len(index)))
                 sentence.append(len(doc))
             doc.append(k)
@@ -158,14 +167,22 @@ def train(texts: Iterable[str], labels: list[int], vocabulary: int = VOCABULARY,
     return Model({w: float(theta[i]) for w, i in index.items() if abs(theta[i]) > 1e-3}, float(theta[-1]))
 
 
-class Column:
-    """Strings of an Arrow column, made one at a time, as often as asked for."""
+def _one_kind(y: np.ndarray) -> Model | None:
+    return Model({}, 0.0, float(y.mean()) if len(y) else 0.0) if len(y) == 0 or y.min() == y.max() else None
 
-    def __init__(self, column: pa.ChunkedArray):
-        self.column = column
 
-    def __iter__(self):
-        return (x.as_py() for x in self.column)
+def train(texts: Iterable[str], labels: list[int], vocabulary: int = VOCABULARY, min_docs: int = MIN_DOCS, rounds: int = 200, decay: float = 3e-4) -> Model:
+    """A model of texts at hand; gone through twice."""
+    y = np.asarray(labels, dtype=float)
+    if one := _one_kind(y):
+        return one
+    seen, toxic = np.zeros(CELLS), np.zeros(CELLS)
+    for t, label in zip(texts, labels, strict=True):
+        at = document_cells(t)
+        seen[at] += 1
+        toxic[at] += label
+    chosen = choose_cells(np.arange(CELLS), seen, toxic, y.mean(), vocabulary, min_docs)
+    return optimise((known_bags(t, chosen) for t in texts), labels, rounds, decay)
 
 
 #: Hashes that order a sample are cut to so many bits.
@@ -193,17 +210,46 @@ def fold(id_col="id", parts: int = 5):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % parts
 
 
-def sample_texts(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: str = "text", others: tuple = ()) -> pa.Table:
-    """The sample's documents with labels, in the order of their ids; the sample is small by its limit."""
+#: Parts that a sample is dealt to.
+SAMPLE_PARTS = 16
+
+
+def sample_texts(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: str = "text", others: tuple = ()) -> DataFrame:
+    """The sample's documents (id, y, t and others), as a table; the sample is small by its limit."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"), *others)
     # a repeated id gives one row, that of the smallest text
     one = F.min(F.struct("t", *(c for c in rows.columns if c not in ("id", "t")))).alias("one")
-    return rows.join(F.broadcast(sample), "id").groupBy("id", "y").agg(one).select("id", "y", "one.*").toArrow().sort_by("id")
+    return written(rows.join(F.broadcast(sample), "id").groupBy("id", "y").agg(one).select("id", "y", "one.*").repartition(SAMPLE_PARTS, "id"), "sample")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", usable=None, rows: int = SAMPLE_ROWS) -> Model:
-    table = sample_texts(docs, labelled_sample(labels, label_col, id_col, usable, rows), id_col, text_col)
-    return train(Column(table["t"]), table["y"].to_pylist())
+    """A model of a labelled sample. Features are made in the tasks; what comes to the driver is counts by cell and the features of the vocabulary."""
+    sample = sample_texts(docs, labelled_sample(labels, label_col, id_col, usable, rows), id_col, text_col)
+    total, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    if total == 0 or toxic in (0, total):
+        forget(sample)
+        return Model({}, 0.0, toxic / total if total else 0.0)
+
+    def cells(batches):
+        for piece in slices(batches, 0):
+            made = [document_cells(t.decode("utf-8", "replace")) for t in texts_of(piece.column(0))]
+            label = np.repeat(np.asarray(piece.column(1)), [len(x) for x in made])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made)), pa.array(label.astype(np.int32))], names=["cell", "y"])
+
+    counted = sample.select("t", "y").mapInArrow(cells, "cell long, y int").groupBy("cell").agg(F.count("*").alias("seen"), F.sum("y").alias("toxic")).toArrow()
+    chosen = choose_cells(*(np.asarray(counted[c]).astype(np.int64) for c in ("cell", "seen", "toxic")), toxic / total, VOCABULARY, MIN_DOCS)
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(chosen))
+
+    def features(batches):
+        known = np.unpackbits(sent.value).astype(bool)
+        for piece in slices(batches, 2):
+            made = [known_bags(t.decode("utf-8", "replace"), known) for t in texts_of(piece.column(2))]
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(made, pa.list_(pa.list_(pa.string())))], names=["id", "y", "bags"])
+
+    kind = T.StructType([sample.schema["id"], sample.schema["y"], T.StructField("bags", T.ArrayType(T.ArrayType(T.StringType())))])
+    table = sample.select("id", "y", "t").mapInArrow(features, kind).toArrow().sort_by("id")
+    forget(sample)
+    return optimise((x.as_py() for x in table["bags"]), table["y"].to_pylist())
 
 
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, locate: bool = False) -> DataFrame:
@@ -215,12 +261,14 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", keep:
 
         def kernel(texts: list[bytes]) -> list[pa.Array]:
             strings = [t.decode("utf-8", "replace") for t in texts]
-            scores = [m.score(t) for t in strings]
-            made = [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())]
-            if locate:
-                spans = [[{"start": s, "end": e, "score": p} for s, e, z in m.sentence_scores(t) if (p := 1 / (1 + math.exp(-max(-60.0, z)))) >= 0.5] for t in strings]
-                made.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))))
-            return made
+            if not locate:
+                scores = [m.score(t) for t in strings]
+                return [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())]
+            told = [m.sentence_scores(t) if m.constant is None else [] for t in strings]
+            scores = [noisy_or(z for _, _, z in x) if m.constant is None else m.constant for x in told]
+            spans = [[{"start": s, "end": e, "score": 1 / (1 + math.exp(-z))} for s, e, z in x if z >= 0] for x in told]
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
+            return [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(spans, kind)]
 
         return kernel
 

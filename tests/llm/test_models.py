@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridwarden.llm import lm_scoring, quality_classifier, queries, toxicity
 
@@ -150,3 +151,51 @@ def test_op3_tells_all_words_apart(spark):
     far = {r.doc_id: r for r in lm_scoring.score_documents(new, lm_scoring.fit(df, targets)).collect()}
     assert far[7].background_loss == pytest.approx(got[50].background_loss, rel=1e-9) and far[7].score == pytest.approx(got[50].score, rel=1e-9)
     assert far[8].background_loss > far[7].background_loss and far[9].n_tokens == 0
+
+
+def test_op2_query_is_the_plain_form(spark):
+    """Scores from the weights, sentence by sentence, by the product of the chances of being clean."""
+    import re
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(docs, labels, usable=toxicity.fold("id", 5) != 0)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in queries.op2_toxicity(spark, sf).collect():
+        clean, spans, at = 1.0, [], 0
+        for m in re.finditer(r"[^.!?\n]*(?:[.!?\n]+|\Z)", texts[r.doc_id]):
+            words = {w for w in re.findall(r"[^\W_]+", m.group().lower())}
+            if words:
+                z = model.bias + sum(model.weights.get(x, 0.0) for x in words | {w[:4] + "-" for w in words if len(w) > 4} | {w[:5] + "-" for w in words if len(w) > 5})
+                clean *= 1 - 1 / (1 + np.exp(-z))
+                if z >= 0:
+                    spans.append(f"{m.start()}:{m.end()}")
+        assert r.score == pytest.approx(1 - clean, abs=1e-9) and r.sentences == ",".join(spans)
+        assert r.predicted == int(r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_op2_fit_in_tasks_is_the_local_fit(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = docs.join(labels.groupBy("doc_id").agg(F.max("toxic").alias("y")), "doc_id").orderBy("doc_id").collect()
+    here, there = toxicity.train([r.text or "" for r in rows], [r.y for r in rows]), toxicity.fit(docs, labels)
+    assert here.weights.keys() == there.weights.keys() and here.bias == pytest.approx(there.bias, abs=1e-9)
+    assert all(there.weights[w] == pytest.approx(x, abs=1e-9) for w, x in here.weights.items())
+
+
+def test_op6_query_is_the_plain_form(spark):
+    """All pairs of features, document by document."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    m = quality_classifier.fit(docs, labels, usable=toxicity.fold("id", 3) != 1)
+    rows = {r.doc_id: r for r in docs.collect()}
+    for r in queries.op6_quality_classifier(spark, sf).collect():
+        at, value, stats = quality_classifier.features((rows[r.doc_id].text or "").encode(), rows[r.doc_id].n_chars, m.buckets)
+        if len(at) > 300:
+            continue
+        stats = np.clip((np.array(stats) - m.mean) / m.scale, -5, 5)
+        i, x = [*range(m.buckets, m.buckets + len(stats)), *at], [*stats, *value]
+        v = m.v[i] * np.array(x)[:, None]
+        z = m.w0 + float(m.w[i] @ np.array(x)) + sum(float(v[k + 1 :].sum(axis=0) @ v[k]) for k in range(len(i)))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-np.clip(z, -40, 40))), abs=1e-9)
+        assert r.predicted == int(r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
