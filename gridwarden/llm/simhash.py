@@ -50,11 +50,11 @@ def _matches(nodes: DataFrame, segments, bits: int, near, group: str | None = No
     """Pairs (a, b), a < b, of the fp of nodes that have a segment at most one bit apart and are near; some come several times.
 
     Every segment is in a table under its number and value, and looked up with the Hamming ball of radius one around it. Of a pair one bit apart only the
-    side that lacks the bit finds the other. Nodes of one group, where it is not 0, are not paired.
+    side that lacks the bit finds the other. Nodes of one group, where it is not 0, are not paired, nor a node with one of a group that is in its `beside`.
     """
     if not 1 <= bits <= 32:
         raise ValueError("a segment has up to 32 bits")
-    own = ["fp"] if group is None else ["fp", group]
+    own = ["fp"] if group is None else ["fp", group, "beside"]
     cut = nodes.select(*own, F.posexplode(segments).alias("number", "segment"))
     key = (F.col("number").cast("long") * F.lit(1 << 32)) + F.col("segment").cast("long")
     table = cut.select(key.alias("key"), F.col("fp").alias("b"), *own[1:])
@@ -64,6 +64,8 @@ def _matches(nodes: DataFrame, segments, bits: int, near, group: str | None = No
     met = (F.col("p.key") == F.col("t.key")) & (F.col("p.a") != F.col("t.b")) & near(F.col("p.a"), F.col("t.b"))
     if group:
         met &= (F.col(f"p.{group}") == 0) | (F.col(f"p.{group}") != F.col(f"t.{group}"))
+        seen = lambda x, y: F.coalesce(F.array_contains(f"{x}.beside", F.col(f"{y}.{group}")), F.lit(False))
+        met &= ~seen("p", "t") & ~seen("t", "p")
     found = ball.alias("p").join(table.alias("t"), met)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
@@ -143,8 +145,12 @@ def _named(nodes: DataFrame, max_bits: int) -> tuple[DataFrame, DataFrame]:
 SEGMENTS, SEGMENT_BITS = 20, 28
 #: The same bits cut anew, to find the middles of large groups.
 MARKS, MARK_BITS = 35, 16
+#: Members of a group from which texts beside it are compared with all of it in blocks, and texts on each side of a block.
+LARGE_GROUP, BLOCK = 200, 128
+#: Nodes that stand for a mark by chance, and those that a node is compared with.
+MIDDLES, NEAREST = 7, 8
 #: Bits of 64 in which candidates may differ, and bits of the wide fingerprint (560): what is near for certain, and two bands to look at, nearer ones first.
-FIRST_BITS, SURE_BITS, BANDS = 16, 53, (76, 111)
+FIRST_BITS, SURE_BITS, BANDS = 14, 53, (76, 105)
 #: Distinct shingles that a text must have for its fingerprint alone to be believed.
 SURE_SHINGLES = 64
 #: Row keys that may be broadcast (16 bytes each).
@@ -217,21 +223,22 @@ def _measured(found: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
 
 
 def pairs_with_middles(nodes: DataFrame, similarity: float) -> DataFrame:
-    """For each node the nearest of those that stand for the nodes with one of its marks: a pair at most, however large a group is.
+    """Pairs of each node with the nearest few of those that stand for the nodes with one of its marks: as many at most, however large a group is.
 
-    For a mark stand the node that shares its marks with most others, which in a group of copies of one text is that text or close to it, and two by chance.
+    For a mark stand the node that shares its marks with most others, which in a group of copies of one text is that text or close to it, and some by chance.
     """
     marks = nodes.select("fp", F.posexplode("marks").alias("number", "mark")).select("fp", (F.col("number") * F.lit(1 << MARK_BITS) + F.col("mark")).alias("mark"))
     often = marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1")
     shared = written(marks.join(often, "mark"), "marks")
     central = shared.groupBy("fp").agg(F.sum("n").alias("n_shared"))
-    stand = [F.max_by("fp", F.struct("n_shared", "fp")), *(F.min_by("fp", F.xxhash64("fp", "mark", F.lit(k))) for k in (0, 1))]
+    stand = [F.max_by("fp", F.struct("n_shared", "fp")), *(F.min_by("fp", F.xxhash64("fp", "mark", F.lit(k))) for k in range(MIDDLES))]
     middles = shared.join(central, "fp").groupBy("mark").agg(F.array_distinct(F.array(*stand)).alias("middles"))
-    met = shared.join(middles, "mark").select("fp", F.explode("middles").alias("other")).where((F.col("fp") != F.col("other")) & (_apart(F.col("fp"), F.col("other")) <= FIRST_BITS))
-    found = _measured(met.select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct(), nodes, similarity)
-    nearest = written(found.groupBy("a").agg(F.min(F.struct("bits", "b", "n_least")).alias("x")).select("a", "x.*"), "pairs")
+    far = F.transform("middles", lambda x: F.struct(_apart(F.col("fp"), x).alias("d"), x.alias("b")))
+    met = shared.join(middles, "mark").select("fp", F.filter(far, lambda x: (x.d <= FIRST_BITS) & (x.b != F.col("fp"))).alias("met")).where(F.size("met") > 0)
+    near = met.groupBy("fp").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("met")))), 1, NEAREST).alias("met"))
+    found = written(_measured(near.select(F.col("fp").alias("a"), F.explode("met.b").alias("b")), nodes, similarity), "pairs")
     forget(shared)
-    return nearest
+    return found
 
 
 def similar_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
@@ -268,6 +275,7 @@ class _Groups:
         self.nodes, self.source, self.width, self.similarity = nodes, source, width, similarity
         self.edges: DataFrame | None = None
         self.member: DataFrame | None = None
+        self.made: list[DataFrame] = []
 
     def add(self, edges: DataFrame) -> None:
         if self.edges is not None:
@@ -277,25 +285,59 @@ class _Groups:
         self.edges, self.member = edges, components(edges)
 
     def forget(self) -> None:
-        for done in (self.edges, self.member):
+        for done in (self.edges, self.member, *self.made):
             if done is not None:
                 forget(done)
+        self.made.clear()
 
     def rooted(self) -> DataFrame:
         """The nodes with the root of their group; null alone."""
         return self.nodes.join(self.member, F.col("fp") == F.col("node"), "left").drop("node")
 
+    def texts(self, fps: DataFrame) -> DataFrame:
+        """(fp, body) of the first text of each node."""
+        keys = written(self.nodes.join(fps.distinct(), "fp", "left_semi").select("fp", "least.file", "least.place"), "keys")
+        self.made.append(keys)
+        return _of_rows(self.source.select("file", "place", "body"), keys, "inner").select("fp", "body")
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose shingles are so similar."""
-        ask = written(pairs.select("a", "b"), "ask")
-        needed = ask.select(F.col("a").alias("fp")).unionByName(ask.select(F.col("b").alias("fp"))).distinct()
-        keys = written(self.nodes.join(needed, "fp", "left_semi").select("fp", "least.file", "least.place"), "keys")
-        texts = _of_rows(self.source.select("file", "place", "body"), keys, "inner").select("fp", "body")
+        ask = written(pairs.select("a", "b").distinct(), "ask")
+        texts = self.texts(ask.select(F.col("a").alias("fp")).unionByName(ask.select(F.col("b").alias("fp"))))
         found = written(jaccard(ask, texts, self.width).where(F.col("similarity") >= self.similarity).select("a", "b"), "found")
         forget(ask)
-        forget(keys)
         return found
 
+    def beside_large(self, near: DataFrame) -> DataFrame:
+        """(fp, root): nodes outside a large group that are near one in it. near: pairs (a, b)."""
+        size = self.member.groupBy("root").count().where(F.col("count") >= LARGE_GROUP).select("root")
+        inside = self.member.join(size, "root").select("node", "root")
+        both = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        met = both.join(inside.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("fp"), "root").distinct()
+        return written(met.join(inside.withColumnRenamed("node", "fp"), ["fp", "root"], "left_anti"), "beside")
+
+    def in_blocks(self, beside: DataFrame) -> DataFrame:
+        """Links (a, b) between nodes (fp, root) and all of the group: blocks of texts against blocks, so that no pair is a row and a group can be of any size."""
+        inside = self.member.join(beside.select("root").distinct(), "root").select(F.col("node").alias("fp"), "root")
+
+        def blocks(rows: DataFrame, name: str) -> DataFrame:
+            n = rows.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
+            dealt = rows.join(n, "root").select("fp", "root", F.pmod(F.xxhash64("fp"), F.col("n")).alias("block")).join(self.texts(rows.select("fp")), "fp")
+            one = F.struct("fp", F.coalesce("body", F.lit("")).alias("body"))
+            return dealt.groupBy("root", "block").agg(F.collect_list(one).alias(name)).select("root", name)
+
+        width, least = self.width, self.similarity
+
+        def run(batches):
+            for batch in batches:
+                for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    sides = [[(x["fp"], set(shingle_hashes(x["body"].encode(), width).tolist())) for x in side] for side in (left, right)]
+                    pairs = [(a, b) for a, x in sides[0] for b, y in sides[1] if least * max(len(x), len(y)) <= min(len(x), len(y)) and (n := len(x & y)) >= least * (len(x) + len(y) - n)]
+                    yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        met = blocks(beside, "l").join(blocks(inside, "r"), "root").select("l", "r")
+        return written(met.mapInArrow(run, "a long, b long"), "found")
+
     def apart(self, pairs: DataFrame) -> DataFrame:
         """The pairs that are not in one group."""
         root = lambda c: self.member.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
@@ -307,8 +349,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The documents, all columns, one row of each group: the one with the smallest id, and of those the first.
 
     Texts are linked where the sets of their shingles have at least the similarity. First each text is compared with one in the middle of those around it, so that
-    a large group of near copies is one group after a pair a text. Then all candidates, which have a segment of the wide fingerprint at most one bit apart,
-    are paired if they are not in one group yet. Those far within are believed; the others are verified by their shingles, nearer ones first. Rows are
+    a large group of near copies is one group after a few pairs a text, and texts beside it are compared with all of it in blocks. Then all other candidates, which
+    have a segment of the wide fingerprint at most one bit apart, are paired if they are not in one group yet. Those far within are believed; the others are verified by their shingles, nearer ones first. Rows are
     told apart by where they stand, so that only linked rows go: null or repeated ids do not make one document of different texts.
     """
     names = [f"c{i}" for i in range(len(docs.columns))]
@@ -323,9 +365,13 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = pairs_with_middles(nodes, similarity)
     found = groups.verified(near.where(~sure))
     groups.add(near.where(sure).select("a", "b").unionByName(found))
-    numbered = written(groups.rooted().withColumn("group", F.coalesce("root", F.lit(0).cast("long"))), "numbered")
+    beside = groups.beside_large(near)
+    own = beside.groupBy("fp").agg(F.collect_set("root").alias("beside"))
+    numbered = written(groups.rooted().withColumn("group", F.coalesce("root", F.lit(0).cast("long"))).join(own, "fp", "left"), "numbered")
+    forget(found)
+    found = groups.in_blocks(beside)
     pairs = similar_pairs(numbered, similarity)
-    groups.add(pairs.where(sure).select("a", "b"))
+    groups.add(found.unionByName(pairs.where(sure).select("a", "b")))
     low = -1
     for high in BANDS:
         forget(found)
@@ -337,6 +383,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = written(rooted.join(name, "root").select("fp", "kept"), "kept")
     gone = written(prints.join(kept, "fp").where((F.col("file") != F.col("kept.file")) | (F.col("place") != F.col("kept.place"))).select("file", "place"), "gone")
     groups.forget()
-    for done in (prints, nodes, near, numbered, pairs, found, kept):
+    for done in (prints, nodes, near, beside, numbered, pairs, found, kept):
         forget(done)
     return _of_rows(rows, gone, "left_anti").select(*names).toDF(*docs.columns)

@@ -105,3 +105,16 @@ def test_passages_are_cut_out_of_long_documents(spark):
     docs = spark.createDataFrame([(1, f"{own} {item} last", 5), (2, "short", 9), (3, None, None)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_contaminated(spark, docs, SF).collect()}
     assert got == {1: (f"{own} last", len(own) + 5), 2: ("short", 9), 3: (None, None)}
+
+
+def test_large_groups_of_near_copies(spark, monkeypatch):
+    """A text in the middle and many around it, some of them too far from it but near others; in blocks and by pairs."""
+    random.seed(11)
+    base = [f"w{i}" for i in range(150)]
+    texts = [" ".join(f"x{random.randrange(10**6)}" if random.random() < random.choice((0.01, 0.02, 0.045)) else w for w in base) for _ in range(160)]
+    monkeypatch.setattr(simhash, "LARGE_GROUP", 20)
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = [r.doc_id for r in simhash.deduplicate(docs).collect()]
+    near_copies_went(kept, list(range(len(texts))), brute.similar_groups(texts))
+    assert len(kept) < 100
