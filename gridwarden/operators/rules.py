@@ -6,6 +6,10 @@ from ..functions import rule_values as R
 from ..functions.dialect import Dialect
 
 
+#: Line feeds of a match and of the gap before it are packed into one number with this factor.
+_PACK = 1 << 31
+
+
 def _split(d: Dialect, x: str, p: str) -> str:
     return f"split({x}, {d.text(p)}, -1)" if d.name == "spark" else f"string_split_regex({x}, {d.text(p)})"
 
@@ -30,10 +34,12 @@ def hits(d: Dialect, files: str, rules: list[tuple] | None = None) -> str:
     matched = d.explode(f"(SELECT doc_id, code, {some} AS found FROM {files} f) s", "found", "rule_no", "nth", "doc_id, code")
     pick = lambda f: "CASE rule_no " + " ".join(f"WHEN {i} THEN {f(d.pattern(r[1], r[2]))}" for i, r in enumerate(rules)) + " END"
     cut = f"(SELECT doc_id, rule_no, {pick(lambda p: d.extract_all('code', p))} AS matches, {pick(lambda p: _split(d, 'code', p))} AS gaps FROM {matched} m)"
-    each = d.explode(f"{cut} s", "matches", "match", "hit", "doc_id, rule_no, gaps")
-    gap = "gaps[hit - 1]" if d.name == "spark" else "gaps[hit]"
+    # of each match only the line feeds before it and in it are kept, in one number, so that no text is copied once a match
+    both = d.each("gaps", "x", _newlines(d, "x")), d.each("matches", "x", _newlines(d, "x"))
+    packed = f"zip_with({both[0]}, {both[1]}, (g, m) -> CAST(g AS BIGINT) * {_PACK} + m)" if d.name == "spark" else f"list_transform(list_zip({both[0]}, {both[1]}), lambda z: CAST(z[1] AS BIGINT) * {_PACK} + z[2])"
+    each = d.explode(f"(SELECT doc_id, rule_no, {packed} AS packed FROM {cut} c) s", "packed", "pack", "hit", "doc_id, rule_no")
     w = "PARTITION BY doc_id, rule_no ORDER BY hit"
-    counted = f"(SELECT doc_id, rule_no, hit, {_newlines(d, gap)} AS g, {_newlines(d, 'match')} AS m FROM {each} e)"
+    counted = f"(SELECT doc_id, rule_no, hit, CAST(FLOOR(pack / {d.num(float(_PACK))}) AS BIGINT) AS g, pack % {_PACK} AS m FROM {each} e WHERE pack IS NOT NULL)"
     run = f"SUM(g) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + COALESCE(SUM(m) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
     return f"SELECT doc_id, CAST(rule_no AS INT) AS rule_no, CAST(hit AS INT) AS hit, CAST(1 + {run} AS INT) AS line_no FROM {counted} c"
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from ..functions.dialect import DUCK, Dialect
 from ..functions.run import apply, over_tables
 from ..functions.tables import scratch, written
-from ..operators import classify, cluster, compare, documents, flow, history, lines, rules, score, suppress, system, taint, verify
+from ..operators import classify, cluster, compare, documents, flow, history, lines, rules, scan, score, suppress, system, taint, verify
 from ..sources import fixtures as T
 from ..sources import state
 from ..streaming import stateful
@@ -104,6 +104,15 @@ for _name, _op in {
     "cross_module_findings": system.findings, "whole_system_summary": system.summary, "graph_nodes": system.graph_nodes, "attack_paths": system.attack_paths,
 }.items():
     register(_name, lambda d, op=_op: op(d, _lines(d)))
+
+
+def _from_table(op):
+    """These look at the lines many times over: parsed once, to a table."""
+    return lambda spark, sf_dir: apply(op, lines=written(QUERIES["lines_explode"](spark, sf_dir), "lines"))
+
+
+for _name, _op in {"cfg_edges": lines.flow_edges, "ssa_versions": lines.versions, "ssa_traces": lines.traces, "call_edges": lines.calls, "dead_lines": lines.dead, "attack_paths": system.attack_paths, "cross_module_findings": system.findings}.items():
+    QUERIES[_name] = _from_table(_op)
 register("enclosing_function", lambda d: f"SELECT doc_id, line_no, fn FROM ({lines.enclosing(d, _lines(d))}) e")
 register("changed_nodes", lambda d: system.changed_nodes(d, _lines(d), T.known_nodes(d)))
 register("attack_chains", lambda d: system.chains(d, T.issues(d)))
@@ -136,7 +145,7 @@ def _tainted(spark, sf_dir):
 
 
 def _sinks(spark, sf_dir):
-    source = QUERIES["lines_explode"](spark, sf_dir)
+    source = written(QUERIES["lines_explode"](spark, sf_dir), "lines")
     return apply(taint.sinks, lines=source, tainted=taint.tainted(source))
 
 
@@ -241,6 +250,20 @@ def _symbolic(spark, sf_dir):
 
 QUERIES["symbolic_findings"] = _symbolic
 ORACLES["symbolic_findings"] = verify.apply_paths(DUCK, T.issues(DUCK), f"({ORACLES['symbolic_paths']})")
+def _scan(spark, sf_dir):
+    """Findings of the whole scan, written for what is made of them."""
+    lines = _flagged(spark, sf_dir)
+    return apply(scan.findings, files=_files(spark, sf_dir), lines=lines, tainted=flow.tainted(lines))
+
+
+_SHARED = f"WITH flagged_lines AS MATERIALIZED ({flow.flagged(DUCK, _lines(DUCK))}), tainted_names AS MATERIALIZED ({flow.tainted_sql(DUCK, 'flagged_lines')})"
+_FOUND = scan.findings(DUCK, f"(SELECT doc_id, code FROM {T.files(DUCK)} sf)", "flagged_lines", "tainted_names")
+QUERIES["scan_findings"] = _scan
+ORACLES["scan_findings"] = f"{_SHARED} {_FOUND}"
+QUERIES["scan_verdicts"] = lambda spark, sf_dir: apply(scan.verdicts, found=written(_scan(spark, sf_dir), "findings"))
+ORACLES["scan_verdicts"] = f"{_SHARED}, all_found AS MATERIALIZED ({_FOUND}) {scan.verdicts(DUCK, 'all_found')}"
+
+
 register("framework_findings", lambda d: flow.framework_findings(d, _lines(d), T.files(d)))
 register("trust_boundaries", lambda d: flow.trust_boundaries(d, _lines(d), T.files(d)))
 register("constructor_fields", lambda d: flow.constructor_fields(d, _lines(d)))

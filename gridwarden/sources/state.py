@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.run import apply
+from ..functions.tables import written
 from ..operators import history
 
 MEMORY = T.StructType([
@@ -38,8 +39,7 @@ def record_scan(spark: SparkSession, path: str, scan: DataFrame) -> DataFrame:
     known = load_memory(spark, path).select("repo", "key", "seen_count", "absent_scans", "confirmed_fp", "suppressed")
     after = apply(history.remember, memory=known, scan=scan).select(*MEMORY.names)
     # read and replaced at one path: the rows are cut loose from what they come from first
-    after = after.checkpoint() if spark.sparkContext.getCheckpointDir() else after.persist()
-    after.count()
+    after = written(after, "memory")
     save_memory(after, path)
     return after
 

@@ -4,7 +4,8 @@ import pytest
 
 from gridwarden.functions.dialect import SPARK, not_starting
 from gridwarden.functions.run import apply
-from gridwarden.operators import cluster, compare, flow, history, lines, rules, score, suppress, system, taint
+from gridwarden.functions.tables import written
+from gridwarden.operators import cluster, compare, flow, history, lines, rules, scan, score, suppress, system, taint
 from gridwarden.operators.taint import close
 
 FIELDS = (
@@ -258,3 +259,21 @@ def test_timelines_end_with_the_last_scan_of_their_repository(spark):
     data = [(1, "1/a", "high", 1, 1), (1, "1/a", "low", 2, 1), (1, "1/b", "low", 1, 2), (2, "2/a", "medium", 1, 1), (2, "2/a", "low", 5, 2), (2, "2/c", "low", 5, 1)]
     got = rows(apply(history.timelines, scans=spark.createDataFrame(data, "repo long, key string, severity string, scan long, pos long")), "repo", "key", "severity", "first_seen", "last_seen", "seen_count", "status", "resolved_at")
     assert got == [(1, "1/a", "high", 1, 2, 2, "active", None), (1, "1/b", "low", 1, 1, 1, "resolved", 2), (2, "2/a", "medium", 1, 5, 2, "active", None), (2, "2/c", "low", 5, 5, 1, "active", None)]
+
+
+def test_whole_scan_keeps_the_first_of_a_line_and_judges_it(spark):
+    files = spark.createDataFrame([(1, "function f(req) {\n  const id = req.query.id;\n  const q = id + ' more';\n  db.query(q);\n  eval(id);\n}"), (2, "const a = 1;\n")], "doc_id long, code string")
+    flagged = apply(flow.flagged, lines=apply(lines.parse, files=files))
+    found = written(apply(scan.findings, files=files, lines=flagged, tainted=flow.tainted(flagged)), "found")
+    got = rows(found.where("line = 4"), "doc_id", "title", "exploit_chain")
+    assert (1, "CWE-89 q sql", "outside input -> q -> line 4 -> sql") in got
+    assert {r.doc_id for r in found.collect()} == {1} and found.select("seq").distinct().count() == found.count()
+    (verdict,) = apply(scan.verdicts, found=found).collect()
+    # the rule on eval has no chain, so it is no severe bug; those that flow from the query are
+    assert verdict.findings == found.count() and 0 < verdict.proven < verdict.findings and not verdict.gate_pass
+
+
+def test_lines_of_many_hits_in_one_file(spark):
+    code = "\n".join(f"x{i}\neval(a{i})" for i in range(3000))
+    got = apply(rules.findings, files=spark.createDataFrame([(1, code)], "doc_id long, code string")).where("rule_id = 'rce-eval'")
+    assert sorted(r.line_no for r in got.collect()) == [2 * i + 2 for i in range(3000)]
