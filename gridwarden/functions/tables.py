@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where it names none."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/") + "/gridwarden"
+    """The cluster's shared folder; a local one only where there is no cluster."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("a cluster has to name a shared folder in spark.checkpoint.dir")
+    return (named or "/tmp/checkpoints").rstrip("/") + "/gridwarden"
 
 
 def scratch(spark: SparkSession, what: str) -> str:
