@@ -113,8 +113,11 @@ def append_columns(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the cluster names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """The folder that all executors share; a local one only where there is no cluster."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("a cluster has to name a shared folder in spark.checkpoint.dir")
+    return named or "/tmp/checkpoints"
 
 
 def written(df: DataFrame, what: str, by: str | None = None) -> DataFrame:

@@ -344,3 +344,19 @@ def test_op9_spans_are_cut_in_the_same_pass(spark, share_words):
     none = decontamination.find_windows(docs, spark.createDataFrame([], "item_id long, text string"), cut_words=13)
     assert none.where("n_hit = 0 and left is null").count() == len(texts)
     assert decontamination.find_windows(docs.limit(0), spark.createDataFrame(items, "item_id long, text string"), share_words=share_words).count() == 0
+
+
+def test_empty_tables_and_clashing_names(spark):
+    """Each operator on no rows, and beside columns that are named like its results."""
+    empty = spark.createDataFrame([], "doc_id long, text string, source string, n_chars long")
+    assert secret_scan.digest(secret_scan.scan(empty)).count() == license_scan.scan(empty).count() == pii.scan(empty).count() == quality_rules.apply_rules(empty).count() == 0
+    assert simhash.group_documents(empty).count() == simhash.deduplicate(empty).count() == sentencepiece_codec.encode_documents(empty, queries.piece_model()).count() == 0
+    schema = "doc_id long, text string, source string, SPANS int, Kept int, n_words int, ids int, Labels int, fp int, file int, place int, row int"
+    docs = spark.createDataFrame([(1, "one two", "s", *range(9)), (1, None, None, *range(9))], schema)
+    assert secret_scan.scan(docs).columns == ["doc_id", "spans"]
+    for made, result in ((license_scan.scan(docs), "labels"), (pii.scan(docs), "spans"), (quality_rules.apply_rules(docs), "kept"), (sentencepiece_codec.encode_documents(docs, queries.piece_model()), "ids")):
+        names = [c.lower() for c in made.columns]
+        assert made.count() == 2 and names.count(result) == 1 and result in made.columns and "place" in names
+    assert simhash.group_documents(docs).count() == 2
+    kept = simhash.deduplicate(docs)
+    assert kept.columns == docs.columns and kept.count() == 2
