@@ -141,3 +141,9 @@ ESCALATIONS = [
     (["credential-theft", "api-access"], "Third-party service compromise via stolen API keys"),
     (["property-injection", "auth-bypass"], "Privilege escalation via prototype pollution + auth logic bypass"),
 ]
+
+#: our own: what an attack of a family needs from one before it
+CHAIN_NEEDS = {
+    "sql-injection": ["internal-network-access"], "command-injection": ["admin-access", "internal-service-rce"], "path-traversal": ["admin-access"],
+    "jwt-bypass": ["credential-file-access", "credential-dump"], "hardcoded-secret": ["source-code-disclosure"], "auth-bypass": ["session-token", "token-theft", "session-fixation"],
+}

@@ -132,6 +132,20 @@ class Spark(Dialect):
         """The array with the body in place of each item."""
         return f"transform({x}, {item} -> {body})"
 
+    def matches(self, x, y):
+        """True if the pattern that y holds is found."""
+        return f"{x} RLIKE {y}"
+
+    def first_joined(self, x, n, sep):
+        """The first n strings of an array, joined."""
+        return f"array_join(slice({x}, 1, {n}), {self.text(sep)})"
+
+    def fnv(self, x):
+        """Eight hexadecimal digits: characters folded into 32 bits, each product rounded as a double."""
+        xored = "(h ^ CAST(ascii(c) AS BIGINT))"
+        step = f"pmod(CAST(CAST(CASE WHEN {xored} >= 2147483648 THEN {xored} - 4294967296 ELSE {xored} END AS DOUBLE) * 16777619D AS BIGINT), 4294967296)"
+        return f"lower(lpad(hex(aggregate(filter(split({x}, ''), c -> c <> ''), 2166136261L, (h, c) -> {step})), 8, '0'))"
+
     def has(self, x, y):
         return f"array_contains({x}, {y})"
 
@@ -221,6 +235,19 @@ class Duck(Dialect):
     def each(self, x, item, body):
         return f"list_transform({x}, lambda {item}: {body})"
 
+    def matches(self, x, y):
+        return f"regexp_matches({x}, {y})"
+
+    def first_joined(self, x, n, sep):
+        return f"array_to_string(list_slice({x}, 1, {n}), {self.text(sep)})"
+
+    def fnv(self, x):
+        xored = "xor(h, c)"
+        signed = f"(CASE WHEN {xored} >= 2147483648 THEN {xored} - 4294967296 ELSE {xored} END)"
+        step = f"((CAST(CAST({signed} AS DOUBLE) * CAST(16777619 AS DOUBLE) AS BIGINT) % 4294967296 + 4294967296) % 4294967296)"
+        codes = f"list_transform(list_filter(string_split({x}, ''), lambda c: c <> ''), lambda c: CAST(unicode(c) AS BIGINT))"
+        return f"printf('%08x', list_reduce(list_prepend(CAST(2166136261 AS BIGINT), {codes}), lambda h, c: {step}))"
+
     def has(self, x, y):
         return f"list_contains({x}, {y})"
 

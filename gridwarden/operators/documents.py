@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import code_values as K
+from ..functions.run import apply
+from . import suppress
 
 
 def _string_udf(f):
@@ -122,6 +124,13 @@ def band_duplicates(issues: DataFrame) -> DataFrame:
     return per_doc.select("doc_id", F.explode(gone("rows")).alias("seq"))
 
 
+def firewall(issues: DataFrame) -> DataFrame:
+    """What is left of findings by (doc_id, seq): not those that an earlier one stands for or that a safe one beside them contradicts; severe ones without evidence become medium risks, with the reason."""
+    gone = band_duplicates(issues).unionByName(apply(suppress.contradictions, issues=issues).selectExpr("doc_id", "CAST(b AS BIGINT) AS seq")).distinct()
+    held = apply(suppress.mandatory_evidence, issues=issues)
+    return held.join(gone, ["doc_id", "seq"], "left_anti").select("doc_id", "seq", "passed", "reason", "severity", "type")
+
+
 # -- blocks and context ------------------------------------------------------------------------------------------------
 
 _OPENS = re.compile(r"(?:export\s+)?(?:async\s+)?function\s+(\w+)\s*\(|(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?\(?[^)]*\)?\s*=>")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from ..functions import values as V
 from ..functions.dialect import Dialect
 from . import classify as C
@@ -169,15 +171,24 @@ def resurrect(d: Dialect, original: str, current: str) -> str:
     return f"SELECT o.doc_id, o.seq, o.k, {d.num(0.98)} AS confidence FROM (SELECT doc_id, seq, {key} AS k FROM {original} x) o LEFT JOIN (SELECT DISTINCT doc_id, {key} AS k FROM {current} y) c ON o.doc_id = c.doc_id AND o.k = c.k WHERE c.k IS NULL"
 
 
-def policy(d: Dialect, issues: str, packs: list[str] | None = None, env: str = "production") -> str:
-    """The strongest action of the rules that match a finding, the last note, and the severity after it. packs: in order; None for all."""
+def policy(d: Dialect, issues: str, packs: list[str] | None = None, env: str = "production", custom: Sequence[tuple] = ()) -> str:
+    """The strongest action of the rules that match a finding, the last note, and the severity after it. packs: in order; None for all.
+
+    custom: rules of one's own, after those of the packs: as V.POLICY_RULES with two fields more, a part of the title and a pattern of the column `path`, null for any.
+    """
     order = {p: i for i, p in enumerate(packs if packs is not None else dict.fromkeys(r[0] for r in V.POLICY_RULES))}
     rules = sorted((r for r in V.POLICY_RULES if r[0] in order and (r[8] is None or env in r[8].split(","))), key=lambda r: order[r[0]])
+    rules += [r for r in custom if r[8] is None or env in r[8].split(",")]
     if not rules:
         return f"SELECT doc_id, seq, '' AS rules, CAST(NULL AS VARCHAR(20)) AS action, CAST(NULL AS VARCHAR(200)) AS note, severity, FALSE AS blocked FROM {issues}"
     when = []
-    for _, _, category, severity, verified, below, *_ in rules:
+    for _, _, category, severity, verified, below, _, _, _, *own in rules:
+        title, path = own or (None, None)
         parts = []
+        if title:
+            parts.append(f"{d.find('lower(title)', d.text(title.lower()))} > 0")
+        if path:
+            parts.append(d.match("path", path))
         if severity:
             parts.append(f"severity = '{severity}'")
         if category:
@@ -186,7 +197,7 @@ def policy(d: Dialect, issues: str, packs: list[str] | None = None, env: str = "
             parts.append("exploit_verified = TRUE" if verified else "exploit_verified = FALSE")
         if below is not None:
             parts.append(f"COALESCE(confidence, {d.num(1.0)}) < {d.num(below)}")
-        when.append(f"COALESCE({' AND '.join(parts)}, FALSE)")
+        when.append(f"COALESCE({' AND '.join(parts) or 'TRUE'}, FALSE)")
     matched = d.labels([(w, r[1]) for w, r in zip(when, rules, strict=True)])
     action = "CASE " + " ".join(f"WHEN {w} THEN '{a}'" for a in V.POLICY_PRIORITY for w, r in zip(when, rules, strict=True) if r[6] == a) + " END"
     note = "CASE " + " ".join(f"WHEN {w} THEN {d.text(r[7])}" for w, r in reversed(list(zip(when, rules, strict=True))) if r[7]) + " END" if any(r[7] for r in rules) else "CAST(NULL AS VARCHAR(200))"

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+
 from ..functions import code_values as K
 from ..functions.dialect import Dialect
+from . import lines as L
+from . import taint
 
 
 def middleware(d: Dialect, lines: str) -> str:
@@ -85,13 +89,33 @@ def attack_paths(d: Dialect, lines: str) -> str:
     return f"SELECT s.doc_id, s.line_no AS source_line, t.line_no AS sink_line, {san} AS has_sanitizer, {gate} AS has_gate, {cvss} AS cvss_tenths, CASE WHEN {cvss} >= 70 THEN 'high' ELSE 'medium' END AS severity FROM {counted} s JOIN {counted} t ON s.doc_id = t.doc_id AND t.line_no > s.line_no WHERE s.src = 1 AND t.snk = 1"
 
 
+def _of_family(d: Dialect, text: str, family: str) -> str:
+    return f"({d.find(text, d.text(family.replace('-', ' ')))} > 0 OR {d.find(text, d.text(family))} > 0)"
+
+
+def two_step_chains(d: Dialect, issues: str) -> str:
+    """Chains of two findings: the first gives what the second, later in the document, needs. Each pair of families is told once, by its first findings.
+
+    The first of a family is a minimum over the document, so that no pairs of findings are made.
+    """
+    text = "lower(concat(title, ' ', explanation, ' ', category))"
+    named = f"(SELECT doc_id, seq, confidence, {', '.join(f'CASE WHEN {_of_family(d, text, f)} THEN 1 ELSE 0 END AS p{i}' for i, (f, _, _) in enumerate(K.PRIMITIVES))} FROM {issues} i)"
+    fits = [(a, b) for a, (_, gives, _) in enumerate(K.PRIMITIVES) for b, (family, _, _) in enumerate(K.PRIMITIVES) if set(gives) & set(K.CHAIN_NEEDS.get(family, ()))]
+    starts = sorted({a for a, _ in fits})
+    first = f"(SELECT *, {', '.join(f'MIN(CASE WHEN p{a} = 1 THEN seq END) OVER (PARTITION BY doc_id) AS s{a}' for a in starts)} FROM {named} n)"
+    ends = ", ".join(f"MIN(CASE WHEN p{b} = 1 AND seq > s{a} THEN seq END) AS t{a}_{b}" for a, b in fits)
+    met = f"(SELECT doc_id, {', '.join(f'MIN(s{a}) AS s{a}' for a in starts)}, {ends} FROM {first} f GROUP BY doc_id)"
+    arrow = " → "
+    each = " UNION ALL ".join(f"SELECT doc_id, s{a} AS first_seq, t{a}_{b} AS second_seq, {d.text(K.PRIMITIVES[a][2] + arrow + K.PRIMITIVES[b][2])} AS title FROM {met} m{k} WHERE t{a}_{b} IS NOT NULL" for k, (a, b) in enumerate(fits))
+    sure = f"COALESCE(x.confidence, {d.num(0.7)}) + COALESCE(y.confidence, {d.num(0.7)})"
+    return f"""SELECT c.doc_id, c.first_seq, c.second_seq, c.title, 'critical' AS severity, {d.half_up(f'({sure}) / {d.num(2.0)} * {d.num(70.0)}')} AS likelihood
+      FROM ({each}) c JOIN {issues} x ON c.doc_id = x.doc_id AND c.first_seq = x.seq JOIN {issues} y ON c.doc_id = y.doc_id AND c.second_seq = y.seq"""
+
+
 def chains(d: Dialect, issues: str) -> str:
     """Attack chains of a document: what its findings provide, which escalations that allows, and findings that reach one. Five at most, a title once."""
     text = "lower(concat(title, ' ', explanation, ' ', category))"
-    prims = []
-    for i, (family, provides, label) in enumerate(K.PRIMITIVES):
-        has = f"({d.find(text, d.text(family.replace('-', ' ')))} > 0 OR {d.find(text, d.text(family))} > 0)"
-        prims.append((i, has, provides, label))
+    prims = [(i, _of_family(d, text, family), provides, label) for i, (family, provides, label) in enumerate(K.PRIMITIVES)]
     named = f"(SELECT doc_id, seq, confidence, {', '.join(f'CASE WHEN {h} THEN 1 ELSE 0 END AS p{i}' for i, h, _, _ in prims)} FROM {issues} i)"
     caps = sorted({c for _, _, ps, _ in prims for c in ps})
     col = {c: f"c_{c.replace('-', '_')}" for c in caps}
@@ -114,3 +138,25 @@ def chains(d: Dialect, issues: str) -> str:
     first = f"(SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id, title ORDER BY seq, prim) AS copy FROM ({' UNION ALL '.join(out)}) u)"
     placed = f"(SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY CASE severity WHEN 'critical' THEN 0 ELSE 1 END, seq, prim) AS place FROM {first} f WHERE copy = 1)"
     return f"SELECT doc_id, CAST(place AS INT) AS place, seq, title, severity, likelihood FROM {placed} p WHERE place <= 5"
+
+
+def call_starts(d: Dialect, lines: str) -> str:
+    """Functions that call others and that none calls."""
+    steps = f"({call_steps(d, lines)})"
+    return f"SELECT DISTINCT a.doc_id, a.src AS node FROM {steps} a LEFT JOIN (SELECT DISTINCT doc_id, dst FROM {steps} x) b ON a.doc_id = b.doc_id AND a.src = b.dst WHERE b.dst IS NULL"
+
+
+def call_steps(d: Dialect, lines: str) -> str:
+    return f"SELECT DISTINCT doc_id, caller AS src, callee AS dst FROM ({L.calls(d, lines)}) c WHERE caller <> callee"
+
+
+def downstream(starts: DataFrame, steps: DataFrame) -> DataFrame:
+    """(doc_id, node, hops): what is reached from the starts, (doc_id, node), over steps, (doc_id, src, dst), however far; with the fewest steps to it. Starts themselves are left out."""
+    zero = "CAST(0 AS INT) AS line_no"
+    return taint.closure(starts.selectExpr("doc_id", "node AS var", zero), steps.selectExpr("doc_id", "src", "dst", zero), 2**31 - 1).where("hops > 0").selectExpr("doc_id", "var AS node", "hops")
+
+
+def downstream_sql(d: Dialect, starts: str, steps: str, far: int = 64) -> str:
+    """The same as a recursive query, so many steps far at most."""
+    return f"""WITH RECURSIVE st AS MATERIALIZED (SELECT * FROM {steps} z), walk AS (SELECT doc_id, node, 0 AS hops FROM {starts} s
+      UNION SELECT w.doc_id, e.dst, w.hops + 1 FROM walk w JOIN st e ON w.doc_id = e.doc_id AND w.node = e.src WHERE w.hops < {far}) SELECT doc_id, node, CAST(MIN(hops) AS INT) AS hops FROM walk v GROUP BY doc_id, node HAVING MIN(hops) > 0"""

@@ -81,7 +81,7 @@ def close(seeds: list, edges: list, passes: int = PASSES) -> list[tuple[str, int
     return [x[:3] for x in settle(seeds, edges, passes)]
 
 
-def closure(seed_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
+def closure(seed_rows: DataFrame, edge_rows: DataFrame, passes: int = PASSES) -> DataFrame:
     """(doc_id, var, pass_no, line_no, hops) of the tainted variables of each document; pass 0 for sources."""
     state = T.ArrayType(T.StructType([T.StructField("var", T.StringType()), *(T.StructField(n, T.IntegerType()) for n in ("pass_no", "line_no", "hops"))]))
 
@@ -89,7 +89,7 @@ def closure(seed_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
     def closed(seeds, edges):
         import pandas as pd
 
-        told = lambda a, b: settle([(s["var"], s["line_no"]) for s in a], [(e["src"], e["dst"], e["line_no"]) for e in b])
+        told = lambda a, b: settle([(s["var"], s["line_no"]) for s in a], [(e["src"], e["dst"], e["line_no"]) for e in b], passes)
         return pd.Series([[{"var": v, "pass_no": p, "line_no": n, "hops": h} for v, p, n, h in told(a, b)] for a, b in zip(seeds, edges, strict=True)])
 
     null = lambda t: F.lit(None).cast(t)

@@ -192,15 +192,41 @@ def semantic_summary(d: Dialect, lines: str) -> str:
     return f"SELECT doc_id, CAST(COUNT(*) AS BIGINT) AS routes, {k('is_public')} AS public_routes, {k('gap IS NOT NULL')} AS auth_gaps FROM ({semantic_routes(d, lines)}) r GROUP BY doc_id"
 
 
+def semantic_chains(d: Dialect, files: str, routes: str) -> str:
+    """Ways through a program from outside to what is worth guarding: open routes with a gap, and code that takes input and has sinks without any login. routes: semantic_routes()."""
+    sinks = d.labels([(d.match("code", p), label) for p, label in V.ROUTE_SINKS], ", ")
+    whole = f"(SELECT doc_id, {sinks} AS sinks FROM {files} f WHERE {d.any('code', V.ROUTE_SOURCES)} AND NOT {d.any('code', V.ROUTE_AUTH)})"
+    number = "CAST(line_no AS VARCHAR(12))"
+    return f"""SELECT doc_id, CAST(line_no AS INT) AS line_no, concat('auth-bypass-', {number}) AS chain, concat('open route ', method, ' ', path, ' reaches ', gap) AS steps FROM {routes} r WHERE gap IS NOT NULL
+      UNION ALL SELECT doc_id, CAST(NULL AS INT) AS line_no, 'cross-module-taint-main' AS chain, concat('input from outside reaches ', sinks, ' without a login') AS steps FROM {whole} w WHERE sinks <> ''"""
+
+
+def semantic_findings(d: Dialect, files: str, routes: str, limit: int = 20) -> str:
+    """Findings of routes and of chains: first all gaps, then chains up to a limit for a document."""
+    gaps = f"SELECT doc_id, 1 AS part, CAST(line_no AS INT) AS line, 'high' AS severity, {d.num(0.82)} AS confidence, concat('Auth gap: ', path) AS title, concat(method, ' ', path, ' reaches ', gap, ' without a login') AS explanation FROM {routes} g WHERE gap IS NOT NULL"
+    rest = f"SELECT doc_id, 2 AS part, CAST(NULL AS INT) AS line, 'high' AS severity, {d.num(0.7)} AS confidence, concat('Chain: ', chain) AS title, steps AS explanation FROM ({semantic_chains(d, files, routes)}) c"
+    placed = f"(SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY part, line, title, explanation) AS place FROM ({gaps} UNION ALL {rest}) u)"
+    return f"SELECT doc_id, CAST(place AS INT) AS place, line, severity, confidence, title, explanation FROM {placed} p WHERE part = 1 OR place <= {limit}"
+
+
+def language_profiles(d: Dialect, files: str) -> str:
+    """How many of its language's sources of input, and of its safe forms, a file has. Languages without a table have none."""
+    of = lambda table: "CASE language " + " ".join(f"WHEN '{k}' THEN {d.count_of(d.match('code', p) for p in ps)}" for k, ps in table.items()) + " ELSE 0 END"
+    return f"SELECT doc_id, language, CAST({of(V.LANGUAGE_SOURCES)} AS INT) AS n_sources, CAST({of(V.LANGUAGE_SAFE)} AS INT) AS n_safe FROM {_with_language(d, files)} n"
+
+
 def languages(d: Dialect, files: str, hint: str = "'auto'") -> str:
     """The language that a hint names, or the one with the weightiest marks, at least 8; and the least review that its dangerous calls ask for."""
+    full = "CASE language " + " ".join(f"WHEN '{k}' THEN {d.any('code', p)}" for k, p in V.ALWAYS_FULL.items()) + " ELSE FALSE END"
+    return f"SELECT doc_id, language, {full} AS needs_full_review FROM {_with_language(d, files, hint)} r"
+
+
+def _with_language(d: Dialect, files: str, hint: str = "'auto'") -> str:
     scores = {lang: (w, d.any("code", p)) for lang, w, p in V.LANGUAGE_MARKS}
     weights = sorted({w for w, _ in scores.values()}, reverse=True)
     guess = "CASE " + " ".join(f"WHEN {c} THEN '{lang}'" for w in weights for lang, (own, c) in scores.items() if own == w) + " ELSE 'unknown' END"
     named = d.lookup(d.replace(f"lower({hint})", "[^a-z#+-]", ""), V.LANGUAGE_HINTS, None)
-    rows = f"(SELECT doc_id, code, COALESCE({named}, {guess}) AS language FROM {files} f)"
-    full = "CASE language " + " ".join(f"WHEN '{k}' THEN {d.any('code', p)}" for k, p in V.ALWAYS_FULL.items()) + " ELSE FALSE END"
-    return f"SELECT doc_id, language, {full} AS needs_full_review FROM {rows} r"
+    return f"(SELECT doc_id, code, COALESCE({named}, {guess}) AS language FROM {files} f)"
 
 
 def assign_models(d: Dialect, tasks: str) -> str:

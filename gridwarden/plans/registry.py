@@ -7,7 +7,7 @@ from collections.abc import Callable
 from ..functions.dialect import DUCK, Dialect
 from ..functions.run import apply, over_tables
 from ..functions.tables import scratch, written
-from ..operators import classify, cluster, compare, documents, flow, history, lines, rules, scan, score, suppress, system, taint, verify
+from ..operators import classify, cluster, compare, documents, flow, govern, history, lines, rules, scan, score, suppress, system, taint, verify
 from ..sources import fixtures as T
 from ..sources import state
 from ..streaming import stateful
@@ -57,6 +57,7 @@ register("dominance", lambda d: suppress.dominance(d, T.cases(d)))
 register("dominance_resurrected", lambda d: suppress.resurrect(d, T.issues(d), T.baseline_lines(d)))
 register("policy_all_packs", lambda d: suppress.policy(d, T.issues(d)))
 register("policy_test_env", lambda d: suppress.policy(d, T.issues(d), ["soc2", "test-env"], "test"))
+register("policy_custom", lambda d: suppress.policy(d, T.repo_issues(d), ["soc2"], custom=T.OWN_RULES))
 register("policy_none", lambda d: suppress.policy(d, T.issues(d), []))
 register("policy_gate", lambda d: suppress.gate(d, T.issues(d), ["owasp-top10", "pci-dss", "soc2"]))
 register("check_fixes", lambda d: suppress.check_fixes(d, T.issues(d)))
@@ -269,3 +270,39 @@ register("trust_boundaries", lambda d: flow.trust_boundaries(d, _lines(d), T.fil
 register("constructor_fields", lambda d: flow.constructor_fields(d, _lines(d)))
 register("result_audit", lambda d: flow.audit(d, T.issues(d), f"(SELECT o_orderkey AS doc_id, o_custkey % 101 AS reported FROM {d.table('orders')})"))
 register("compact_findings", lambda d: flow.compact(d, T.issues(d)))
+
+# what is decided about findings and kept of it
+register("capped_confidence", lambda d: govern.capped(d, T.issues(d)))
+register("verdicts_backed", lambda d: govern.backed(d, f"(SELECT doc_id, seq, CASE exploit_verified WHEN TRUE THEN 'flag' WHEN FALSE THEN 'suppress' END AS by_code, CASE sink_reachable WHEN FALSE THEN 'suppress' ELSE 'flag' END AS by_model, confidence FROM {T.issues(d)} v)"))
+register("approved_findings", lambda d: govern.approved(d, T.repo_issues(d), T.approvals(d), "1800000000"))
+register("audit_log", lambda d: govern.audit_log(d, f"(SELECT sec AS happened, id, stage AS action FROM {T.events(d)} ev)"))
+register("latest_run", lambda d: govern.latest_run(d, f"(SELECT o_orderkey AS run_id, o_orderdate AS happened FROM {d.table('orders')} o)"))
+register("content_keys", lambda d: govern.content_keys(d, T.files(d), "lang"))
+register("repo_fingerprints", lambda d: govern.fingerprints(d, T.files(d)))
+register("stage_results", lambda d: govern.stage_results(d, {
+    "firewall": f"(SELECT doc_id, action <> 'drop' AS kept FROM ({suppress.firewall(d, T.cases(d))}) fw)", "minimizer": f"(SELECT doc_id, reason IS NULL AS kept FROM ({suppress.minimize(d, T.cases(d))}) mn)",
+    "policy": f"(SELECT doc_id, COALESCE(action, '') <> 'suppress' AS kept FROM ({suppress.policy(d, T.issues(d))}) po)",
+}))
+register("task_stats", lambda d: govern.task_stats(d, f"({verify.assign_models(d, T.tasks(d))})"))
+register("language_profiles", lambda d: verify.language_profiles(d, T.files(d)))
+register("two_step_chains", lambda d: system.two_step_chains(d, T.issues(d)))
+
+
+def _of_routes(operator: Callable):
+    """Over routes and files; the routes written, since the plan has them twice."""
+    return lambda spark, sf_dir: apply(operator, files=_files(spark, sf_dir), routes=written(QUERIES["semantic_routes"](spark, sf_dir), "routes"))
+
+
+for _name, _op in {"semantic_chains": verify.semantic_chains, "semantic_findings": verify.semantic_findings}.items():
+    QUERIES[_name] = _of_routes(_op)
+    ORACLES[_name] = _op(DUCK, T.files(DUCK), f"({verify.semantic_routes(DUCK, _lines(DUCK))})")
+
+
+def _downstream(spark, sf_dir):
+    source = written(QUERIES["lines_explode"](spark, sf_dir), "lines")
+    return system.downstream(apply(system.call_starts, lines=source), apply(system.call_steps, lines=source))
+
+
+QUERIES["downstream"] = _downstream
+ORACLES["downstream"] = system.downstream_sql(DUCK, f"({system.call_starts(DUCK, _lines(DUCK))})", f"({system.call_steps(DUCK, _lines(DUCK))})")
+QUERIES["firewall_findings"] = lambda spark, sf_dir: documents.firewall(_issues(spark, sf_dir))

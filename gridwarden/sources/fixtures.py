@@ -177,6 +177,29 @@ def suppressions(d: Dialect) -> str:
     return d.values(["id", "pos", "pattern", "expires_at"], SUPPRESSIONS)
 
 
+APPROVALS = [
+    (0, 1, "title", "sql*login", "checked by hand", 2_000_000_000), (0, 2, "trust", "trusted|sandbox", "code of our own", None), (1, 3, "title", "xss", "over", 1_700_000_000), (1, 4, "title", "leak", "known", None),
+    (2, 5, "trust", "user (input|code)", "inner tool", 1), (2, 6, "title", "rce|eval", "test only", None),
+]
+
+
+def approvals(d: Dialect) -> str:
+    return d.values(["repo", "pos", "kind", "pattern", "reason", "expires_at"], APPROVALS)
+
+
+def repo_issues(d: Dialect) -> str:
+    """Findings of documents of four repositories, each document with a path."""
+    return f"(SELECT *, doc_id % 4 AS repo, CASE doc_id % 3 WHEN 0 THEN 'src/api.js' WHEN 1 THEN 'tests/api.test.js' ELSE 'lib/x.py' END AS path FROM {issues(d)} ri)"
+
+
+#: rules of one's own: as those of the packs, with a part of the title and a pattern of the path
+OWN_RULES = [
+    ("custom", "own-tests", None, None, None, None, "suppress", "tests are not shipped", None, None, r"^tests/|\.test\."),
+    ("custom", "own-sql", "security", None, None, None, "require-fix", "no SQL in the API", None, "SQL", r"^src/"),
+    ("custom", "own-dev", None, None, None, None, "annotate", "development only", "development", None, None),
+]
+
+
 def baseline_lines(d: Dialect) -> str:
     """Findings that a later stage left, with their lines."""
     return f"(SELECT * FROM {issues(d)} b WHERE (doc_id + seq) % 3 <> 1)"

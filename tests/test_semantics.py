@@ -5,7 +5,7 @@ import pytest
 from gridwarden.functions.dialect import SPARK, not_starting
 from gridwarden.functions.run import apply
 from gridwarden.functions.tables import written
-from gridwarden.operators import cluster, compare, flow, history, lines, rules, scan, score, suppress, system, taint
+from gridwarden.operators import cluster, compare, flow, govern, history, lines, rules, scan, score, suppress, system, taint
 from gridwarden.operators.taint import close
 
 FIELDS = (
@@ -277,3 +277,79 @@ def test_lines_of_many_hits_in_one_file(spark):
     code = "\n".join(f"x{i}\neval(a{i})" for i in range(3000))
     got = apply(rules.findings, files=spark.createDataFrame([(1, code)], "doc_id long, code string")).where("rule_id = 'rce-eval'")
     assert sorted(r.line_no for r in got.collect()) == [2 * i + 2 for i in range(3000)]
+
+
+def test_downstream_goes_any_way_and_round_circles(spark):
+    starts = spark.createDataFrame([(1, "a"), (2, "x")], "doc_id long, node string")
+    chain = [(2, f"n{i}", f"n{i + 1}") for i in range(40)]
+    steps = spark.createDataFrame([(1, "a", "b"), (1, "b", "c"), (1, "c", "a"), (1, "a", "c"), (1, "q", "r"), (2, "x", "n0"), *chain], "doc_id long, src string, dst string")
+    got = rows(system.downstream(starts, steps), "doc_id", "node", "hops")
+    assert [r for r in got if r[0] == 1] == [(1, "b", 1), (1, "c", 1)] and (2, "n40", 41) in got
+
+
+def test_two_step_chains_need_order(spark, cases):
+    text = lambda t: {"title": t, "explanation": "", "category": "security"}
+    given = cases(issue(1, **text("auth bypass")), issue(2, **text("ssrf"), confidence=0.5), issue(3, **text("ssrf")), issue(4, **text("sql injection"), confidence=1.0), issue(5, **text("sql injection")))
+    got = rows(apply(system.two_step_chains, issues=given), "first_seq", "second_seq", "title", "likelihood")
+    assert got == [(2, 4, "SSRF → Internal Network → SQLi → Database Access", 53)]
+
+
+def test_confidence_is_capped(cases):
+    given = cases(issue(1, confidence=0.99), issue(2, confidence=0.99, category="logic"), issue(3, confidence=-1.0), issue(4, confidence=0.999, type="risk"), issue(5, type="suggestion", confidence=0.714), issue(6), issue(7, type="suggestion", confidence=0.444))
+    assert rows(apply(govern.capped, issues=given), "seq", "confidence_pct") == [(1, 95), (2, 90), (3, 0), (4, 80), (5, 70), (6, None), (7, 44)]
+
+
+def test_verdict_of_code_goes_first(spark):
+    given = spark.createDataFrame([(1, 1, "flag", "suppress", 0.1), (1, 2, "neutral", "suppress", 0.9), (1, 3, None, "flag", 0.5)], "doc_id long, seq int, by_code string, by_model string, confidence double")
+    assert rows(apply(govern.backed, verdicts=given), "seq", "verdict", "confidence", "source") == [(1, "flag", 1.0, "deterministic"), (2, "suppress", 0.7, "ai"), (3, "flag", 0.5, "ai")]
+
+
+def test_approvals_of_the_repository_that_are_in_force(spark):
+    found = spark.createDataFrame([("r", 1, 1, "SQL in Login", "x"), ("r", 1, 2, "XSS", "Trusted code"), ("s", 2, 1, "SQL in Login", "trusted"), ("r", 1, 3, "other", None)], "repo string, doc_id long, seq int, title string, explanation string")
+    given = spark.createDataFrame([("r", 2, "trust", "trusted", "ours", 5), ("r", 1, "title", "sql*login", "seen", 200), ("r", 0, "title", "xss", "old", 5)], "repo string, pos int, kind string, pattern string, reason string, expires_at long")
+    got = apply(lambda d, issues, approvals: govern.approved(d, issues, approvals, "100"), issues=found, approvals=given)
+    assert rows(got, "doc_id", "seq", "kind", "reason") == [(1, 1, "title", "seen"), (1, 2, "trust", "ours")]
+
+
+def fnv(text):
+    h = 0x811C9DC5
+    for c in text:
+        h ^= ord(c)
+        h = int(float(h - 2**32 if h >= 2**31 else h) * 16777619.0) % 2**32
+    return f"{h:08x}"
+
+
+def test_fingerprints(spark):
+    files = spark.createDataFrame([(1, "no import"), (2, "import {a} from 'x'"), (3, "import 'é0' \n import { b }c'"), (4, "\n".join(f"import 'm{i}'" for i in range(12)))], "doc_id long, code string")
+    want = ["", "import {a} from '", "|".join(["import 'é0'", "import { b }c'"]), "|".join(f"import 'm{i}'" for i in range(10))]
+    assert rows(apply(govern.fingerprints, files=files), "doc_id", "fingerprint") == [(i + 1, fnv(w)) for i, w in enumerate(want)]
+
+
+def test_own_rules_follow_title_and_path(spark, cases):
+    given = cases(issue(1, "SQL in x", confidence=0.9), issue(2, "odd", confidence=0.9), issue(3, "SQL", confidence=0.9)).selectExpr("*", "CASE seq WHEN 3 THEN 'tests/a.js' ELSE 'src/a.js' END AS path")
+    own = [("custom", "t", None, None, None, None, "suppress", None, None, None, "^tests/"), ("custom", "s", None, None, None, None, "require-fix", "n", None, "sql", "^src/")]
+    got = apply(lambda d, issues: suppress.policy(d, issues, [], custom=own), issues=given)
+    assert rows(got, "seq", "rules", "action", "blocked") == [(1, "s", "require-fix", True), (2, "", None, False), (3, "t", "suppress", False)]
+
+
+def test_firewall_takes_copies_and_contradicted_findings(spark, cases):
+    from gridwarden.operators import documents
+
+    proof = {"exploit_chain": "from here to there and further on"}
+    given = cases(
+        issue(1, "SQL injection via x", line=10, **proof), issue(2, "SQL injection in y", line=12, **proof), issue(3, "SQL injection", line=14, **proof), issue(4, "Odd", line=50), issue(5, "Odd", severity="low", line=90),
+    )
+    assert rows(documents.firewall(given), "seq", "passed", "severity", "type") == [(1, True, "high", "bug"), (3, True, "high", "bug"), (4, False, "medium", "risk"), (5, True, "low", "bug")]
+
+
+def test_language_profiles_and_semantic_findings(spark):
+    from gridwarden.operators import verify
+
+    files = spark.createDataFrame([(1, "def f(x):\n    a = request.args['q']\n    b = input()\n    return json.loads(b)\n"), (2, "nothing")], "doc_id long, code string")
+    assert rows(apply(verify.language_profiles, files=files), "doc_id", "language", "n_sources", "n_safe") == [(1, "python", 2, 1), (2, "unknown", 0, 0)]
+    code = "app.get('/x', (req, res) => {\n  eval(req.query.q)\n})"
+    files = spark.createDataFrame([(1, code), (2, code + "\nrequireAuth()")], "doc_id long, code string")
+    routes = apply(verify.semantic_routes, lines=apply(lines.parse, files=files))
+    got = rows(apply(verify.semantic_findings, files=files, routes=routes), "doc_id", "place", "line", "confidence", "title")
+    assert got[:3] == [(1, 1, 1, 0.82, "Auth gap: /x"), (1, 2, None, 0.7, "Chain: auth-bypass-1"), (1, 3, None, 0.7, "Chain: cross-module-taint-main")]
+    assert all(r[4] != "Chain: cross-module-taint-main" for r in got if r[0] == 2)
