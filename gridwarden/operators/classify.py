@@ -11,50 +11,56 @@ def _joined(d: Dialect, *columns: str) -> str:
     return "concat(" + ", ' ', ".join(f"COALESCE({c}, '')" for c in columns) + ")"
 
 
-def root_family(d: Dialect) -> str:
-    return d.first(_joined(d, "title", "explanation", "category"), V.ROOT_FAMILIES, "unknown")
+def _texts(d: Dialect) -> dict[str, str]:
+    """The texts that tables look at, by name."""
+    two = _joined(d, "title", "explanation")
+    return {"whole": _joined(d, "title", "explanation", "category"), "told": two, "way": _joined(d, "explanation", "exploit_chain"), "told_low": f"lower({two})", "short_low": "lower(concat(title, category))"}
 
 
-def root_sink(d: Dialect) -> str:
-    return d.first(_joined(d, "title", "explanation"), V.ROOT_SINKS, "unknown")
+def root_family(d: Dialect, text: str | None = None) -> str:
+    return d.first(text or _texts(d)["whole"], V.ROOT_FAMILIES, "unknown")
 
 
-def root_zone(d: Dialect) -> str:
-    return d.first(_joined(d, "explanation", "exploit_chain"), V.ROOT_ZONES, "internal")
+def root_sink(d: Dialect, text: str | None = None) -> str:
+    return d.first(text or _texts(d)["told"], V.ROOT_SINKS, "unknown")
 
 
-def cluster_family(d: Dialect) -> str:
-    return d.first(_joined(d, "title", "explanation", "category"), [r[:2] for r in V.CLUSTER_FAMILIES], "other")
+def root_zone(d: Dialect, text: str | None = None) -> str:
+    return d.first(text or _texts(d)["way"], V.ROOT_ZONES, "internal")
 
 
-def cluster_sink(d: Dialect) -> str:
-    return f"COALESCE({d.first(_joined(d, 'explanation', 'exploit_chain'), V.CLUSTER_SINKS, None)}, CASE WHEN line IS NULL OR line = 0 THEN 'unknown sink' ELSE concat('L', CAST(line AS VARCHAR(12))) END)"
+def cluster_family(d: Dialect, text: str | None = None) -> str:
+    return d.first(text or _texts(d)["whole"], [r[:2] for r in V.CLUSTER_FAMILIES], "other")
 
 
-def firewall_family(d: Dialect) -> str:
+def cluster_sink(d: Dialect, text: str | None = None) -> str:
+    return f"COALESCE({d.first(text or _texts(d)['way'], V.CLUSTER_SINKS, None)}, CASE WHEN line IS NULL OR line = 0 THEN 'unknown sink' ELSE concat('L', CAST(line AS VARCHAR(12))) END)"
+
+
+def firewall_family(d: Dialect, text: str | None = None) -> str:
     """On lower-cased text, so that a capital in a pattern never matches."""
-    return d.first(f"lower({_joined(d, 'title', 'explanation')})", V.FIREWALL_FAMILIES, None, "")
+    return d.first(text or _texts(d)["told_low"], V.FIREWALL_FAMILIES, None, "")
 
 
-def bayes_class(d: Dialect) -> str:
-    return d.first("lower(concat(title, category))", V.BAYES_CLASSES, "default", "")
+def bayes_class(d: Dialect, text: str | None = None) -> str:
+    return d.first(text or _texts(d)["short_low"], V.BAYES_CLASSES, "default", "")
 
 
-def dominance_class(d: Dialect) -> str:
-    return d.first(f"lower({_joined(d, 'title', 'explanation')})", V.DOMINANCE_CLASSES, "generic", "")
+def dominance_class(d: Dialect, text: str | None = None) -> str:
+    return d.first(text or _texts(d)["told_low"], V.DOMINANCE_CLASSES, "generic", "")
 
 
-def proof_class(d: Dialect) -> str:
-    return d.first("lower(concat(title, category))", V.PROOF_CLASSES, "generic")
+def proof_class(d: Dialect, text: str | None = None) -> str:
+    return d.first(text or _texts(d)["short_low"], V.PROOF_CLASSES, "generic")
 
 
-def minimizer_class(d: Dialect) -> str:
-    return d.first(f"lower({_joined(d, 'title', 'explanation')})", V.MINIMIZER_CLASSES, "generic", "")
+def minimizer_class(d: Dialect, text: str | None = None) -> str:
+    return d.first(text or _texts(d)["told_low"], V.MINIMIZER_CLASSES, "generic", "")
 
 
-def trust_families(d: Dialect) -> str:
+def trust_families(d: Dialect, text: str | None = None) -> str:
     """All that match, joined."""
-    text = f"lower({_joined(d, 'title', 'explanation')})"
+    text = text or _texts(d)["told_low"]
     return d.labels([(d.match(text, p), label) for p, labels in V.TRUST_FAMILIES for label in labels])
 
 
@@ -67,13 +73,13 @@ def priority(d: Dialect) -> str:
 def classify(d: Dialect, issues: str) -> str:
     """Every finding with its class under each table."""
     made = {
-        "root_family": root_family(d), "root_sink": root_sink(d), "root_zone": root_zone(d), "cluster_family": cluster_family(d), "cluster_sink": cluster_sink(d),
-        "firewall_family": firewall_family(d), "bayes_class": bayes_class(d), "dominance_class": dominance_class(d), "proof_class": proof_class(d),
-        "minimizer_class": minimizer_class(d), "trust_families": trust_families(d), "priority": priority(d),
-        "protected": d.any(_joined(d, "title", "explanation", "category"), [(p, "i") for p in V.PROTECTED]),
-        "security_bug": d.any(_joined(d, "title", "explanation"), [(p, "i") for p in V.SECURITY_BUGS]),
+        "root_family": root_family(d, "whole"), "root_sink": root_sink(d, "told"), "root_zone": root_zone(d, "way"), "cluster_family": cluster_family(d, "whole"), "cluster_sink": cluster_sink(d, "way"),
+        "firewall_family": firewall_family(d, "told_low"), "bayes_class": bayes_class(d, "short_low"), "dominance_class": dominance_class(d, "told_low"), "proof_class": proof_class(d, "short_low"),
+        "minimizer_class": minimizer_class(d, "told_low"), "trust_families": trust_families(d, "told_low"), "priority": priority(d),
+        "protected": d.any("whole", [(p, "i") for p in V.PROTECTED]), "security_bug": d.any("told", [(p, "i") for p in V.SECURITY_BUGS]),
     }
-    return f"SELECT doc_id, seq, {', '.join(f'{v} AS {k}' for k, v in made.items())} FROM {issues}"
+    rows = f"(SELECT *, {', '.join(f'{v} AS {k}' for k, v in _texts(d).items())} FROM {issues} i)"
+    return f"SELECT doc_id, seq, {', '.join(f'{v} AS {k}' for k, v in made.items())} FROM {rows} t"
 
 
 def file_language(d: Dialect) -> str:
