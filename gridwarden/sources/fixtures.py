@@ -37,6 +37,18 @@ CODE = [
     ("JS-EVENTS", "logic", False, "low", "javascript", "// file: bus.js\nbus.on('paid', handle);\nfunction pay(order) {\n  bus.emit('paid', order);\n  bus.emit('left', order);\n}\n// file: mail.js\nbus.on('left', mail);\nfunction handle(order) { pay(order); mail(order); }\nconst mail = async (order) => fetch('https://mail.example.com');"),
     ("JS-GUARD", "sqli", False, "medium", "javascript", "function find(req) {\n  const id = req.query.id;\n  if (!id) return null;\n  if (typeof id !== 'string') throw new Error('id');\n  const text = id + '!';\n  return db.query('SELECT name FROM t WHERE id = ' + id);\n}"),
     ("JS-TEST", "xss", False, "medium", "javascript", "describe('box', () => {\n  it('shows', () => {\n    box.innerHTML = '<b>x</b>';\n    expect(box).toBeTruthy();\n  });\n});"),
+    ("JS-LOG-1", "ssrf", True, "high", "javascript", "app.get('/find', async (req, res) => {\n  const host = req.headers['x-host'];\n  logger.info('lookup ' + host);\n  const answer = await axios.get(host);\n  res.json(answer.data);\n});"),
+    ("JS-IDOR-1", "idor", True, "high", "javascript", "router.get('/bills/:id', async (req, res) => {\n  const bill = await Bill.findById(req.params.id);\n  res.json(bill);\n});"),
+    ("JS-ENV-1", "ssrf", True, "high", "javascript", "app.get('/debug', (req, res) => {\n  res.json({ ok: true, env: process.env });\n});"),
+    ("JS-DESER-1", "deserialize", True, "high", "javascript", "const serialize = require('node-serialize');\napp.post('/state', (req, res) => {\n  const state = serialize.unserialize(req.body.state);\n  res.send(state.name);\n});"),
+    ("JS-PATH-SAFE", "path", False, "high", "javascript", "function read(req) {\n  const full = path.resolve(BASE, req.query.name);\n  if (!full.startsWith(BASE)) throw new Error('403');\n  return fs.readFileSync(full);\n}"),
+    ("JS-EVAL-SAFE", "cmd", False, "high", "javascript", "function calc(req) {\n  const table = { add: (a, b) => a + b };\n  const op = table[req.body.op];\n  if (!op) return null;\n  return op(Number(req.body.a), Number(req.body.b));\n}"),
+    ("JS-REDIR-SAFE", "redirect", False, "high", "javascript", "app.get('/go', (req, res) => {\n  const next = req.query.next;\n  if (!ALLOWED_PATHS.includes(next)) return res.redirect('/');\n  res.redirect(next);\n});"),
+    ("JS-DEAD", "sqli", False, "high", "javascript", "function old(req) {\n  if (false) {\n    db.query('SELECT * FROM t WHERE id = ' + req.query.id);\n  }\n  return 1;\n}"),
+    ("PY-LEAK-1", "logic", True, "medium", "python", "def rows(name):\n    conn = sqlite3.connect('shop.db')\n    return conn.execute('SELECT 1').fetchall()\n"),
+    ("PY-TIME-1", "auth", True, "high", "python", "def allowed(token, stored_token):\n    if token == stored_token:\n        return True\n    return False\n"),
+    ("PY-AUTH-SAFE", "auth", False, "high", "python", "import hmac, os\n\ndef allowed(token):\n    stored = os.environ['TOKEN']\n    return hmac.compare_digest(token, stored)\n"),
+    ("PY-PATH-2", "path", True, "high", "python", "@app.route('/file')\ndef file():\n    name = request.args.get('name')\n    return send_file('/srv/data/' + name)\n"),
 ]
 
 #: title, explanation, category, chain, payload, fix
