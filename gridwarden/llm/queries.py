@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, license_scan, lm_scoring, pii, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, simhash, toxicity
+from . import decontamination, license_scan, line_dedup, lm_scoring, merkle_manifest, periodic_runs, pii, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, simhash, toxicity
 from .common import read
 
 
@@ -90,11 +90,30 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(read(spark, sf_dir, "documents"), keep=["doc_id"]).drop("n_removed")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_shared_lines(read(spark, sf_dir, "documents"), keep=["doc_id"], made=("n_lines", "n_dropped", "kept_sha256"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return periodic_runs.collapse_runs(docs, keep=["doc_id"], made=periodic_runs.NAMES[:7], echo=periodic_runs.planted())
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.prove(read(spark, sf_dir, "documents"), now=merkle_manifest.tampered()).drop("path")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_lm_scoring, op4_secret_scan, op5_simhash, op6_quality_classifier, op7_license_scan, op8_pii, op9_decontamination, op10_quality_rules, pipeline)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sentencepiece, op2_toxicity, op3_lm_scoring, op4_secret_scan, op5_simhash, op6_quality_classifier, op7_license_scan, op8_pii, op9_decontamination, op10_quality_rules,
+        op11_line_dedup, op12_periodic_runs, op13_merkle_manifest, pipeline,
+    )
+}
+ORACLES = {"op11_line_dedup": line_dedup.oracle_sql(), "op13_merkle_manifest": merkle_manifest.oracle_sql()}
