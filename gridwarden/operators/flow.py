@@ -57,7 +57,7 @@ def edges(d: Dialect, lines: str) -> str:
     unpack = f"SELECT doc_id, line_no, src, {d.strip(d.replace('part', '[=:].*', ''))} AS dst FROM {unpacked} u"
     args = d.explode(f"(SELECT doc_id, line_no, {x(V.FLOW_MADE, 1)} AS dst, {x(V.FLOW_MADE, 2)} AS callee, {split(x(V.FLOW_MADE, 3))} AS args FROM {live} l WHERE {m(V.FLOW_MADE)}) s", "args", "arg", "pos", "doc_id, line_no, dst, callee")
     kept = f"SELECT a.doc_id, a.line_no, {d.strip('a.arg')} AS src, concat(a.dst, '.', f.field) AS dst FROM {args} a JOIN ({constructor_fields(d, lines)}) f ON a.doc_id = f.doc_id AND a.callee = f.class_name AND a.pos = f.place"
-    called = f"SELECT doc_id, line_no, src, dst FROM ({taint.calls(d, live)}) c"
+    called = f"SELECT doc_id, line_no, src, dst FROM ({taint.calls(d, live, clean)}) c"
     return f"SELECT DISTINCT doc_id, src, dst, line_no FROM ({plain} UNION ALL {unpack} UNION ALL {kept} UNION ALL {called}) u WHERE src <> dst AND src <> '' AND dst <> ''"
 
 

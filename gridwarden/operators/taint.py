@@ -46,9 +46,9 @@ def edges(d: Dialect, lines: str) -> str:
     return f"SELECT DISTINCT doc_id, src, dst, line_no FROM ({plain} UNION ALL {calls(d, lines)}) u WHERE src <> dst"
 
 
-def calls(d: Dialect, lines: str) -> str:
-    """(doc_id, line_no, src, dst): arguments that a call hands on to what its value is assigned to."""
-    args = d.explode(f"(SELECT doc_id, line_no, {d.extract('raw', R.CALL_ALIAS, 1)} AS dst, {d.extract('raw', R.CALL_ALIAS, 2)} AS callee, {_list(d, d.extract('raw', R.CALL_ALIAS, 3), ',')} AS args FROM {lines} l WHERE {d.match('raw', R.CALL_ALIAS)}) s", "args", "arg", "pos", "doc_id, line_no, dst, callee")
+def calls(d: Dialect, lines: str, only: str = "TRUE") -> str:
+    """(doc_id, line_no, src, dst): arguments that a call hands on to what its value is assigned to. only: a condition on the line."""
+    args = d.explode(f"(SELECT doc_id, line_no, {d.extract('raw', R.CALL_ALIAS, 1)} AS dst, {d.extract('raw', R.CALL_ALIAS, 2)} AS callee, {_list(d, d.extract('raw', R.CALL_ALIAS, 3), ',')} AS args FROM {lines} l WHERE {d.match('raw', R.CALL_ALIAS)} AND {only}) s", "args", "arg", "pos", "doc_id, line_no, dst, callee")
     firsts = f"(SELECT doc_id, name, returns FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id, name ORDER BY line_no) AS place FROM ({L.functions(d, lines)}) f) g WHERE place = 1)"
     return f"SELECT a.doc_id, a.line_no, {d.strip('a.arg')} AS src, a.dst FROM {args} a LEFT JOIN {firsts} f ON a.doc_id = f.doc_id AND a.callee = f.name WHERE {d.strip('a.arg')} <> '' AND (f.name IS NULL OR {d.contains('f.returns', d.strip('a.arg'))})"
 

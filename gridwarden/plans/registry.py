@@ -7,7 +7,7 @@ from collections.abc import Callable
 from ..functions.dialect import DUCK, Dialect
 from ..functions.run import apply, over_tables
 from ..functions.tables import scratch, written
-from ..operators import classify, cluster, compare, documents, flow, govern, history, lines, rules, scan, score, suppress, system, taint, verify
+from ..operators import classify, cluster, compare, documents, fixpoint, flow, govern, history, incremental, lines, repository, rules, scan, score, suppress, system, taint, verify
 from ..sources import fixtures as T
 from ..sources import state
 from ..streaming import stateful
@@ -306,3 +306,87 @@ def _downstream(spark, sf_dir):
 QUERIES["downstream"] = _downstream
 ORACLES["downstream"] = system.downstream_sql(DUCK, f"({system.call_starts(DUCK, _lines(DUCK))})", f"({system.call_steps(DUCK, _lines(DUCK))})")
 QUERIES["firewall_findings"] = lambda spark, sf_dir: documents.firewall(_issues(spark, sf_dir))
+
+# files of a repository together
+
+
+def _repo_files(spark, sf_dir, later: bool = False):
+    return written(over_tables(lambda d: f"SELECT * FROM {T.repo_files(d, later)} rf")(spark, sf_dir), "repo-files")
+
+
+def _repo_facts(spark, sf_dir):
+    """Files of repositories, their lines, and what each says; written, as all that follows reads them."""
+    files = _repo_files(spark, sf_dir)
+    source = written(apply(flow.flagged, lines=written(apply(lines.parse, files=files), "lines")), "lines")
+    return files, source, written(apply(repository.facts, lines=source, files=files), "facts")
+
+
+def _repo_links(spark, sf_dir):
+    files, _, facts = _repo_facts(spark, sf_dir)
+    return apply(repository.links, facts=facts, files=files)
+
+
+def _repo_edges(spark, sf_dir):
+    files, _, facts = _repo_facts(spark, sf_dir)
+    return apply(repository.edges, facts=facts, links=written(apply(repository.links, facts=facts, files=files), "links"))
+
+
+def _repo_reached(spark, sf_dir):
+    files, _, facts = _repo_facts(spark, sf_dir)
+    found = apply(repository.edges, facts=facts, links=written(apply(repository.links, facts=facts, files=files), "links"))
+    return fixpoint.settle(apply(repository.seeds, facts=facts), written(found, "edges"))
+
+
+def _repo_flows(spark, sf_dir):
+    graph = incremental.build(_repo_files(spark, sf_dir))
+    return graph.findings
+
+
+def _repo_chains(spark, sf_dir):
+    files, source, facts = _repo_facts(spark, sf_dir)
+    found = written(apply(repository.links, facts=facts, files=files), "links")
+    marks = written(apply(repository.file_marks, lines=source, files=files), "marks")
+    reached = fixpoint.settle(apply(repository.module_seeds, marks=marks), written(apply(repository.module_edges, links=found), "edges"))
+    return apply(repository.chains, reached=reached, marks=marks)
+
+
+def _later_graph(spark, sf_dir):
+    """The graph of the files as they were, brought up to date with what they are some days on."""
+    return incremental.update(incremental.mark_clean(incremental.build(_repo_files(spark, sf_dir))), _repo_files(spark, sf_dir, True))[0]
+
+
+#: steps that the twins follow; ways in the repositories are shorter
+_FAR = 24
+
+
+def _repo_sql(later: bool = False) -> str:
+    """Relations that the twins share: rfiles, rlines, rfacts, rlinks, redges, rreached, rtainted."""
+    d = DUCK
+    return f"""WITH RECURSIVE rfiles AS MATERIALIZED (SELECT * FROM {T.repo_files(d, later)} rf), rparsed AS MATERIALIZED ({lines.parse(d, 'rfiles')}), rlines AS MATERIALIZED ({flow.flagged(d, 'rparsed')}),
+      rfacts AS MATERIALIZED ({repository.facts(d, 'rlines', 'rfiles')}), rlinks AS MATERIALIZED ({repository.links(d, 'rfacts', 'rfiles')}), redges AS MATERIALIZED ({repository.edges(d, 'rfacts', 'rlinks')}),
+      rreached AS MATERIALIZED ({fixpoint.settle_sql(repository.seeds(d, 'rfacts'), 'SELECT * FROM redges', _FAR)}), rtainted AS MATERIALIZED ({repository.tainted(d, 'rreached', 'rfacts')})"""
+
+
+QUERIES["repo_imports"] = _repo_links
+ORACLES["repo_imports"] = f"{_repo_sql()} SELECT * FROM rlinks"
+QUERIES["repo_edges"] = _repo_edges
+ORACLES["repo_edges"] = f"{_repo_sql()} SELECT * FROM redges"
+QUERIES["repo_reached"] = _repo_reached
+ORACLES["repo_reached"] = f"{_repo_sql()} SELECT * FROM rreached"
+QUERIES["repo_flows"] = _repo_flows
+ORACLES["repo_flows"] = f"{_repo_sql()} {repository.findings(DUCK, 'rlines', 'rtainted', 'rfiles')}"
+QUERIES["repo_chains"] = _repo_chains
+ORACLES["repo_chains"] = f"{_repo_sql()}, rmarks AS MATERIALIZED ({repository.file_marks(DUCK, 'rlines', 'rfiles')}), rmodules AS MATERIALIZED ({fixpoint.settle_sql(repository.module_seeds(DUCK, 'rmarks'), repository.module_edges(DUCK, 'rlinks'), _FAR)}) {repository.chains(DUCK, 'rmodules', 'rmarks')}"
+# the twins build all anew from the later files
+QUERIES["incremental_flows"] = lambda spark, sf_dir: _later_graph(spark, sf_dir).findings
+ORACLES["incremental_flows"] = f"{_repo_sql(True)} {repository.findings(DUCK, 'rlines', 'rtainted', 'rfiles')}"
+QUERIES["incremental_dirty"] = lambda spark, sf_dir: incremental.dirty(_later_graph(spark, sf_dir)).drop("dirty")
+ORACLES["incremental_dirty"] = f"""WITH old_nodes AS MATERIALIZED ({system.graph_nodes(DUCK, f"({lines.parse(DUCK, T.repo_files(DUCK))})")}), new_nodes AS MATERIALIZED ({system.graph_nodes(DUCK, f"({lines.parse(DUCK, T.repo_files(DUCK, True))})")})
+  SELECT f.repo, n.doc_id, n.kind, n.line_no, n.label, n.hash FROM new_nodes n JOIN {T.repo_files(DUCK, True)} f ON n.doc_id = f.doc_id ANTI JOIN old_nodes o ON n.doc_id = o.doc_id AND n.kind = o.kind AND n.line_no = o.line_no AND n.hash = o.hash"""
+QUERIES["incremental_summary"] = lambda spark, sf_dir: incremental.summary(_later_graph(spark, sf_dir)).drop("dirty")
+ORACLES["incremental_summary"] = f"""{_repo_sql(True)}, rfound AS MATERIALIZED ({repository.findings(DUCK, 'rlines', 'rtainted', 'rfiles')}), rnodes AS MATERIALIZED ({system.graph_nodes(DUCK, 'rparsed')}),
+  n AS (SELECT f.repo, COUNT(*) AS nodes, COUNT(*) FILTER (WHERE kind = 'service-dep') AS services, COUNT(*) FILTER (WHERE kind = 'async-bridge') AS bridges FROM rnodes x JOIN rfiles f ON x.doc_id = f.doc_id GROUP BY f.repo),
+  e AS (SELECT scope AS repo, COUNT(*) AS edges FROM redges GROUP BY scope), r AS (SELECT scope AS repo, COUNT(*) AS names FROM rreached GROUP BY scope), s AS (SELECT repo, COUNT(*) AS findings, COUNT(*) FILTER (WHERE across) AS across FROM rfound GROUP BY repo),
+  f AS (SELECT repo, COUNT(*) AS files FROM rfiles GROUP BY repo)
+  SELECT repo, files, COALESCE(nodes, 0) AS nodes, COALESCE(services, 0) AS services, COALESCE(bridges, 0) AS bridges, COALESCE(edges, 0) AS edges, COALESCE(names, 0) AS names, COALESCE(findings, 0) AS findings, COALESCE(across, 0) AS across
+  FROM f LEFT JOIN n USING (repo) LEFT JOIN e USING (repo) LEFT JOIN r USING (repo) LEFT JOIN s USING (repo)"""

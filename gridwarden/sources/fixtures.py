@@ -250,3 +250,29 @@ def tasks(d: Dialect) -> str:
     """Parts as tasks for models, with what is available."""
     kinds = " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(("routing", "syntax", "security", "remediation", "arbitration")))
     return f"(SELECT p_partkey AS id, CASE p_partkey % 5 {kinds} END AS task, CASE p_size % 3 WHEN 0 THEN ',' WHEN 1 THEN ',openai/gpt-4o,anthropic/claude-3-haiku,' ELSE ',local/model,' END AS available FROM {d.table('part')})"
+
+
+#: Files of a repository in turn: path, language, code. $H is the file's place in its repository, $N the next place, $B that of the service five places back.
+REPO_FILES = [
+    ("src/routes/r$H.js", "javascript", "import { load$N } from '../services/s$N';\nexport function get$H(req, res) {\n  const id = req.query.id;\n  const row = load$N(id);\n  res.send(row);\n}\n"),
+    ("src/services/s$H.js", "javascript", "const { find$N } = require('../db/store$N');\nexport function load$H(key) {\n  const text = key + '!';\n  const out = find$N(text);\n  return out;\n}\n"),
+    ("src/db/store$H.js", "javascript", "import { log } from '../../lib/log.js';\nexport function find$H(value) {\n  const rows = db.query(`SELECT * FROM t WHERE id = ${value}`);\n  return rows;\n}\n"),
+    ("web/view$H.py", "python", "from web.util$N import clean$N\nfrom flask import request\n\ndef show$H():\n    name = request.args.get('name')\n    path = clean$N(name)\n    return path\n"),
+    ("web/util$H/__init__.py", "python", "from ..files$N import read$N\n\ndef clean$H(text):\n    part = text.strip()\n    body = read$N(part)\n    return body\n"),
+    ("web/files$H.py", "python", "import os\n\ndef read$H(target):\n    os.system('cat ' + target)\n    data = open(target)\n    return data\n"),
+    ("src/routes/safe$H.ts", "typescript", "import { load$B } from '@/services/s$B';\nexport function safe$H(req) {\n  const id = parseInt(req.query.id, 10);\n  const row = load$B(id);\n  return row;\n}\n"),
+]
+
+
+def repo_files(d: Dialect, later: bool = False) -> str:
+    """(repo, doc_id, path, code): a customer is a repository, its orders are the files. later: some days on, when one file in 40 was changed: services check their argument, views are gone, others have a line more."""
+    table = d.values(["k", "path", "lang", "code"], [(i, *row) for i, row in enumerate(REPO_FILES)])
+    placed = f"(SELECT o_orderkey, o_custkey, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS place FROM {d.table('orders')} x)"
+    fill = lambda c: f"replace(replace(replace({c}, '$H', CAST(o.place AS VARCHAR(12))), '$N', CAST(o.place + 1 AS VARCHAR(12))), '$B', CAST(o.place - 5 AS VARCHAR(12)))"
+    rows = f"SELECT o.o_custkey AS repo, o.o_orderkey AS doc_id, o.place, {fill('c.path')} AS path, {fill('c.code')} AS code FROM {placed} o JOIN {table} c ON o.place % {len(REPO_FILES)} = c.k"
+    if not later:
+        return f"(SELECT repo, doc_id, path, code FROM ({rows}) rf)"
+    kind, hit = f"place % {len(REPO_FILES)}", "doc_id % 40 = 1"
+    old, new = d.text("const text = key + '!';"), d.text("const text = parseInt(key, 10);")
+    code = f"CASE WHEN {hit} AND {kind} = 1 THEN replace(code, {old}, {new}) WHEN {hit} AND {kind} <> 4 THEN concat({d.text(chr(10))}, code) ELSE code END"
+    return f"(SELECT repo, doc_id, path, {code} AS code FROM ({rows}) rl WHERE NOT ({hit} AND {kind} = 3))"
