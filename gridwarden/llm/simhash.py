@@ -5,7 +5,7 @@ By distance: two halves of 64 bits, so that what differs in at most three bits i
 fingerprints that differ in at most 39 bits of the 560 are found for certain, others mostly (texts of similarity 0.8 differ in 80 or so), and the shingles
 themselves decide.
 
-Scale: texts with one fingerprint are one node, so a group of copies is one row before anything is joined. Matches are
+Scale: texts with one fingerprint, or by similarity one set of shingles, are one node, so a group of copies is one row before anything is joined. Matches are
 equi-joins on 33-bit keys, which adaptive execution splits where a key is hot; pairs are verified inside
 the join and only links leave it. Components are found by alternating stars over tables in the shared folder.
 
@@ -47,21 +47,22 @@ def fingerprints(docs: DataFrame, text_col: str = "text", keep: list[str] | None
 
 
 def _matches(nodes: DataFrame, segments, bits: int, near, group: str | None = None) -> DataFrame:
-    """Pairs (a, b), a < b, of the fp of nodes that have a segment at most one bit apart and are near; some come several times.
+    """Pairs (a, b), a < b, of the fp of nodes that have a segment at most one bit apart and are near, by fp or, of groups, by print; some come several times.
 
     Every segment is in a table under its number and value, and looked up with the Hamming ball of radius one around it. Of a pair one bit apart only the
     side that lacks the bit finds the other. Nodes of one group, where it is not 0, are not paired, nor a node with one of a group that is in its `beside`.
     """
     if not 1 <= bits <= 32:
         raise ValueError("a segment has up to 32 bits")
-    own = ["fp"] if group is None else ["fp", group, "beside"]
+    own = ["fp"] if group is None else ["fp", "print", group, "beside"]
+    seen_as = ("p.a", "t.b") if group is None else ("p.print", "t.print")
     cut = nodes.select(*own, F.posexplode(segments).alias("number", "segment"))
     key = (F.col("number").cast("long") * F.lit(1 << 32)) + F.col("segment").cast("long")
     table = cut.select(key.alias("key"), F.col("fp").alias("b"), *own[1:])
     one = F.array(*(F.lit(0 if i < 0 else 1 << i).cast("long") for i in range(-1, bits)))
     ball = cut.select(key.alias("base"), F.col("fp").alias("a"), *own[1:], F.explode(one).alias("bit"))
     ball = ball.where(F.col("base").bitwiseAND(F.col("bit")) == 0).select((F.col("base") + F.col("bit")).alias("key"), "a", *own[1:])
-    met = (F.col("p.key") == F.col("t.key")) & (F.col("p.a") != F.col("t.b")) & near(F.col("p.a"), F.col("t.b"))
+    met = (F.col("p.key") == F.col("t.key")) & (F.col("p.a") != F.col("t.b")) & near(*map(F.col, seen_as))
     if group:
         met &= (F.col(f"p.{group}") == 0) | (F.col(f"p.{group}") != F.col(f"t.{group}"))
         seen = lambda x, y: F.coalesce(F.array_contains(f"{x}.beside", F.col(f"{y}.{group}")), F.lit(False))
@@ -150,7 +151,7 @@ LARGE_GROUP, BLOCK = 200, 128
 #: Nodes that stand for a mark by chance, and those that a node is compared with.
 MIDDLES, NEAREST = 7, 8
 #: Bits of 64 in which candidates may differ, and bits of the wide fingerprint (560): what is near for certain, and two bands to look at, nearer ones first.
-FIRST_BITS, SURE_BITS, BANDS = 14, 53, (76, 105)
+FIRST_BITS, SURE_BITS, BANDS = 18, 53, (76, 112)
 #: Distinct shingles that a text must have for its fingerprint alone to be believed.
 SURE_SHINGLES = 64
 #: Row keys that may be broadcast (16 bytes each).
@@ -184,7 +185,7 @@ def _majority(h: np.ndarray) -> np.ndarray:
 
 
 def wide_fingerprint(h: np.ndarray) -> tuple[int, np.ndarray]:
-    """Of the shingle hashes of a text: 64 bits, and the bits of the wide fingerprint, from hashes of the hashes."""
+    """Of the distinct shingle hashes of a text: 64 bits, and the bits of the wide fingerprint, from hashes of the hashes. Of repeats it would tell what is repeated, and not how much of the sets is shared."""
     size = SEGMENTS * SEGMENT_BITS
     wide = np.concatenate([_majority(_stream(h, k)) for k in range(1, -(-size // 64) + 1)])[:size]
     return int(np.packbits(_majority(h), bitorder="little").view("<u8")[0]), wide
@@ -194,21 +195,26 @@ def _numbers(bits: np.ndarray, size: int) -> list[int]:
     return (bits.reshape(-1, size) @ (1 << np.arange(size))).tolist()
 
 
+def set_name(h: np.ndarray) -> int:
+    """64 bits that name a set of shingles, given in order: texts of one name have the same shingles."""
+    return xxhash.xxh3_64_intdigest(np.ascontiguousarray(h).tobytes())
+
+
 def wide_fingerprints(docs: DataFrame, text_col: str, keep: list[str], width: int = SHINGLE_WORDS) -> DataFrame:
-    """Adds fp, segments, marks and n_shingles (distinct) of each text."""
+    """Adds fp (the name of the set of shingles, which is what a node is known by), print (64 bits of its fingerprint), segments, marks and n_shingles of each text, all of distinct shingles."""
 
     def make():
         def kernel(texts: list[bytes]) -> list[pa.Array]:
-            hashes = [shingle_hashes(t, width) for t in texts]
+            hashes = [np.unique(shingle_hashes(t, width)) for t in texts]
             prints = [wide_fingerprint(h) for h in hashes]
-            fp = np.array([x for x, _ in prints], dtype=np.uint64).view(np.int64)
+            names = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in ([set_name(h) for h in hashes], [x for x, _ in prints])]
             cut = [pa.array([_numbers(x, size) for _, x in prints], pa.list_(pa.int32())) for size in (SEGMENT_BITS, MARK_BITS)]
-            return [pa.array(fp), *cut, pa.array([len(np.unique(h)) for h in hashes], pa.int32())]
+            return [*names, *cut, pa.array([len(h) for h in hashes], pa.int32())]
 
         return kernel
 
     numbers = T.ArrayType(T.IntegerType())
-    fields = [T.StructField("fp", T.LongType()), T.StructField("segments", numbers), T.StructField("marks", numbers), T.StructField("n_shingles", T.IntegerType())]
+    fields = [T.StructField("fp", T.LongType()), T.StructField("print", T.LongType()), T.StructField("segments", numbers), T.StructField("marks", numbers), T.StructField("n_shingles", T.IntegerType())]
     return append_columns(docs, text_col, make, fields, keep)
 
 
@@ -227,13 +233,14 @@ def pairs_with_middles(nodes: DataFrame, similarity: float) -> DataFrame:
 
     For a mark stand the node that shares its marks with most others, which in a group of copies of one text is that text or close to it, and some by chance.
     """
-    marks = nodes.select("fp", F.posexplode("marks").alias("number", "mark")).select("fp", (F.col("number") * F.lit(1 << MARK_BITS) + F.col("mark")).alias("mark"))
+    marks = nodes.select("fp", "print", F.posexplode("marks").alias("number", "mark")).select("fp", "print", (F.col("number") * F.lit(1 << MARK_BITS) + F.col("mark")).alias("mark"))
     often = marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1")
     shared = written(marks.join(often, "mark"), "marks")
     central = shared.groupBy("fp").agg(F.sum("n").alias("n_shared"))
-    stand = [F.max_by("fp", F.struct("n_shared", "fp")), *(F.min_by("fp", F.xxhash64("fp", "mark", F.lit(k))) for k in range(MIDDLES))]
+    who = F.struct("fp", "print")
+    stand = [F.max_by(who, F.struct("n_shared", "fp")), *(F.min_by(who, F.xxhash64("fp", "mark", F.lit(k))) for k in range(MIDDLES))]
     middles = shared.join(central, "fp").groupBy("mark").agg(F.array_distinct(F.array(*stand)).alias("middles"))
-    far = F.transform("middles", lambda x: F.struct(_apart(F.col("fp"), x).alias("d"), x.alias("b")))
+    far = F.transform("middles", lambda x: F.struct(_apart(F.col("print"), x.print).alias("d"), x.fp.alias("b")))
     met = shared.join(middles, "mark").select("fp", F.filter(far, lambda x: (x.d <= FIRST_BITS) & (x.b != F.col("fp"))).alias("met")).where(F.size("met") > 0)
     near = met.groupBy("fp").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("met")))), 1, NEAREST).alias("met"))
     found = written(_measured(near.select(F.col("fp").alias("a"), F.explode("met.b").alias("b")), nodes, similarity), "pairs")
@@ -359,7 +366,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     source = rows.select("file", "place", F.col(own).alias("id"), F.col(body).alias("body"))
     prints = written(wide_fingerprints(source, "body", ["file", "place", "id"], width), "prints")
     first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "file", "place"))
-    nodes = written(prints.groupBy("fp").agg(first.alias("least"), F.first("segments").alias("segments"), F.first("marks").alias("marks"), F.max("n_shingles").alias("n_shingles")), "nodes")
+    nodes = written(prints.groupBy("fp").agg(first.alias("least"), F.first("print").alias("print"), F.first("segments").alias("segments"), F.first("marks").alias("marks"), F.max("n_shingles").alias("n_shingles")), "nodes")
     groups = _Groups(nodes, source, width, similarity)
     sure = (F.col("bits") <= SURE_BITS) & (F.col("n_least") >= SURE_SHINGLES)
     near = pairs_with_middles(nodes, similarity)
