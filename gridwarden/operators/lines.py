@@ -11,15 +11,19 @@ from ..functions.dialect import Dialect
 W = "PARTITION BY doc_id ORDER BY line_no"
 
 
-def parse(d: Dialect, files: str) -> str:
-    """Lines of each file: number from 1, raw and trimmed text, indent, comment and string flags, and the file that the last marker named."""
+def marked(d: Dialect, files: str) -> str:
+    """Lines of each file by themselves: number from 1, raw and trimmed text, indent, comment and string flags, and the file that a marker on the line names."""
     split = d.explode(f"(SELECT doc_id, {d.lines('code')} AS all_lines FROM {files} f) s", "all_lines", "raw", "line_no", "doc_id")
     trimmed = f"(SELECT doc_id, line_no, raw, {d.strip('raw')} AS trimmed, length({d.extract('raw', r'^\s*')}) AS indent FROM {split} x)"
     marks = [f"NULLIF({d.strip(d.extract('trimmed', p, 1, 'i'))}, '')" for p in K.FILE_MARKERS]
-    marked = f"(SELECT *, COALESCE({', '.join(marks)}) AS mark FROM {trimmed} t)"
     starts = f"({d.left('trimmed', 2)} = '//' OR {d.left('trimmed', 1)} = '*' OR {d.left('trimmed', 2)} = '/*')"
     quoted = d.left("trimmed", 1) + """ IN ('"', '`', '''')""" if d.name == "duck" else d.left("trimmed", 1) + """ IN ('"', '`', '\\'')"""
-    return f"SELECT doc_id, line_no, raw, trimmed, indent, {starts} AS is_comment, {quoted} AS is_string, COALESCE({d.last_known('mark', 'doc_id', 'line_no')}, '<input>') AS file FROM {marked} m"
+    return f"SELECT doc_id, line_no, raw, trimmed, indent, {starts} AS is_comment, {quoted} AS is_string, COALESCE({', '.join(marks)}) AS mark FROM {trimmed} t"
+
+
+def parse(d: Dialect, files: str) -> str:
+    """marked(), with the file that the last marker named."""
+    return f"SELECT doc_id, line_no, raw, trimmed, indent, is_comment, is_string, COALESCE({d.last_known('mark', 'doc_id', 'line_no')}, '<input>') AS file FROM ({marked(d, files)}) m"
 
 
 def stats(d: Dialect, lines: str) -> str:
@@ -131,8 +135,8 @@ def constants(d: Dialect, lines: str) -> str:
     return f"SELECT doc_id, name, line_no, value FROM {rows} r WHERE place = 1"
 
 
-def dead(d: Dialect, lines: str) -> str:
-    """Lines that cannot run: deeper than a branch that is never taken, or than a return, throw or raise before them, up to the first that is no deeper."""
+def dead_starts(d: Dialect, lines: str) -> str:
+    """Branches that are never taken, and lines that return, throw or raise."""
     cond = d.strip(f"COALESCE(NULLIF({d.extract('raw', K.IF_PAREN, 1)}, ''), {d.extract('raw', K.IF_COLON, 1)})")
     q = "^['\"`]|['\"`]\\z"
     ifs = f"(SELECT doc_id, line_no, indent, {cond} AS cond FROM {lines} l WHERE {d.match('raw', K.IF_PAREN)} OR {d.match('raw', K.IF_COLON)})"
@@ -140,8 +144,12 @@ def dead(d: Dialect, lines: str) -> str:
     known = f"(SELECT doc_id, name, {d.replace('value', q, '')} AS val FROM ({constants(d, lines)}) c)"
     never = f"(SELECT e.doc_id, e.line_no, e.indent FROM {eq} e LEFT JOIN {known} k ON e.doc_id = k.doc_id AND e.lhs = k.name AND e.lhs <> '' WHERE {d.match('cond', '^(?:false|False|0)\\z')} OR (NOT {d.match('cond', '^(?:true|True|1)\\z')} AND k.val IS NOT NULL AND ((op IN ('!=', '!==') AND k.val = rhs) OR (op IN ('==', '===') AND k.val <> rhs))))"
     stops = f"(SELECT doc_id, line_no, indent FROM {lines} l WHERE {d.match('raw', K.STOP)})"
-    starts = f"(SELECT DISTINCT doc_id, line_no, indent FROM (SELECT * FROM {never} n UNION ALL SELECT * FROM {stops} s) u)"
-    ends = f"(SELECT doc_id, line_no, COALESCE(until, 2147483647) AS until FROM {_ends(d, starts, lines)} e)"
+    return f"SELECT DISTINCT doc_id, line_no, indent FROM (SELECT * FROM {never} n UNION ALL SELECT * FROM {stops} s) u"
+
+
+def dead(d: Dialect, lines: str) -> str:
+    """Lines that cannot run: deeper than a branch that is never taken, or than a return, throw or raise before them, up to the first that is no deeper."""
+    ends = f"(SELECT doc_id, line_no, COALESCE(until, 2147483647) AS until FROM {_ends(d, f'({dead_starts(d, lines)})', lines)} e)"
     # spans as steps up and down; a line is dead where their running sum is above zero
     steps = f"(SELECT doc_id, line_no + 1 AS line_no, 1 AS step FROM {ends} a UNION ALL SELECT doc_id, until AS line_no, -1 AS step FROM {ends} b)"
     summed = f"(SELECT doc_id, line_no, SUM(step) AS step FROM {steps} s GROUP BY doc_id, line_no)"
@@ -218,6 +226,11 @@ def guards(d: Dialect, lines: str) -> str:
 def reachability(d: Dialect, lines: str) -> str:
     """Who can reach each line: dead and internal code by the lines around, else the nearest guard in the 40 lines before."""
     rows = f"(SELECT l.*, {d.near('l.raw', 'l.doc_id', 'l.line_no', 15, 15)} AS around, {d.last_known('g.line_no', 'l.doc_id', 'l.line_no')} AS guard_line, {d.last_known('g.level', 'l.doc_id', 'l.line_no')} AS guard_level FROM {lines} l LEFT JOIN ({guards(d, lines)}) g ON l.doc_id = g.doc_id AND l.line_no = g.line_no)"
+    return reached_by(d, rows)
+
+
+def reached_by(d: Dialect, rows: str) -> str:
+    """reachability() of rows (doc_id, line_no, around, guard_line, guard_level) that know the lines around and the last guard."""
     flags = f"(SELECT doc_id, line_no, {d.any('around', K.REACH_DEAD)} AS is_dead, {d.any('around', [(p, 'i') for p in K.REACH_DEV])} AS dev_only, {d.any('around', [(p, 'i') for p in K.REACH_INTERNAL])} AS internal, CASE WHEN line_no - guard_line <= 40 THEN guard_level END AS level FROM {rows} r)"
     who = "CASE WHEN is_dead THEN 'dead-code' WHEN internal THEN 'internal' WHEN level = 'admin' THEN 'admin-only' WHEN level = 'login' THEN 'external-auth' ELSE 'external-anon' END"
     score = "CASE WHEN is_dead THEN 0 WHEN dev_only THEN 10 WHEN internal THEN 20 WHEN level = 'admin' THEN 30 WHEN level = 'login' THEN 70 ELSE 100 END"

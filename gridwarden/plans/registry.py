@@ -7,7 +7,7 @@ from collections.abc import Callable
 from ..functions.dialect import DUCK, Dialect
 from ..functions.run import apply, over_tables
 from ..functions.tables import scratch, written
-from ..operators import classify, cluster, compare, documents, fixpoint, flow, govern, history, incremental, lines, repository, rules, scan, score, suppress, system, taint, verify
+from ..operators import classify, cluster, compare, documents, fixpoint, flow, govern, history, incremental, lines, repository, rules, scan, score, segments, suppress, system, taint, verify
 from ..sources import fixtures as T
 from ..sources import state
 from ..streaming import stateful
@@ -390,3 +390,20 @@ ORACLES["incremental_summary"] = f"""{_repo_sql(True)}, rfound AS MATERIALIZED (
   f AS (SELECT repo, COUNT(*) AS files FROM rfiles GROUP BY repo)
   SELECT repo, files, COALESCE(nodes, 0) AS nodes, COALESCE(services, 0) AS services, COALESCE(bridges, 0) AS bridges, COALESCE(edges, 0) AS edges, COALESCE(names, 0) AS names, COALESCE(findings, 0) AS findings, COALESCE(across, 0) AS across
   FROM f LEFT JOIN n USING (repo) LEFT JOIN e USING (repo) LEFT JOIN r USING (repo) LEFT JOIN s USING (repo)"""
+
+# files of many lines, in segments; the twins order all lines of a file at once
+
+
+def _large(spark, sf_dir):
+    return segments.parse(over_tables(lambda d: f"SELECT * FROM {T.large_files(d)} lf")(spark, sf_dir))
+
+
+_LARGE_SQL = f"WITH large_lines AS MATERIALIZED ({lines.parse(DUCK, T.large_files(DUCK))})"
+QUERIES["large_lines"] = lambda spark, sf_dir: _large(spark, sf_dir).drop("seg")
+ORACLES["large_lines"] = f"{_LARGE_SQL} SELECT * FROM large_lines"
+QUERIES["large_enclosing"] = lambda spark, sf_dir: segments.enclosing(_large(spark, sf_dir)).select("doc_id", "line_no", "fn")
+ORACLES["large_enclosing"] = f"{_LARGE_SQL} SELECT doc_id, line_no, fn FROM ({lines.enclosing(DUCK, 'large_lines')}) e"
+QUERIES["large_dead"] = lambda spark, sf_dir: segments.dead(_large(spark, sf_dir))
+ORACLES["large_dead"] = f"{_LARGE_SQL} {lines.dead(DUCK, 'large_lines')}"
+QUERIES["large_reachability"] = lambda spark, sf_dir: segments.reachability(_large(spark, sf_dir))
+ORACLES["large_reachability"] = f"{_LARGE_SQL} {lines.reachability(DUCK, 'large_lines')}"
