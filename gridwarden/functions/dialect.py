@@ -136,6 +136,10 @@ class Spark(Dialect):
         """True if the pattern that y holds is found."""
         return f"{x} RLIKE {y}"
 
+    def compiles(self, y):
+        """True if y holds a pattern that can be used."""
+        return f"(try_reflect('java.util.regex.Pattern', 'compile', {y}) IS NOT NULL)"
+
     def first_joined(self, x, n, sep):
         """The first n strings of an array, joined."""
         return f"array_join(slice({x}, 1, {n}), {self.text(sep)})"
@@ -238,6 +242,9 @@ class Duck(Dialect):
     def matches(self, x, y):
         return f"regexp_matches({x}, {y})"
 
+    def compiles(self, y):
+        return f"(TRY(regexp_matches('', {y})) IS NOT NULL)"
+
     def first_joined(self, x, n, sep):
         return f"array_to_string(list_slice({x}, 1, {n}), {self.text(sep)})"
 

@@ -23,14 +23,25 @@ def approved(d: Dialect, issues: str, approvals: str, now: str) -> str:
     """Findings that a repository has let pass, with the first reason: its approvals in force by title, then its trusted patterns by explanation.
 
     issues: (repo, doc_id, seq, title, explanation); approvals: (repo, pos, kind 'title' or 'trust', pattern, reason, expires_at in seconds or null). Patterns are
-    regular expressions without regard to case, checked when they are approved; in those of titles a star stands for any text.
+    regular expressions without regard to case; in those of titles a star stands for any text. One that is no pattern matches nothing: refused() names these.
     """
-    live = f"(SELECT *, concat('(?i)', CASE kind WHEN 'title' THEN replace(pattern, '*', '.*') ELSE pattern END) AS rx FROM {approvals} a WHERE kind = 'trust' OR expires_at IS NULL OR expires_at >= {now})"
+    live = f"(SELECT * FROM {_patterns(d, approvals)} a WHERE kind = 'trust' OR expires_at IS NULL OR expires_at >= {now})"
     text = "CASE a.kind WHEN 'title' THEN i.title ELSE i.explanation END"
     met = f"(SELECT i.doc_id, i.seq, a.kind, a.reason, ROW_NUMBER() OVER (PARTITION BY i.doc_id, i.seq ORDER BY CASE a.kind WHEN 'title' THEN 0 ELSE 1 END, a.pos) AS place FROM {issues} i JOIN {live} a ON i.repo = a.repo AND {d.matches(text, 'a.rx')})"
     return f"SELECT doc_id, seq, kind, reason FROM {met} m WHERE place = 1"
 
 
+def _patterns(d: Dialect, approvals: str) -> str:
+    """Approvals with their pattern made ready, null where it is none."""
+    rx = "concat('(?i)', CASE kind WHEN 'title' THEN replace(pattern, '*', '.*') ELSE pattern END)"
+    return f"(SELECT *, CASE WHEN {d.compiles(rx)} THEN {rx} END AS rx FROM {approvals} ap)"
+
+
+def refused(d: Dialect, approvals: str) -> str:
+    """Approvals whose pattern is none, so that they let nothing pass."""
+    return f"SELECT repo, pos, kind, pattern, 'no valid pattern' AS why FROM {_patterns(d, approvals)} a WHERE rx IS NULL"
+
+
 def audit_log(d: Dialect, entries: str, limit: int = 100) -> str:
     """The newest entries. entries: (happened, id, action)."""
     return f"SELECT id, action, happened FROM {entries} e ORDER BY happened DESC, id DESC LIMIT {limit}"
@@ -53,9 +64,17 @@ def fingerprints(d: Dialect, files: str) -> str:
 
 
 def stage_results(d: Dialect, stages: dict[str, str]) -> str:
-    """Findings that go into each stage and that come out. stages: by name, (doc_id, kept) of each finding."""
-    parts = [f"SELECT doc_id, {d.text(k)} AS stage, CAST(COUNT(*) AS BIGINT) AS issues_in, CAST(COUNT(CASE WHEN kept THEN 1 END) AS BIGINT) AS issues_out FROM {v} s{i} GROUP BY doc_id" for i, (k, v) in enumerate(stages.items())]
-    return f"SELECT *, issues_out - issues_in AS delta FROM ({' UNION ALL '.join(parts)}) u"
+    """Findings that go into each stage and that come out, along one run: what one stage keeps is what the next one gets. stages: by name and in order, (doc_id, seq, kept) of each finding."""
+    names = list(stages)
+    joined = f"{stages[names[0]]} s0" + "".join(f" JOIN {stages[k]} s{i} ON s0.doc_id = s{i}.doc_id AND s0.seq = s{i}.seq" for i, k in enumerate(names) if i)
+    here = [" AND ".join(["TRUE", *(f"k{j}" for j in range(i))]) for i in range(len(names) + 1)]
+    n = lambda c, name: f"CAST(COUNT(CASE WHEN {c} THEN 1 END) AS BIGINT) AS {name}"
+    flags = f"(SELECT s0.doc_id, {', '.join(f's{i}.kept AS k{i}' for i in range(len(names)))} FROM {joined})"
+    counts = f"(SELECT doc_id, {', '.join(n(c, f'n{i}') for i, c in enumerate(here))} FROM {flags} f GROUP BY doc_id)"
+    # one row a document, put apart by stage: findings are looked at once
+    each = d.explode(f"(SELECT *, {d.array([d.text(k) for k in names])} AS names FROM {counts} c) s", "names", "stage", "pos")
+    pick = lambda off: "CASE pos " + " ".join(f"WHEN {i + 1} THEN n{i + off}" for i in range(len(names))) + " END"
+    return f"SELECT doc_id, stage, {pick(0)} AS issues_in, {pick(1)} AS issues_out, {pick(1)} - {pick(0)} AS delta FROM {each} e"
 
 
 def task_stats(d: Dialect, assigned: str) -> str:

@@ -187,6 +187,25 @@ def semantic_routes(d: Dialect, lines: str) -> str:
     return " UNION ALL ".join(parts)
 
 
+def route_middleware(d: Dialect, lines: str) -> str:
+    """(doc_id, line_no, method, path, place, name, is_auth, is_validation): what stands between path and handler where a route is registered by a call, in order from 0."""
+    rows = f"(SELECT *, {d.near('raw', 'doc_id', 'line_no', 0, 2)} AS chunk FROM {lines} l)"
+    split = "split" if d.name == "spark" else "string_split"
+    args = f"(SELECT doc_id, line_no, upper({d.extract('raw', V.EXPRESS_ROUTE, 1, 'i')}) AS method, {d.extract('raw', V.EXPRESS_ROUTE, 2, 'i')} AS path, {split}({d.extract('chunk', V.ROUTE_ARGUMENTS, 1)}, ',') AS args FROM {rows} r WHERE {d.match('raw', V.EXPRESS_ROUTE, 'i')})"
+    sized = f"(SELECT *, {d.size('args')} AS n_args FROM {args} a)"
+    each = d.explode(f"{sized} s", "args", "arg", "pos", "doc_id, line_no, method, path, n_args")
+    named = f"(SELECT *, {d.strip('arg')} AS name FROM {each} e WHERE pos > 1 AND pos < n_args)"
+    told = f"(SELECT * FROM {named} n WHERE name <> '' AND NOT {d.match('name', '^[' + chr(39) + chr(34) + '`]')})"
+    return f"SELECT doc_id, line_no, method, path, CAST(ROW_NUMBER() OVER (PARTITION BY doc_id, line_no ORDER BY pos) - 1 AS INT) AS place, name, {d.any('name', V.ROUTE_AUTH)} AS is_auth, {d.any('name', V.ROUTE_VALIDATION)} AS is_validation FROM {told} t"
+
+
+def route_order(d: Dialect, lines: str) -> str:
+    """Routes that check what is sent before they check who sends it."""
+    first = lambda c: f"MIN(CASE WHEN {c} THEN place END)"
+    rows = f"(SELECT doc_id, line_no, method, path, {first('is_auth')} AS auth, {first('is_validation')} AS checked FROM ({route_middleware(d, lines)}) m GROUP BY doc_id, line_no, method, path)"
+    return f"SELECT doc_id, CAST(line_no AS INT) AS line, 'medium' AS severity, {d.num(0.65)} AS confidence, method, path FROM {rows} r WHERE auth > 0 AND checked < auth"
+
+
 def semantic_summary(d: Dialect, lines: str) -> str:
     k = lambda c: f"CAST(COUNT(CASE WHEN {c} THEN 1 END) AS BIGINT)"
     return f"SELECT doc_id, CAST(COUNT(*) AS BIGINT) AS routes, {k('is_public')} AS public_routes, {k('gap IS NOT NULL')} AS auth_gaps FROM ({semantic_routes(d, lines)}) r GROUP BY doc_id"

@@ -10,7 +10,7 @@ from ..functions.tables import scratch, written
 from ..operators import classify, cluster, compare, documents, fixpoint, flow, govern, history, incremental, lines, repository, rules, scan, score, segments, suppress, system, taint, verify
 from ..sources import fixtures as T
 from ..sources import state
-from ..streaming import stateful
+from ..streaming import stateful, timelines
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -163,6 +163,8 @@ for _name, _op in {
     register(_name, lambda d, op=_op: op(d, T.cases(d)))
 register("symbolic_guards", lambda d: verify.symbolic_guards(d, _lines(d)))
 register("semantic_routes", lambda d: verify.semantic_routes(d, _lines(d)))
+register("route_middleware", lambda d: verify.route_middleware(d, _lines(d)))
+register("route_order", lambda d: verify.route_order(d, f"({lines.parse(d, T.route_files(d))})"))
 register("semantic_summary", lambda d: verify.semantic_summary(d, _lines(d)))
 register("language_argmax", lambda d: verify.languages(d, T.files(d)))
 register("model_assignment", lambda d: verify.assign_models(d, T.tasks(d)))
@@ -191,7 +193,7 @@ def _patches(spark, sf_dir):
 
 QUERIES["band_duplicates"] = lambda spark, sf_dir: documents.band_duplicates(_issues(spark, sf_dir))
 QUERIES["function_blocks"] = lambda spark, sf_dir: documents.blocks(_files(spark, sf_dir))
-QUERIES["code_context"] = lambda spark, sf_dir: documents.contexts(_files(spark, sf_dir), 200)
+QUERIES["code_context"] = lambda spark, sf_dir: documents.contexts(_files(spark, sf_dir))
 QUERIES["read_answers"] = _model_answers
 QUERIES["patches"] = _patches
 QUERIES["reports"] = lambda spark, sf_dir: state.report(_issues(spark, sf_dir))
@@ -275,13 +277,14 @@ register("compact_findings", lambda d: flow.compact(d, T.issues(d)))
 register("capped_confidence", lambda d: govern.capped(d, T.issues(d)))
 register("verdicts_backed", lambda d: govern.backed(d, f"(SELECT doc_id, seq, CASE exploit_verified WHEN TRUE THEN 'flag' WHEN FALSE THEN 'suppress' END AS by_code, CASE sink_reachable WHEN FALSE THEN 'suppress' ELSE 'flag' END AS by_model, confidence FROM {T.issues(d)} v)"))
 register("approved_findings", lambda d: govern.approved(d, T.repo_issues(d), T.approvals(d), "1800000000"))
+register("refused_approvals", lambda d: govern.refused(d, T.approvals(d)))
 register("audit_log", lambda d: govern.audit_log(d, f"(SELECT sec AS happened, id, stage AS action FROM {T.events(d)} ev)"))
 register("latest_run", lambda d: govern.latest_run(d, f"(SELECT o_orderkey AS run_id, o_orderdate AS happened FROM {d.table('orders')} o)"))
 register("content_keys", lambda d: govern.content_keys(d, T.files(d), "lang"))
 register("repo_fingerprints", lambda d: govern.fingerprints(d, T.files(d)))
 register("stage_results", lambda d: govern.stage_results(d, {
-    "firewall": f"(SELECT doc_id, action <> 'drop' AS kept FROM ({suppress.firewall(d, T.cases(d))}) fw)", "minimizer": f"(SELECT doc_id, reason IS NULL AS kept FROM ({suppress.minimize(d, T.cases(d))}) mn)",
-    "policy": f"(SELECT doc_id, COALESCE(action, '') <> 'suppress' AS kept FROM ({suppress.policy(d, T.issues(d))}) po)",
+    "firewall": f"(SELECT doc_id, seq, action <> 'drop' AS kept FROM ({suppress.firewall(d, T.cases(d))}) fw)", "minimizer": f"(SELECT doc_id, seq, reason IS NULL AS kept FROM ({suppress.minimize(d, T.cases(d))}) mn)",
+    "policy": f"(SELECT doc_id, seq, COALESCE(action, '') <> 'suppress' AS kept FROM ({suppress.policy(d, T.issues(d))}) po)",
 }))
 register("task_stats", lambda d: govern.task_stats(d, f"({verify.assign_models(d, T.tasks(d))})"))
 register("language_profiles", lambda d: verify.language_profiles(d, T.files(d)))
@@ -407,3 +410,24 @@ QUERIES["large_dead"] = lambda spark, sf_dir: segments.dead(_large(spark, sf_dir
 ORACLES["large_dead"] = f"{_LARGE_SQL} {lines.dead(DUCK, 'large_lines')}"
 QUERIES["large_reachability"] = lambda spark, sf_dir: segments.reachability(_large(spark, sf_dir))
 ORACLES["large_reachability"] = f"{_LARGE_SQL} {lines.reachability(DUCK, 'large_lines')}"
+
+
+# timelines as a stream of scans: events as sights of a finding, users as repositories
+
+
+def _sights(rows):
+    return rows.selectExpr("CAST(user_id AS STRING) AS repo", "event_type AS key", "CASE event_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'medium' END AS severity", "value / 100 AS confidence", "date_trunc('HOUR', ts) AS ts")
+
+
+def _stream_timelines(spark, sf_dir):
+    with timelines.rocksdb(spark):
+        rows = stateful.to_table(timelines.track_timelines(_sights(_event_stream(spark, sf_dir))), scratch(spark, "timelines"), "update")
+    return rows.select("repo", "key", "severity", "first_seen", "last_seen", "seen_count", "status", "resolved_at")
+
+
+QUERIES["stream_timelines"] = _stream_timelines
+# the same told without a stream: of a table that comes as one batch, shorter than the time after which findings go
+ORACLES["stream_timelines"] = """WITH sights AS (SELECT CAST(user_id AS VARCHAR) AS repo, event_type AS key, CASE event_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'medium' END AS severity, epoch_ms(date_trunc('hour', ts)) AS ms FROM events),
+  scans AS (SELECT repo, ms, lead(ms) OVER (PARTITION BY repo ORDER BY ms) AS next_ms FROM (SELECT DISTINCT repo, ms FROM sights) s),
+  told AS (SELECT repo, key, arg_min(severity, (ms, severity)) AS severity, min(ms) AS first_seen, max(ms) AS last_seen, count(*) AS seen_count FROM sights GROUP BY repo, key)
+  SELECT t.repo, t.key, t.severity, t.first_seen, t.last_seen, t.seen_count, CASE WHEN s.next_ms IS NULL THEN 'active' ELSE 'resolved' END AS status, s.next_ms AS resolved_at FROM told t JOIN scans s ON t.repo = s.repo AND t.last_seen = s.ms"""

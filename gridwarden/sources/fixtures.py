@@ -191,7 +191,7 @@ def suppressions(d: Dialect) -> str:
 
 APPROVALS = [
     (0, 1, "title", "sql*login", "checked by hand", 2_000_000_000), (0, 2, "trust", "trusted|sandbox", "code of our own", None), (1, 3, "title", "xss", "over", 1_700_000_000), (1, 4, "title", "leak", "known", None),
-    (2, 5, "trust", "user (input|code)", "inner tool", 1), (2, 6, "title", "rce|eval", "test only", None),
+    (2, 5, "trust", "user (input|code)", "inner tool", 1), (2, 6, "title", "rce|eval", "test only", None), (2, 7, "trust", "user (input", "a bracket is missing", None), (3, 8, "title", "[a-", "no end", None),
 ]
 
 
@@ -284,3 +284,14 @@ def large_files(d: Dialect) -> str:
     part = f"concat(CASE WHEN o.o_orderkey % 5 = 0 THEN concat('// file: part', CAST(o.o_orderkey AS VARCHAR(20)), '.js', {d.text(chr(10))}) ELSE '' END, c.code)"
     rows = f"(SELECT {doc} AS doc_id, o.o_orderkey AS place, {part} AS part FROM {d.table('orders')} o JOIN {code_table(d)} c ON o.o_orderkey % {len(CODE)} = c.k)"
     return f"(SELECT doc_id, {d.collect('part', 'place', chr(10))} AS code FROM {rows} p GROUP BY doc_id)"
+
+
+#: calls of a route file in turn
+ROUTE_CALLS = ["requireAuth, validateBody", "validateBody, requireAuth", "log, validate(x), verifyToken", "limit,\n  checkSchema(s),\n  isAuthenticated", "handlerOnly"]
+
+
+def route_files(d: Dialect) -> str:
+    """(doc_id, code): a file of routes for each customer, a route per call of ROUTE_CALLS in an order of its own."""
+    calls = d.values(["k", "args"], list(enumerate(ROUTE_CALLS)))
+    part = f"concat('app.post(', {d.text(chr(39))}, '/r', CAST(k AS VARCHAR(9)), {d.text(chr(39))}, ', ', args, ', handle);')"
+    return f"(SELECT doc_id, {d.collect('part', 'place', chr(10))} AS code FROM (SELECT c_custkey AS doc_id, (k * 2 + c_custkey) % {len(ROUTE_CALLS)} AS place, {part} AS part FROM {d.table('customer')} c CROSS JOIN {calls} rc) p GROUP BY doc_id)"
