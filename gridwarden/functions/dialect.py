@@ -6,8 +6,10 @@ DUCK dialect is the same plan for the engine that results are checked with.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 
+from .literals import required
 
 WORD, WORD_PAIR = r"\w+", r"\w+\.\w+"
 
@@ -96,7 +98,14 @@ class Spark(Dialect):
         return "'" + body.replace("${", "\\u0024{") + "'"  # else Spark takes it for a variable
 
     def match(self, x, pattern, flags=""):
-        return f"{x} RLIKE {self.text(self.pattern(pattern, flags))}"
+        found = f"{x} RLIKE {self.text(self.pattern(pattern, flags))}"
+        # a column is looked through for the words that the pattern requires; an expression would be made once more for it
+        known = required(pattern, flags) if re.fullmatch(r"[A-Za-z_][\w.]*", x) else None
+        if not known:
+            return found
+        words, lower = known
+        text = f"lower({x})" if lower else x
+        return f"(({' OR '.join(f'contains({text}, {self.text(w)})' for w in words)}) AND {found})"
 
     def pattern(self, pattern, flags=""):
         return (f"(?{flags})" if flags else "") + pattern
