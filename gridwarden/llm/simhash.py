@@ -15,10 +15,12 @@ null only if it has no other; repeated rows are separate rows of one group. A ve
 
 from __future__ import annotations
 
+import contextlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -151,9 +153,11 @@ LARGE_GROUP, BLOCK = 200, 128
 #: Nodes that stand for a mark by chance, and those that a node is compared with.
 MIDDLES, NEAREST = 7, 8
 #: Bits of 64 in which candidates may differ, and bits of the wide fingerprint (560): what is near for certain, and two bands to look at, nearer ones first.
-FIRST_BITS, SURE_BITS, BANDS = 18, 53, (76, 112)
+FIRST_BITS, SURE_BITS, BANDS = 16, 53, (76, 105)
 #: Distinct shingles that a text must have for its fingerprint alone to be believed.
 SURE_SHINGLES = 64
+#: Rows that go to Python at a time where a row is two texts, and where it is two blocks of texts.
+PAIR_ROWS, BLOCK_ROWS = 1000, 16
 #: Row keys that may be broadcast (16 bytes each).
 BROADCAST_ROWS = 1_000_000
 
@@ -270,6 +274,18 @@ def jaccard(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long, similarity double")
 
 
+@contextlib.contextmanager
+def _batches_of(spark: SparkSession, rows: int):
+    """What is run inside sends so many rows to Python at a time: large rows in the usual number would fill an executor."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _of_rows(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     """Rows joined to row keys, (file, place) and more: broadcast if they are few."""
     return rows.join(F.broadcast(keys) if small_enough(keys, BROADCAST_ROWS) else keys, ["file", "place"], how)
@@ -311,7 +327,8 @@ class _Groups:
         """The pairs (a, b) whose shingles are so similar."""
         ask = written(pairs.select("a", "b").distinct(), "ask")
         texts = self.texts(ask.select(F.col("a").alias("fp")).unionByName(ask.select(F.col("b").alias("fp"))))
-        found = written(jaccard(ask, texts, self.width).where(F.col("similarity") >= self.similarity).select("a", "b"), "found")
+        with _batches_of(self.nodes.sparkSession, PAIR_ROWS):
+            found = written(jaccard(ask, texts, self.width).where(F.col("similarity") >= self.similarity).select("a", "b"), "found")
         forget(ask)
         return found
 
@@ -343,7 +360,8 @@ class _Groups:
                     yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         met = blocks(beside, "l").join(blocks(inside, "r"), "root").select("l", "r")
-        return written(met.mapInArrow(run, "a long, b long"), "found")
+        with _batches_of(self.nodes.sparkSession, BLOCK_ROWS):
+            return written(met.mapInArrow(run, "a long, b long"), "found")
 
     def apart(self, pairs: DataFrame) -> DataFrame:
         """The pairs that are not in one group."""
