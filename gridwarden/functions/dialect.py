@@ -100,7 +100,7 @@ class Spark(Dialect):
     def match(self, x, pattern, flags=""):
         found = f"{x} RLIKE {self.text(self.pattern(pattern, flags))}"
         # a column is looked through for the words that the pattern requires; an expression would be made once more for it
-        known = required(pattern, flags) if re.fullmatch(r"[A-Za-z_][\w.]*", x) else None
+        known = required(pattern, flags) if re.match(r"[A-Za-z_][\w.]*\Z", x) else None
         if not known:
             return found
         words, lower = known
