@@ -20,10 +20,18 @@ from gridwarden.llm.queries import piece_model
 ORACLE_SQL = None
 #: Benchmark passages of so many words are cut out of documents that stay: all that the query finds.
 CUT_WORDS = decontamination.WINDOW
+#: Documents that go to Python at a time: some MB of text, where the usual number is ten times that in every task, on both sides.
+BATCH_ROWS = 1000
+
+
+def _in_small_batches(spark: SparkSession) -> None:
+    """From now on in this session: stages are run after they are returned, so it can't be set for one alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that score 0.5 or more; the model learns from the same folds as the query."""
+    _in_small_batches(spark)
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"), usable=toxicity.fold("id", 5) != 0)
     names = [f"c{i}" for i in range(len(docs.columns))]
     scored = toxicity.score_documents(docs.toDF(*names), model, names[docs.columns.index("text")])
@@ -32,11 +40,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the smallest id; shingles of five words, similarity 0.8 or more."""
+    _in_small_batches(spark)
     return simhash.deduplicate(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that the rule of the query calls contaminated; spans of CUT_WORDS words or more are cut out of the others, and n_chars follows."""
+    _in_small_batches(spark)
     names = [f"c{i}" for i in range(len(docs.columns))]
     text = names[docs.columns.index("text")]
     found = decontamination.find_windows(docs.toDF(*names), read(spark, sf_dir, "benchmark"), text, cut_words=CUT_WORDS)
@@ -47,6 +57,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Identifiers, plain or disguised, give way to their kind. A null text stays null."""
+    _in_small_batches(spark)
     names = [f"c{i}" for i in range(len(docs.columns))]
     text = names[docs.columns.index("text")]
     found = pii.scan(docs.toDF(*names), text, redacted=True)
@@ -57,6 +68,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids with begin and end, and hashes of the ids and of the text that they decode to."""
+    _in_small_batches(spark)
     made = ("ids", "n_tokens", "ids_sha256", "decoded_sha256")
     return sentencepiece_codec.encode_documents(docs.select("doc_id", "text"), piece_model(), keep=["doc_id"], made=made)
 
