@@ -49,22 +49,21 @@ def fingerprints(docs: DataFrame, text_col: str = "text", keep: list[str] | None
 
 
 def _matches(nodes: DataFrame, segments, bits: int, near, group: str | None = None) -> DataFrame:
-    """Pairs (a, b), a < b, of the fp of nodes that have a segment at most one bit apart and are near, by fp or, of groups, by print; some come several times.
+    """Pairs (a, b), a < b, of the fp of nodes that have a segment at most one bit apart and are near; some come several times.
 
     Every segment is in a table under its number and value, and looked up with the Hamming ball of radius one around it. Of a pair one bit apart only the
     side that lacks the bit finds the other. Nodes of one group, where it is not 0, are not paired, nor a node with one of a group that is in its `beside`.
     """
     if not 1 <= bits <= 32:
         raise ValueError("a segment has up to 32 bits")
-    own = ["fp"] if group is None else ["fp", "print", group, "beside"]
-    seen_as = ("p.a", "t.b") if group is None else ("p.print", "t.print")
+    own = ["fp"] if group is None else ["fp", group, "beside"]
     cut = nodes.select(*own, F.posexplode(segments).alias("number", "segment"))
     key = (F.col("number").cast("long") * F.lit(1 << 32)) + F.col("segment").cast("long")
     table = cut.select(key.alias("key"), F.col("fp").alias("b"), *own[1:])
     one = F.array(*(F.lit(0 if i < 0 else 1 << i).cast("long") for i in range(-1, bits)))
     ball = cut.select(key.alias("base"), F.col("fp").alias("a"), *own[1:], F.explode(one).alias("bit"))
     ball = ball.where(F.col("base").bitwiseAND(F.col("bit")) == 0).select((F.col("base") + F.col("bit")).alias("key"), "a", *own[1:])
-    met = (F.col("p.key") == F.col("t.key")) & (F.col("p.a") != F.col("t.b")) & near(*map(F.col, seen_as))
+    met = (F.col("p.key") == F.col("t.key")) & (F.col("p.a") != F.col("t.b")) & near(F.col("p.a"), F.col("t.b"))
     if group:
         met &= (F.col(f"p.{group}") == 0) | (F.col(f"p.{group}") != F.col(f"t.{group}"))
         seen = lambda x, y: F.coalesce(F.array_contains(f"{x}.beside", F.col(f"{y}.{group}")), F.lit(False))
@@ -222,40 +221,47 @@ def wide_fingerprints(docs: DataFrame, text_col: str, keep: list[str], width: in
     return append_columns(docs, text_col, make, fields, keep)
 
 
-def _measured(found: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Of pairs (a, b) those that may be so similar, with the bits of their wide fingerprints that differ and the smaller number of shingles."""
-    side = lambda c: nodes.select(F.col("fp").alias(c), F.col("segments").alias(f"segments_{c}"), F.col("n_shingles").alias(f"n_{c}"))
+def _measured(found: DataFrame, firsts: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs (a, b) of prints those of nodes that may be so similar: the fp of both, the bits of their wide fingerprints that differ, and the smaller number of shingles. firsts: a node for each print."""
+    side = lambda c: firsts.select(F.col("print").alias(c), F.col("fp").alias(f"fp_{c}"), F.col("segments").alias(f"segments_{c}"), F.col("n_shingles").alias(f"n_{c}"))
     both = found.join(side("a"), "a").join(side("b"), "b")
     least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     bits = F.aggregate(F.zip_with("segments_a", "segments_b", _apart), F.lit(0), lambda x, y: x + y)
     # sets of which one is smaller than the similarity asks for cannot be so similar
-    return both.where(least >= F.lit(similarity) * most).select("a", "b", bits.alias("bits"), least.alias("n_least")).where(F.col("bits") <= BANDS[-1])
+    return both.where(least >= F.lit(similarity) * most).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"), bits.alias("bits"), least.alias("n_least")).where(F.col("bits") <= BANDS[-1])
 
 
-def pairs_with_middles(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of each node with the nearest few of those that stand for the nodes with one of its marks: as many at most, however large a group is.
+def firsts_of_prints(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes without those whose print another has as well, of which the one with the smallest fp stays; and pairs (a, b) of that one and each of the others, few as a rule."""
+    shared = nodes.groupBy("print").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
+    others = written(nodes.select("print", F.col("fp").alias("b")).join(shared, "print").where("a <> b").select("a", "b"), "others")
+    return nodes.join(others.select(F.col("b").alias("fp")), "fp", "left_anti"), others
+
+
+def pairs_with_middles(firsts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of each node of firsts_of_prints() with the nearest few of those that stand for the nodes with one of its marks: as many at most, however large a group is.
 
     For a mark stand the node that shares its marks with most others, which in a group of copies of one text is that text or close to it, and some by chance.
     """
-    marks = nodes.select("fp", "print", F.posexplode("marks").alias("number", "mark")).select("fp", "print", (F.col("number") * F.lit(1 << MARK_BITS) + F.col("mark")).alias("mark"))
+    marks = firsts.select(F.col("print").alias("fp"), F.posexplode("marks").alias("number", "mark")).select("fp", (F.col("number") * F.lit(1 << MARK_BITS) + F.col("mark")).alias("mark"))
     often = marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1")
     shared = written(marks.join(often, "mark"), "marks")
     central = shared.groupBy("fp").agg(F.sum("n").alias("n_shared"))
-    who = F.struct("fp", "print")
-    stand = [F.max_by(who, F.struct("n_shared", "fp")), *(F.min_by(who, F.xxhash64("fp", "mark", F.lit(k))) for k in range(MIDDLES))]
+    stand = [F.max_by("fp", F.struct("n_shared", "fp")), *(F.min_by("fp", F.xxhash64("fp", "mark", F.lit(k))) for k in range(MIDDLES))]
     middles = shared.join(central, "fp").groupBy("mark").agg(F.array_distinct(F.array(*stand)).alias("middles"))
-    far = F.transform("middles", lambda x: F.struct(_apart(F.col("print"), x.print).alias("d"), x.fp.alias("b")))
+    far = F.transform("middles", lambda x: F.struct(_apart(F.col("fp"), x).alias("d"), x.alias("b")))
     met = shared.join(middles, "mark").select("fp", F.filter(far, lambda x: (x.d <= FIRST_BITS) & (x.b != F.col("fp"))).alias("met")).where(F.size("met") > 0)
     near = met.groupBy("fp").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("met")))), 1, NEAREST).alias("met"))
-    found = written(_measured(near.select(F.col("fp").alias("a"), F.explode("met.b").alias("b")), nodes, similarity), "pairs")
+    found = written(_measured(near.select(F.col("fp").alias("a"), F.explode("met.b").alias("b")), firsts, similarity), "pairs")
     forget(shared)
     return found
 
 
-def similar_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of the fp of nodes, of different groups, that have a segment in common but for one bit and may be so similar."""
-    found = _matches(nodes, F.col("segments"), SEGMENT_BITS, lambda a, b: _apart(a, b) <= FIRST_BITS, "group").distinct()
-    return written(_measured(found, nodes, similarity), "pairs")
+def similar_pairs(firsts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of the fp of nodes of firsts_of_prints(), of different groups, that have a segment in common but for one bit and may be so similar."""
+    known = firsts.select(F.col("print").alias("fp"), "segments", "group", "beside")
+    found = _matches(known, F.col("segments"), SEGMENT_BITS, lambda a, b: _apart(a, b) <= FIRST_BITS, "group").distinct()
+    return written(_measured(found, firsts, similarity), "pairs")
 
 
 def jaccard(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -387,15 +393,16 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = written(prints.groupBy("fp").agg(first.alias("least"), F.first("print").alias("print"), F.first("segments").alias("segments"), F.first("marks").alias("marks"), F.max("n_shingles").alias("n_shingles")), "nodes")
     groups = _Groups(nodes, source, width, similarity)
     sure = (F.col("bits") <= SURE_BITS) & (F.col("n_least") >= SURE_SHINGLES)
-    near = pairs_with_middles(nodes, similarity)
-    found = groups.verified(near.where(~sure))
+    firsts, others = firsts_of_prints(nodes)
+    near = pairs_with_middles(firsts, similarity)
+    found = groups.verified(near.where(~sure).select("a", "b").unionByName(others))
     groups.add(near.where(sure).select("a", "b").unionByName(found))
     beside = groups.beside_large(near)
     own = beside.groupBy("fp").agg(F.collect_set("root").alias("beside"))
     numbered = written(groups.rooted().withColumn("group", F.coalesce("root", F.lit(0).cast("long"))).join(own, "fp", "left"), "numbered")
     forget(found)
     found = groups.in_blocks(beside)
-    pairs = similar_pairs(numbered, similarity)
+    pairs = similar_pairs(numbered.join(others.select(F.col("b").alias("fp")), "fp", "left_anti"), similarity)
     groups.add(found.unionByName(pairs.where(sure).select("a", "b")))
     low = -1
     for high in BANDS:
@@ -408,6 +415,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = written(rooted.join(name, "root").select("fp", "kept"), "kept")
     gone = written(prints.join(kept, "fp").where((F.col("file") != F.col("kept.file")) | (F.col("place") != F.col("kept.place"))).select("file", "place"), "gone")
     groups.forget()
-    for done in (prints, nodes, near, beside, numbered, pairs, found, kept):
+    for done in (prints, nodes, others, near, beside, numbered, pairs, found, kept):
         forget(done)
     return _of_rows(rows, gone, "left_anti").select(*names).toDF(*docs.columns)
