@@ -20,7 +20,7 @@ import contextlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -151,6 +151,8 @@ MARKS, MARK_BITS = 35, 16
 LARGE_GROUP, BLOCK = 200, 128
 #: Nodes that stand for a mark by chance, and those that a node is compared with.
 MIDDLES, NEAREST = 7, 8
+#: Nodes with one mark that are looked at together; more are dealt out in parts of so many. The rows are the same.
+FEW_NODES = 4096
 #: Bits of 64 in which candidates may differ, and bits of the wide fingerprint (560): what is near for certain, and two bands to look at, nearer ones first.
 FIRST_BITS, SURE_BITS, BANDS = 16, 53, (76, 105)
 #: Distinct shingles that a text must have for its fingerprint alone to be believed.
@@ -238,6 +240,19 @@ def firsts_of_prints(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes.join(others.select(F.col("b").alias("fp")), "fp", "left_anti"), others
 
 
+def _standing(one: Column) -> list[Column]:
+    """Of the rows (fp, mark, n_shared) of a mark, one of each row that stands for it. What is told of parts of the rows can be told again of what they gave."""
+    return [F.max_by(one, F.struct("n_shared", "fp")), *(F.min_by(one, F.xxhash64("fp", "mark", F.lit(k))) for k in range(MIDDLES))]
+
+
+def _middles_of_parts(rows: DataFrame) -> DataFrame:
+    """(mark, middles) of marks with many nodes: each is dealt out as plain rows, some FEW_NODES a part, and only those that stand for a part meet. A partial aggregate in place would send eight names and hashes for nearly every row."""
+    dealt = rows.select("fp", "mark", "n_shared", F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / FEW_NODES)).alias("part")).repartition("mark", "part")
+    told = dealt.groupBy("mark", "part").agg(F.array_distinct(F.array(*_standing(F.struct("fp", "n_shared")))).alias("one"))
+    told = told.select("mark", F.explode("one").alias("one")).select("mark", "one.fp", "one.n_shared")
+    return told.groupBy("mark").agg(F.array_distinct(F.array(*_standing(F.col("fp")))).alias("middles"))
+
+
 def pairs_with_middles(firsts: DataFrame, similarity: float) -> DataFrame:
     """Pairs of each node of firsts_of_prints() with the nearest few of those that stand for the nodes with one of its marks: as many at most, however large a group is.
 
@@ -245,12 +260,17 @@ def pairs_with_middles(firsts: DataFrame, similarity: float) -> DataFrame:
     """
     marks = firsts.select(F.col("print").alias("fp"), F.posexplode("marks").alias("number", "mark")).select("fp", (F.col("number") * F.lit(1 << MARK_BITS) + F.col("mark")).alias("mark"))
     often = marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(marks.join(often, "mark"), "marks")
-    central = shared.groupBy("fp").agg(F.sum("n").alias("n_shared"))
-    stand = [F.max_by("fp", F.struct("n_shared", "fp")), *(F.min_by("fp", F.xxhash64("fp", "mark", F.lit(k))) for k in range(MIDDLES))]
-    middles = shared.join(central, "fp").groupBy("mark").agg(F.array_distinct(F.array(*stand)).alias("middles"))
+    # a node has MARKS rows at most
+    central = F.sum("n").over(Window.partitionBy("fp"))
+    shared = written(marks.join(often, "mark").select("fp", "mark", "n", central.alias("n_shared")), "marks")
+    # dealt out before the frames, whose hashes would else be made first and sent along
+    few = Window.partitionBy("mark")
+    middles = F.array_distinct(F.array(*(x.over(few) for x in _standing(F.col("fp")))))
+    usual = shared.where(F.col("n") <= FEW_NODES).select("fp", "mark", "n_shared").repartition("mark").withColumn("middles", middles).select("fp", "middles")
+    crowded = shared.where(F.col("n") > FEW_NODES)
+    shared_by = usual.unionByName(crowded.join(_middles_of_parts(crowded), "mark").select("fp", "middles"))
     far = F.transform("middles", lambda x: F.struct(_apart(F.col("fp"), x).alias("d"), x.alias("b")))
-    met = shared.join(middles, "mark").select("fp", F.filter(far, lambda x: (x.d <= FIRST_BITS) & (x.b != F.col("fp"))).alias("met")).where(F.size("met") > 0)
+    met = shared_by.select("fp", F.filter(far, lambda x: (x.d <= FIRST_BITS) & (x.b != F.col("fp"))).alias("met")).where(F.size("met") > 0)
     near = met.groupBy("fp").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("met")))), 1, NEAREST).alias("met"))
     found = written(_measured(near.select(F.col("fp").alias("a"), F.explode("met.b").alias("b")), firsts, similarity), "pairs")
     forget(shared)

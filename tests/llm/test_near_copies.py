@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from gridwarden.llm import simhash
 from gridwarden.llm.common import written
@@ -90,3 +91,26 @@ def test_nodes_are_sets(spark):
     rows = {r.id: r for r in written(simhash.wide_fingerprints(docs, "body", ["id"]), "prints").collect()}
     assert rows[0].fp == rows[2].fp != rows[1].fp and rows[3].fp != rows[0].fp and rows[4].fp == rows[5].fp == rows[6].fp
     assert rows[0].n_shingles == 3 and rows[4].n_shingles == 0 and len(rows[0].segments) == simhash.SEGMENTS
+
+
+def test_middles_are_the_same_however_marks_are_dealt(spark, monkeypatch):
+    """A group of near copies, copies of one text and texts apart: pairs by frames and by parts; middles by parts and by one plain aggregate."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    texts = [words(rng, 80) for _ in range(40)] + [" ".join(base[:k] + ["new"] + base[k + 1 :]) for k in range(0, 150, 3)] + [" ".join(base)] * 3
+    docs = spark.createDataFrame([(0, i, i, t) for i, t in enumerate(texts)], "file int, place int, id int, body string")
+    nodes = written(simhash.wide_fingerprints(docs, "body", ["file", "place", "id"]).dropDuplicates(["fp"]), "nodes")
+    firsts, _ = simhash.firsts_of_prints(nodes)
+    seen = []
+    for size in (4096, 20, 2):
+        monkeypatch.setattr(simhash, "FEW_NODES", size)
+        seen.append(sorted(map(tuple, simhash.pairs_with_middles(firsts, 0.8).collect())))
+    assert seen[0] == seen[1] == seen[2]
+
+    assert len(seen[0]) >= 40
+
+    rows = spark.createDataFrame([(rng.getrandbits(63), m, 300, rng.randrange(5)) for m in range(4) for _ in range(300)], "fp long, mark long, n long, n_shared long")
+    plain = rows.groupBy("mark").agg(F.array_distinct(F.array(*simhash._standing(F.col("fp")))).alias("middles"))
+    for size in (7, 300):
+        monkeypatch.setattr(simhash, "FEW_NODES", size)
+        assert sorted(map(tuple, simhash._middles_of_parts(rows).collect())) == sorted(map(tuple, plain.collect()))
