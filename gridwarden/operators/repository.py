@@ -110,7 +110,11 @@ def tainted(d: Dialect, reached: str, facts: str) -> str:
 
 def findings(d: Dialect, lines: str, tainted: str, files: str) -> str:
     """Tainted names at sinks, as flow.sink_findings() tells them, with the repository and the source's document and name: across if that is another file."""
-    found = f"({flow.sink_findings(d, lines, tainted)})"
+    return with_sources(d, f"({flow.sink_findings(d, lines, tainted)})", tainted, files)
+
+
+def with_sources(d: Dialect, found: str, tainted: str, files: str) -> str:
+    """findings() of what flow.sink_findings() found."""
     told = f"(SELECT DISTINCT doc_id, var, hops, origin FROM {tainted} tn)"
     origin = f"CAST({d.extract('t.origin', '^([0-9-]+):', 1)} AS BIGINT)"
     return f"""SELECT f.repo, s.doc_id, f.path, s.line_no, s.sink, s.var, s.cwe, s.severity, s.reachability, s.exploitability, s.confidence, t.hops, {origin} AS source_doc, {d.extract('t.origin', '^[0-9-]+:(.*)', 1)} AS source_var, {origin} <> s.doc_id AS across
