@@ -39,14 +39,14 @@ def _sent(df) -> int:
     return len(re.findall(r"Exchange hashpartitioning\(.*ENSURE_REQUIREMENTS", df._jdf.queryExecution().executedPlan().toString()))
 
 
-@pytest.mark.parametrize(("name", "times"), [("root_cause", 1)])
+@pytest.mark.parametrize(("name", "times"), [("root_cause", 1), ("family_clusters", 1)])
 def test_each_combination_is_looked_at_once(spark, monkeypatch, name, times):
     _, looked = _looked(spark, monkeypatch, name)
     assert len(looked) == times
     assert all(few < many for few, many in looked)
 
 
-@pytest.mark.parametrize("name", ["root_cause"])
+@pytest.mark.parametrize("name", ["root_cause", "family_clusters"])
 def test_findings_are_dealt_out_by_document_and_stay_so(spark, name):
     # line items are read in one part, dealt out as they are read: no more exchanges are needed
     assert _sent(registry.QUERIES[name](spark, SF)) <= 1
