@@ -39,7 +39,7 @@ def _sent(df) -> int:
     return len(re.findall(r"Exchange hashpartitioning\(.*ENSURE_REQUIREMENTS", df._jdf.queryExecution().executedPlan().toString()))
 
 
-@pytest.mark.parametrize(("name", "times"), [("root_cause", 1), ("family_clusters", 1)])
+@pytest.mark.parametrize(("name", "times"), [("root_cause", 1), ("family_clusters", 1), ("two_step_chains", 1)])
 def test_each_combination_is_looked_at_once(spark, monkeypatch, name, times):
     _, looked = _looked(spark, monkeypatch, name)
     assert len(looked) == times
