@@ -39,14 +39,14 @@ def _sent(df) -> int:
     return len(re.findall(r"Exchange hashpartitioning\(.*ENSURE_REQUIREMENTS", df._jdf.queryExecution().executedPlan().toString()))
 
 
-@pytest.mark.parametrize(("name", "times"), [("root_cause", 1), ("family_clusters", 1), ("two_step_chains", 1)])
+@pytest.mark.parametrize(("name", "times"), [("root_cause", 1), ("family_clusters", 1), ("two_step_chains", 1), ("stage_results", 2)])
 def test_each_combination_is_looked_at_once(spark, monkeypatch, name, times):
     _, looked = _looked(spark, monkeypatch, name)
     assert len(looked) == times
     assert all(few < many for few, many in looked)
 
 
-@pytest.mark.parametrize("name", ["root_cause", "family_clusters"])
+@pytest.mark.parametrize("name", ["root_cause", "family_clusters", "stage_results"])
 def test_findings_are_dealt_out_by_document_and_stay_so(spark, name):
     # line items are read in one part, dealt out as they are read: no more exchanges are needed
     assert _sent(registry.QUERIES[name](spark, SF)) <= 1
@@ -58,3 +58,12 @@ def test_line_items_without_a_finding_are_not_numbered(spark, odd):
         con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{odd}/lineitem.parquet'")
         want = sorted(con.execute(f"SELECT doc_id, seq, title, line, confidence FROM {fixtures.issues(DUCK)} i").fetchall(), key=repr)
     assert got == want and got
+
+
+def test_stages_in_one_pass_are_the_stages_joined(spark, odd):
+    with duckdb.connect() as con:
+        for f in ("lineitem", "orders"):
+            con.execute(f"CREATE VIEW {f} AS SELECT * FROM '{odd}/{f}.parquet'")
+        want = con.execute(registry.ORACLES["stage_results"])
+        names = [c[0] for c in want.description]
+        assert sorted(map(tuple, registry.QUERIES["stage_results"](spark, odd).select(*names).collect())) == sorted(want.fetchall())
