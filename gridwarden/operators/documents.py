@@ -30,21 +30,22 @@ def _string_udf(f):
 # -- model answers -----------------------------------------------------------------------------------------------------
 
 
+_DECODER = json.JSONDecoder()
+_ENCODE = json.JSONEncoder(sort_keys=True).encode
+
+#: A string that is not closed reaches to the end.
+_BRACES_AND_STRINGS = re.compile(r'[{}]|"(?:[^"\\]++|\\.)*+(?:"|\\?\Z)', re.S)
+
+
 def outermost_object(text: str) -> str | None:
     """The first {...} that closes, with braces in strings left out of the count."""
-    depth, start, quoted, skip = 0, -1, False, False
-    for m in re.finditer(r'[\\"{}]|.', text, re.S):
+    depth, start = 0, -1
+    for m in _BRACES_AND_STRINGS.finditer(text):
         c = m.group()
-        if skip:
-            skip = False
-        elif c == "\\" and quoted:
-            skip = True
-        elif c == '"':
-            quoted = not quoted
-        elif not quoted and c == "{":
+        if c == "{":
             start = m.start() if depth == 0 else start
             depth += 1
-        elif not quoted and c == "}":
+        elif c == "}":
             depth -= 1
             if depth == 0 and start >= 0:
                 return text[start : m.end()]
@@ -52,13 +53,26 @@ def outermost_object(text: str) -> str | None:
 
 
 def _parsed(text: str | None):
+    if not text or not text.lstrip(" \t\n\r").startswith("{"):  # which costs less than an exception
+        return None
     try:
-        value = json.loads(text) if text else None
+        value = json.loads(text)
     except ValueError:
         return None
     return value if isinstance(value, dict) else None
 
 
+def _first_parsed(text: str):
+    """_parsed(outermost_object(text)); read in one go where nothing before the first brace changes how braces are counted."""
+    at = text.find("{")
+    if at >= 0 and '"' not in text[:at] and "}" not in text[:at]:
+        try:
+            return _DECODER.raw_decode(text, at)[0]
+        except ValueError:
+            pass
+    return _parsed(outermost_object(text))
+
+
 def rescue(text: str) -> dict | None:
     """A cut-off answer: without its unfinished last field, or with its list of findings closed after the last whole one."""
     short = re.sub(r',?\s*"optimized_code"\s*:\s*"(?:[^"\\]|\\.)*\Z', "", text, flags=re.S).rstrip()
@@ -74,11 +88,9 @@ def read_answer(text: str) -> str | None:
     """A model's answer as a JSON object in text: as it is, without fences, its first object, without stray commas, or rescued."""
     bare = re.sub(r"```(?:json)?\s*", "", text).strip()
     sliced = bare[bare.find("{") : bare.rfind("}") + 1] if "{" in bare else None
-    for candidate in (text.strip(), bare, outermost_object(text), outermost_object(bare), re.sub(r",\s*([}\]])", r"\1", sliced) if sliced else None):
-        if found := _parsed(candidate):
-            return json.dumps(found, sort_keys=True)
-    found = rescue(bare)
-    return json.dumps(found, sort_keys=True) if found else None
+    # each is made only if those before it are no object
+    found = _parsed(text.strip()) or _parsed(bare) or _first_parsed(text) or _first_parsed(bare) or (_parsed(re.sub(r",\s*([}\]])", r"\1", sliced)) if sliced else None) or rescue(bare)
+    return _ENCODE(found) if found else None
 
 
 def read_answers(answers: DataFrame, text_col: str = "text", out_col: str = "answer") -> DataFrame:

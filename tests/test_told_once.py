@@ -1,6 +1,7 @@
 """Findings whose patterns look at some of their columns: each combination of these is looked at once, and findings are sent along once, without their texts."""
 
 import os
+import random
 import re
 
 import duckdb
@@ -8,6 +9,7 @@ import pytest
 
 from gridwarden.functions import texts
 from gridwarden.functions.dialect import DUCK
+from gridwarden.operators import documents
 from gridwarden.plans import registry
 from gridwarden.sources import fixtures
 
@@ -67,3 +69,46 @@ def test_stages_in_one_pass_are_the_stages_joined(spark, odd):
         want = con.execute(registry.ORACLES["stage_results"])
         names = [c[0] for c in want.description]
         assert sorted(map(tuple, registry.QUERIES["stage_results"](spark, odd).select(*names).collect())) == sorted(want.fetchall())
+
+
+def _plain_object(text):
+    depth, start, quoted, skip = 0, -1, False, False
+    for i, c in enumerate(text):
+        if skip:
+            skip = False
+        elif c == "\\" and quoted:
+            skip = True
+        elif c == '"':
+            quoted = not quoted
+        elif not quoted and c == "{":
+            start = i if depth == 0 else start
+            depth += 1
+        elif not quoted and c == "}":
+            depth -= 1
+            if depth == 0 and start >= 0:
+                return text[start : i + 1]
+    return None
+
+
+def test_first_object_is_that_of_a_walk_over_all_characters():
+    rng = random.Random(5)
+    for _ in range(20_000):
+        text = "".join(rng.choice('{}{}""\\a\n') for _ in range(rng.randrange(14)))
+        assert documents.outermost_object(text) == _plain_object(text), repr(text)
+
+
+def test_first_object_is_parsed_as_if_it_were_cut_out_before():
+    rng = random.Random(6)
+    parts = ['{"a": 1}', '{"a": {"b": "}"}}', "{", "}", '"', "\\", "x", '{"a": [1, 2,]}', "{}", " "]
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(6)))
+        assert (documents._first_parsed(text) or None) == (documents._parsed(_plain_object(text)) or None), repr(text)
+
+
+def test_answers_are_not_walked_over_where_they_are_read_in_one_go(monkeypatch):
+    asked = []
+    real = documents.outermost_object
+    monkeypatch.setattr(documents, "outermost_object", lambda text: asked.append(text) or real(text))
+    assert documents.read_answer('{"a": 1}') == '{"a": 1}' and not asked
+    assert documents.read_answer('so: ```json{"b": {"c": "}"}, "a": 1}``` end') == '{"a": 1, "b": {"c": "}"}}' and not asked
+    assert documents.read_answer('a "{" and {"a": 1}') == '{"a": 1}' and len(asked) == 1
