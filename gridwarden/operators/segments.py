@@ -102,7 +102,35 @@ def block_ends(starts: DataFrame, lines: DataFrame, size: int = SEGMENT) -> Data
 
 def parse(files: DataFrame, size: int = SEGMENT) -> DataFrame:
     """lines.parse() with segments, written: a file is cut into lines where it was read, and dealt out by segments from there on."""
-    alone = written(cut(apply(L.marked, files=files), size), "marked")
+    return _with_files(apply(L.marked, files=files), size)
+
+
+def parse_parts(parts: DataFrame, size: int = SEGMENT) -> DataFrame:
+    """parse() of files in parts (doc_id, place, part), joined by line feeds in order of place. Parts are no nulls, and places of a file differ. A file is never one row, so that it may be larger than a value can be.
+
+    Parts are dealt out by ranges. Where a part's lines start is told by the parts before it in its range, and by the ranges before.
+    """
+    spark = parts.sparkSession
+    ranges = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_lines = F.length("part") - F.length(F.replace("part", F.lit("\n"))) + 1
+    dealt = parts.select("doc_id", "place", "part", n_lines.cast("long").alias("n")).repartitionByRange(ranges, "doc_id", "place")
+    stored = written(dealt.withColumn("range", F.spark_partition_id()), "parts")
+    sums = stored.groupBy("doc_id", "range").agg(F.sum("n").alias("total"), F.min("place").alias("first"))
+    earlier = Window.partitionBy("doc_id").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("doc_id", "range", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("doc_id", "range").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    starts = stored.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(before, ["doc_id", "range"])
+    keyed = starts.select(F.struct("doc_id", (F.col("before") + F.col("inside")).alias("start")).alias("doc_id"), F.col("part").alias("code"))
+    alone = apply(L.marked, files=keyed)
+    own = {"doc_id": F.col("doc_id.doc_id"), "line_no": (F.col("doc_id.start") + F.col("line_no")).cast("int")}
+    out = _with_files(alone.select(*(own.get(c, F.col(c)).alias(c) for c in alone.columns)), size)
+    forget(stored)
+    return out
+
+
+def _with_files(marked: DataFrame, size: int) -> DataFrame:
+    """Lines of lines.marked() with the file that the last marker named, and segments, written."""
+    alone = written(cut(marked, size), "marked")
     told = last_known(alone, {"file": F.col("mark")})
     out = written(told.withColumn("file", F.coalesce("file", F.lit("<input>"))).drop("mark"), "lines")
     forget(alone)
