@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import code_values as K
 from ..functions.dialect import Dialect
 from ..functions.run import apply
 from ..functions.tables import forget, written
@@ -53,19 +54,19 @@ def running_sum(lines: DataFrame, value: Column, into: str) -> DataFrame:
     return inside.join(before, KEY).select(*lines.columns, (F.col("own_sum") + F.coalesce("before_sum", F.lit(0))).alias(into))
 
 
+def rimmed(lines: DataFrame, before: int, after: int, size: int = SEGMENT) -> DataFrame:
+    """Lines dealt out to the segments that see them (`seen_in`): their own, where they are `at_home`, and those of which a line has them among so many lines before it or after it."""
+    at = F.col("line_no") - 1
+    seen = F.sequence(F.greatest(F.lit(0), F.floor((at - after) / size).cast("int")), F.floor((at + before) / size).cast("int"))
+    return lines.select(*lines.columns, F.explode(seen).alias("seen_in")).withColumn("at_home", F.col("seen_in") == F.floor(at / size))
+
+
 def near(lines: DataFrame, text: str, before: int, after: int, into: str, size: int = SEGMENT) -> DataFrame:
     """Lines with the texts around, from so many lines before to so many after, one per line. A segment sees the lines beside it as a rim, which goes afterwards."""
     if max(before, after) > size:
         raise ValueError("a rim reaches over one neighbour only")
-    at = (F.col("line_no") - 1) % size
-    copies = F.array(
-        F.struct(F.col("seg").alias("seen_in"), F.lit(True).alias("at_home")),
-        F.struct(F.when(at < after, F.col("seg") - 1).alias("seen_in"), F.lit(False).alias("at_home")),
-        F.struct(F.when(at >= size - before, F.col("seg") + 1).alias("seen_in"), F.lit(False).alias("at_home")),
-    )
-    dealt = lines.select(*lines.columns, F.explode(F.filter(copies, lambda c: c.seen_in >= 0)).alias("copy")).select(*lines.columns, "copy.*")
     frame = Window.partitionBy("doc_id", "seen_in").orderBy("line_no").rowsBetween(-before, after)
-    framed = dealt.withColumn(into, F.array_join(F.collect_list(text).over(frame), "\n"))
+    framed = rimmed(lines, before, after, size).withColumn(into, F.array_join(F.collect_list(text).over(frame), "\n"))
     return framed.where("at_home").select(*lines.columns, into)
 
 
@@ -105,8 +106,8 @@ def parse(files: DataFrame, size: int = SEGMENT) -> DataFrame:
     return _with_files(apply(L.marked, files=files), size)
 
 
-def parse_parts(parts: DataFrame, size: int = SEGMENT) -> DataFrame:
-    """parse() of files in parts (doc_id, place, part), joined by line feeds in order of place. Parts are no nulls, and places of a file differ. A file is never one row, so that it may be larger than a value can be.
+def lines_of_parts(parts: DataFrame) -> DataFrame:
+    """lines.marked() of files in parts (doc_id, place, part), joined by line feeds in order of place. Parts are no nulls, and places of a file differ. A file is never one row, so that it may be larger than a value can be.
 
     Parts are dealt out by ranges. Where a part's lines start is told by the parts before it in its range, and by the ranges before.
     """
@@ -123,9 +124,12 @@ def parse_parts(parts: DataFrame, size: int = SEGMENT) -> DataFrame:
     keyed = starts.select(F.struct("doc_id", (F.col("before") + F.col("inside")).alias("start")).alias("doc_id"), F.col("part").alias("code"))
     alone = apply(L.marked, files=keyed)
     own = {"doc_id": F.col("doc_id.doc_id"), "line_no": (F.col("doc_id.start") + F.col("line_no")).cast("int")}
-    out = _with_files(alone.select(*(own.get(c, F.col(c)).alias(c) for c in alone.columns)), size)
-    forget(stored)
-    return out
+    return alone.select(*(own.get(c, F.col(c)).alias(c) for c in alone.columns))
+
+
+def parse_parts(parts: DataFrame, size: int = SEGMENT) -> DataFrame:
+    """parse() of files in parts, as lines_of_parts() takes them."""
+    return _with_files(lines_of_parts(parts), size)
 
 
 def _with_files(marked: DataFrame, size: int) -> DataFrame:
@@ -153,9 +157,31 @@ def dead(lines: DataFrame, size: int = SEGMENT) -> DataFrame:
     return running_sum(rows, F.coalesce("step", F.lit(0)), "depth").where("depth > 0").select("doc_id", "line_no")
 
 
+def _reach(d: Dialect, lines: str) -> str:
+    """What each line says by itself: guards, what reaches it, and whether a pattern may begin in it that goes on in the next."""
+    made = ", ".join(f"{v} AS {k}" for k, v in L.reach_flags(d, "raw").items())
+    return f"SELECT doc_id, line_no, raw, {L.guard_level(d)} AS own_guard, {made}, {d.any('raw', K.REACH_HEADS)} AS head FROM {lines} l"
+
+
+def _reached(d: Dialect, rows: str) -> str:
+    """What the lines around say: one of them by itself, or, where a pattern may begin in one of them that goes on, their whole text."""
+    made = ", ".join(f"near_{k} OR (around IS NOT NULL AND {v}) AS {k}" for k, v in L.reach_flags(d, "around").items())
+    return L.who_reaches(d, f"(SELECT doc_id, line_no, {made}, CASE WHEN line_no - guard_line <= 40 THEN guard_level END AS level FROM {rows} r)")
+
+
 def reachability(lines: DataFrame, size: int = SEGMENT) -> DataFrame:
-    """lines.reachability(): who can reach each line."""
-    found = apply(L.guards, lines=lines).select("doc_id", "line_no", F.col("level").alias("own_guard"))
-    rows = lines.select("doc_id", "line_no", "seg", "raw").join(found, ["doc_id", "line_no"], "left")
-    told = last_known(rows, {"guard_line": F.when(F.col("own_guard").isNotNull(), F.col("line_no")), "guard_level": F.col("own_guard")})
-    return apply(L.reached_by, rows=near(told, "raw", 15, 15, "around", size))
+    """lines.reachability(): who can reach each line. Of lines (doc_id, line_no, raw).
+
+    Patterns look at each line once, and not at all lines around each: only where a line may be the start of a match over several lines are the lines around put together. Lines are dealt out once, with the 40 lines before a segment, in which a guard counts.
+    """
+    order = Window.partitionBy("doc_id", "seen_in").orderBy("line_no")
+    up_to = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    line = lambda c: F.when(c, F.col("line_no"))
+    within = lambda c, n: F.coalesce(F.max(line(F.col(c))).over(order.rowsBetween(Window.unboundedPreceding, n)) >= F.col("line_no") - n, F.lit(False))
+    rows = rimmed(apply(_reach, lines=lines), 40, 15, size)
+    told = {f"near_{c}": within(c, 15) for c in ("is_dead", "dev_only", "internal", "head")}
+    told |= {"guard_line": F.max(line(F.col("own_guard").isNotNull())).over(up_to), "guard_level": F.last("own_guard", True).over(up_to), "kept": F.when(within("head", 30), F.col("raw"))}
+    rows = rows.withColumns(told)
+    around = F.array_join(F.collect_list("kept").over(order.rowsBetween(-15, 15)), "\n")
+    rows = rows.withColumn("around", around).where("at_home").withColumn("around", F.when(F.col("near_head"), F.col("around")))
+    return apply(_reached, rows=rows)

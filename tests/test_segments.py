@@ -61,3 +61,22 @@ def test_a_million_lines_among_small_files(spark):
     assert len(dealt) == 4 and max(r["count"] for r in dealt) < 0.4 * n
     plan = S.enclosing(cut)._jdf.queryExecution().executedPlan().toString()
     assert "Window" in plan
+
+
+TOKENS = ["if", "IF (", "(", "false", "false)", ")", "0)", "if (0", "if(false)", "//", "// TODO", "TODO remove", "/*", "DEAD", "dead */", "*/", "process.env.NODE_ENV", "===", "'development'", "!== `production`", "isDev", "debug ==", "true", "? 1", "&&", "/admin/", "localhost", "", "  ", "\r", "\t"]
+
+
+@pytest.mark.parametrize("size", [7, 32])
+def test_reach_patterns_over_line_ends(spark, size):
+    rng = random.Random(11)
+    line = lambda: " ".join(rng.choice(TOKENS) for _ in range(rng.randrange(1, 3))) if rng.random() < 0.12 else rng.choice(["x = 1;", "", "isAdmin(user)", "  ", "y"])
+    rows = [(k, "\n".join(line() for _ in range(rng.randrange(1, 160)))) for k in range(120)]
+    rows += [(200 + k, "x\n" * rng.randrange(20) + a + "\n" * rng.randrange(1, 9) + b + "\nx" * rng.randrange(20)) for k, (a, b) in enumerate((a, b) for a in TOKENS for b in TOKENS)]
+    files = written(spark.createDataFrame(rows, "doc_id long, code string"), "files")
+    whole = written(apply(L.parse, files=files), "lines")
+    same(S.reachability(S.parse(files, size), size), apply(L.reachability, lines=whole))
+
+
+def test_reachability_deals_lines_out_once(spark, files):
+    plan = S.reachability(S.parse(files))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
