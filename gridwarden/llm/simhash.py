@@ -53,6 +53,7 @@ def _matches(nodes: DataFrame, segments, bits: int, near, group: str | None = No
 
     Every segment is in a table under its number and value, and looked up with the Hamming ball of radius one around it. Of a pair one bit apart only the
     side that lacks the bit finds the other. Nodes of one group, where it is not 0, are not paired, nor a node with one of a group that is in its `beside`.
+    Neither side is broadcast: Spark sizes what an explode makes as its one row before, so that tens of millions of rows seem small.
     """
     if not 1 <= bits <= 32:
         raise ValueError("a segment has up to 32 bits")
@@ -68,7 +69,7 @@ def _matches(nodes: DataFrame, segments, bits: int, near, group: str | None = No
         met &= (F.col(f"p.{group}") == 0) | (F.col(f"p.{group}") != F.col(f"t.{group}"))
         seen = lambda x, y: F.coalesce(F.array_contains(f"{x}.beside", F.col(f"{y}.{group}")), F.lit(False))
         met &= ~seen("p", "t") & ~seen("t", "p")
-    found = ball.alias("p").join(table.alias("t"), met)
+    found = ball.alias("p").join(table.alias("t").hint("merge"), met)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
